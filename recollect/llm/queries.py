@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from recollect.llm import byte_bpe, exact_dedup, token_store
 from recollect.llm.near_dedup import near_duplicate_classes
 from recollect.tables import table
 
@@ -14,8 +17,33 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = public_tokenizers.path("word_bpe_49k.json")
+    return token_store.token_digests(spark, table(spark, sf_dir, "documents"), words, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_token_store": op9_token_store,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size,
+               doc_id = keep_id AND row_number() OVER (PARTITION BY t, doc_id) = 1 AS kept, sha256(t) AS text_sha256
+        FROM d JOIN g USING (t)
+    """,
+}
