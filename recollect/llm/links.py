@@ -1,28 +1,44 @@
 """Links between the members of candidate groups, without listing all pairs of a group.
 
 A candidate group holds the ids that share one key (a band bucket, a segment). First every member is
-compared with the group's centre. Connected members form a component; only where a group still spans
-several components are its members compared across them. Every candidate pair ends up either compared
-or inside one component, so the components are those of all pairs.
+compared with the group's centre, the member that has the most company over all its groups: of a family
+of copies that is the text closest to the common original. Connected members form a component. Only where
+a group still spans several components are its members compared across them, and there a bound that the
+caller computes in linear work keeps pairs that can't be links out of the join. Every candidate pair ends
+up compared, bounded away or inside one component, so the components are those of all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.operators.graph import connected_components
 from recollect.shared import written
 
+Bound = Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+
+def centred(groups: DataFrame) -> DataFrame:
+    """(key, id, own) of the groups with more than one member, with each group's centre (an own member)."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m")).where("n > 1 and m > 0")
+    members = written(groups.join(sizes.drop("m"), "key"), "members")
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    centres = members.where("own").join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("centre"))
+    return members.drop("n").join(centres, "key")
+
+
+def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Bound | None = None) -> tuple[DataFrame, DataFrame]:
     """(verified pairs (a, b) with a < b, components (id, component) of the ids in them).
 
-    members: (key, centre, id, own), own marking ids that may stand on either side of a pair; an id that
-    is not own is compared with own ids only. verify keeps the rows of (a, b) that are true links.
+    groups: (key, id, own), own marking ids that may stand on either side of a pair; an id that is not own
+    is compared with own ids only. verify keeps the rows of (a, b) that are true links. bound takes a table
+    of ids and returns it with columns, and the condition on the columns of two ids under which they may be
+    a link.
     """
+    members = written(centred(groups), "centred")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = members.where("centre <> id").select(*pair("centre", "id")).distinct()
     first = written(verify(written(stars, "stars")), "links")
@@ -34,11 +50,14 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tupl
     )
     open_keys = placed.where("c <> m").select("key").distinct()
     rest = written(placed.join(open_keys, "key", "left_semi").select("key", "id", "own", "c").distinct(), "rest")
+    may = lambda x, y: F.lit(True)
+    if bound:
+        ids, may = bound(rest.select("id").distinct())
+        rest = written(rest.join(ids, "id"), "rest")
     across = (
-        rest.alias("x").join(rest.where("own").alias("y"), "key")
-        .where("x.c <> y.c and x.id <> y.id and (not x.own or x.id < y.id)")
+        rest.alias("x").join(rest.where("own").alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id <> y.id and (not x.own or x.id < y.id)") & may("x", "y"))
         .select(*pair("x.id", "y.id")).distinct()
     )
-    second = written(verify(written(across, "across")), "links")
+    second = written(verify(written(across.join(stars, ["a", "b"], "left_anti"), "across")), "links")
     edges = first.unionByName(second).distinct()
     return edges, connected_components(edges)

@@ -23,11 +23,11 @@ can have any name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,8 +112,20 @@ def _with_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     name = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].astype("<i8").tobytes(), digest_size=8).digest()
                     node[i], bands[i] = int.from_bytes(name, "little", signed=True), row
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), part.column("t"), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "t", "node", "bands"],
+                [part.column("row"), part.column("doc_id"), part.column("t"), pa.array(node, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "t", "node", "size", "bands"],
+            )
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            bags = list(shingle_bags(part.column("t").to_pylist(), SHINGLE))
+            ids = np.repeat(np.array(part.column("node").to_pylist(), np.int64), [len(x) for x, _ in bags])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(np.concatenate([x for x, _ in bags]).view(np.int64)), pa.array(np.concatenate([c for _, c in bags]).astype(np.int64))],
+                names=["id", "shingle", "n"],
             )
 
 
@@ -129,9 +141,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """docs as a table in the shared folder: row (a struct of its columns), doc_id, t, node, bands, uid."""
+    """docs as a table in the shared folder: row (a struct of its columns), doc_id, t, node, size, bands, uid."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return written(rows.mapInArrow(_with_signatures, schema).withColumn("uid", F.monotonically_increasing_id()), "signed")
 
 
@@ -140,23 +152,35 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = table.select("uid", "doc_id", "node")
     nodes = written(
         table.where("node is not null").groupBy("node")
-        .agg(F.min("uid").alias("uid"), F.first("bands").alias("bands")), "nodes",
+        .agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes",
     )
-    banded = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
-    centres = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(banded.join(centres, "key").withColumn("own", F.lit(True)), "members")
+    groups = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"), F.lit(True).alias("own"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        places = written(nodes.join(ids, "node").select("uid"), "places")
+        return written(table.join(places, "uid").select("node", "t"), "texts")
+
+    def bound(ids: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
+        """What no other open text has can't overlap: with size shingles each and met of them met elsewhere,
+        two texts overlap in the smaller met at most."""
+        shingles = texts_of(ids.select(F.col("id").alias("node"))).mapInArrow(_shingles, "id long, shingle long, n long")
+        alone = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.sum("n").alias("n")).where("texts = 1")
+        alone = alone.groupBy("id").agg(F.sum("n").alias("alone"))
+        sizes = nodes.select(F.col("node").alias("id"), "size").join(ids, "id").join(alone, "id", "left")
+        met = sizes.select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("met"))
+        most = lambda x, y: F.least(f"{x}.met", f"{y}.met")
+        union = lambda x, y: F.col(f"{x}.size") + F.col(f"{y}.size") - most(x, y)
+        return met, lambda x, y: most(x, y) >= F.lit(THRESHOLD - 1e-9) * union(x, y)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        places = written(nodes.join(needed, "node").select("uid"), "places")
-        texts = written(table.join(places, "uid").select("node", "t"), "texts")
+        texts = texts_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
         return (
             pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
             .select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
         )
 
-    _, component = linked(members, verify)
+    _, component = linked(groups, verify, bound)
     classes = nodes.select("node").join(component.withColumnRenamed("id", "node"), "node", "left")
     return classes.select("node", F.coalesce("component", "node").alias("class")), rows
 
