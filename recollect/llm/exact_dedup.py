@@ -163,6 +163,6 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", trie_bytes: int = T
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
     again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1)))
     return (
-        rows.join(owners, "text_sha256").withColumn("again", again)
+        rows.withColumn("again", again).join(owners, "text_sha256")
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)).alias("kept"), "text_sha256")
     )
