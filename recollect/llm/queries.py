@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from recollect.llm import byte_bpe, exact_dedup, token_store
+from recollect.llm import byte_bpe, exact_dedup, pii, quality, token_store
 from recollect.llm.near_dedup import near_duplicate_classes
 from recollect.tables import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
