@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from recollect.llm import byte_bpe, exact_dedup, pii, quality, token_store
+from recollect.llm import ann, byte_bpe, exact_dedup, pii, quality, token_store
 from recollect.llm.near_dedup import near_duplicate_classes
 from recollect.tables import table
 
@@ -39,6 +39,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, table(spark, sf_dir, "documents"), words, end_id=1)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_store": op9_token_store,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE: dict[str, str] = {
