@@ -36,7 +36,7 @@ from recollect.llm.words import U, bag_overlap, mix, shingle_bags
 from recollect.shared import written
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 30, 6, 5, 0.8
-_GROUP = 1024
+_GROUP = 256
 
 
 def bag_minhash(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def _with_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for at in range(0, batch.num_rows, _GROUP):
             part = batch.slice(at, _GROUP)
-            bags = list(shingle_bags(part.column("t").to_pylist(), SHINGLE))
+            bags = list(shingle_bags(part.column("row").field("text").to_pylist(), SHINGLE))
             some = [i for i, (x, _) in enumerate(bags) if len(x)]
             bands: list[list[int] | None] = [None] * len(bags)
             node: list[int | None] = [None] * len(bags)
@@ -112,8 +112,8 @@ def _with_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     name = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].astype("<i8").tobytes(), digest_size=8).digest()
                     node[i], bands[i] = int.from_bytes(name, "little", signed=True), row
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), part.column("t"), pa.array(node, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "t", "node", "size", "bands"],
+                [part.column("row"), part.column("doc_id"), pa.array(node, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "node", "size", "bands"],
             )
 
 
@@ -141,8 +141,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """docs as a table in the shared folder: row (a struct of its columns), doc_id, t, node, size, bands, uid."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
+    """docs as a table in the shared folder: row (a struct of its columns), doc_id, node, size, bands, uid."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     schema = T.StructType([*rows.schema.fields, T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return written(rows.mapInArrow(_with_signatures, schema).withColumn("uid", F.monotonically_increasing_id()), "signed")
 
@@ -158,7 +158,7 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def texts_of(ids: DataFrame) -> DataFrame:
         places = written(nodes.join(ids, "node").select("uid"), "places")
-        return written(table.join(places, "uid").select("node", "t"), "texts")
+        return written(table.select("uid", "node", F.col("row.text").alias("t")).join(places, "uid").select("node", "t"), "texts")
 
     def bound(ids: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
         """What no other open text has can't overlap: with size shingles each and met of them met elsewhere,
