@@ -18,27 +18,29 @@ from pyspark.sql import functions as F
 from recollect.operators.graph import connected_components
 from recollect.shared import written
 
+Verify = Callable[[DataFrame], DataFrame]
 Bound = Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
 
 
 def centred(groups: DataFrame) -> DataFrame:
     """(key, id, own) of the groups with more than one member, with each group's centre (an own member)."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m")).where("n > 1 and m > 0")
-    members = written(groups.join(sizes.drop("m"), "key"), "members")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m"), F.min("id").alias("l"), F.max("id").alias("h"))
+    members = written(groups.join(sizes.where("l <> h and m > 0").select("key", "n"), "key"), "members")
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     centres = members.where("own").join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("centre"))
     return members.drop("n").join(centres, "key")
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Bound | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(groups: DataFrame, verifier: Callable[[DataFrame], Verify], bound: Bound | None = None) -> tuple[DataFrame, DataFrame]:
     """(verified pairs (a, b) with a < b, components (id, component) of the ids in them).
 
     groups: (key, id, own), own marking ids that may stand on either side of a pair; an id that is not own
-    is compared with own ids only. verify keeps the rows of (a, b) that are true links. bound takes a table
-    of ids and returns it with columns, and the condition on the columns of two ids under which they may be
-    a link.
+    is compared with own ids only. verifier takes the ids of all members, to fetch what it needs of them, and
+    returns a function that keeps the rows of (a, b) that are true links. bound takes a table of ids and
+    returns it with columns, and the condition on the columns of two ids under which they may be a link.
     """
     members = written(centred(groups), "centred")
+    verify = verifier(members.select("id").distinct())
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = members.where("centre <> id").select(*pair("centre", "id")).distinct()
     first = written(verify(written(stars, "stars")), "links")

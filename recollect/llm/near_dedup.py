@@ -156,14 +156,17 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     groups = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"), F.lit(True).alias("own"))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        places = written(nodes.join(ids, "node").select("uid"), "places")
-        return written(table.select("uid", "node", F.col("row.text").alias("t")).join(places, "uid").select("node", "t"), "texts")
+    held: list[DataFrame] = []
+
+    def verifier(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        places = written(nodes.join(ids.withColumnRenamed("id", "node"), "node").select("uid"), "places")
+        held.append(written(table.select("uid", "node", F.col("row.text").alias("t")).join(places, "uid").select("node", "t"), "texts"))
+        return verify
 
     def bound(ids: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
         """What no other open text has can't overlap: with size shingles each and met of them met elsewhere,
         two texts overlap in the smaller met at most."""
-        shingles = texts_of(ids.select(F.col("id").alias("node"))).mapInArrow(_shingles, "id long, shingle long, n long")
+        shingles = held[0].join(ids.withColumnRenamed("id", "node"), "node").mapInArrow(_shingles, "id long, shingle long, n long")
         alone = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.sum("n").alias("n")).where("texts = 1")
         alone = alone.groupBy("id").agg(F.sum("n").alias("alone"))
         sizes = nodes.select(F.col("node").alias("id"), "size").join(ids, "id").join(alone, "id", "left")
@@ -173,14 +176,14 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
         return met, lambda x, y: most(x, y) >= F.lit(THRESHOLD - 1e-9) * union(x, y)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
+        texts = held[0]
         return (
             pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
             .select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
         )
 
-    _, component = linked(groups, verify, bound)
+    _, component = linked(groups, verifier, bound)
     classes = nodes.select("node").join(component.withColumnRenamed("id", "node"), "node", "left")
     return classes.select("node", F.coalesce("component", "node").alias("class")), rows
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from recollect.llm import ann, byte_bpe, exact_dedup, pii, quality, token_store
+from recollect.llm import ann, byte_bpe, exact_dedup, line_dedup, pii, quality, token_store
 from recollect.llm.near_dedup import near_duplicate_classes
 from recollect.tables import table
 
@@ -30,6 +30,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_store": op9_token_store,
     "op10_nearest_neighbours": op10_nearest_neighbours,
