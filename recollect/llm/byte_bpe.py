@@ -151,18 +151,30 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str, ids: str = "token_
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs with token_ids, n_tokens, ids_sha256 (of the little-endian ids) and decoded_sha256 (of the bytes that they decode to)."""
+    added = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
+        sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
         for part in _batches(batches):
-            ids = bpe.encode(part.column(1).to_pylist())
+            ids = bpe.encode(part.column(kept.index("text")).to_pylist())
+            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             back = [bpe.decode(x) for x in ids]
-            sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [*part.columns, pa.ListArray.from_arrays(ends, values), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back)],
+                names=[*kept, *added],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    frame = docs.select(*[docs[f"`{c}`"] for c in kept])
+    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.StringType()) for c in added[2:]]]
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *fields]))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    found = encoded_digests(docs.select("doc_id", "text"), ranks_path, pattern)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
