@@ -47,7 +47,7 @@ FOOTER = struct.Struct("<QQQQQQI4x8s")
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 64 << 20
 #: Bits for each key and probes of the Bloom filter.
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 _NULL_KEY = b""
 #: Fixed value: the pattern by which the tokenizer file splits words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
