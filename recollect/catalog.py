@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from recollect.operators import index
+from importlib import import_module
+
+MODULES = ("operators.index", "operators.facts", "operators.log", "operators.limits")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (index,):
+for _name in MODULES:
+    _module = import_module(f"recollect.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

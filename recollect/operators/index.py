@@ -1,14 +1,20 @@
-"""Inverted index and ranked retrieval: postings, idf, BM25, tf-idf cosine."""
+"""Inverted index and ranked retrieval: postings, idf, BM25, tf-idf cosine, candidates and snippets.
+
+A question set is the benchmark table; texts are documents or the turns of conversations. Terms that most
+of a corpus shares make long postings: joins on terms carry (key, term, tf) only, scores are summed before
+anything else is joined, and candidate joins take the rarest terms of a question.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.plans.dialect import Queries
 from recollect.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Q = Queries()
+K1, B = 1.2, 0.75
 
 
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -17,9 +23,123 @@ def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _index(d, table_name: str, key: str) -> str:
+    return f"SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, {d.each}({d.tokens('text')}) AS term FROM {table_name}) GROUP BY {key}, term"
+
+
+def _base(d) -> str:
+    """Postings of documents and of the questions, document counts and idf of the questions' terms."""
+    return f"""
+    docs AS ({_index(d, 'documents', 'doc_id')}),
+    asked AS ({_index(d, 'benchmark', 'item_id')}),
+    n AS (SELECT count(*) AS n FROM documents),
+    df AS (SELECT term, count(*) AS df FROM docs GROUP BY term),
+    idf AS (SELECT term, df, ln((2.0 + n) / (1.0 + df)) AS idf FROM df CROSS JOIN n)"""
+
+
+@Q.add(lambda d: f"""
+    WITH {_base(d)}, len AS (SELECT doc_id, sum(tf) AS dl FROM docs GROUP BY doc_id), avg AS (SELECT avg(dl) AS a FROM len),
+    s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * docs.tf * {K1 + 1} / (docs.tf + {K1} * (1 - {B} + {B} * dl / a))) AS score
+          FROM asked JOIN docs USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN n CROSS JOIN avg GROUP BY item_id, doc_id),
+    r AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
+    SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5
+""")
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The k best documents of each benchmark passage by BM25 (k1 = 1.2, b = 0.75)."""
-    index = postings(table(spark, sf_dir, "documents"), "doc_id")
+    """The k best documents of each benchmark passage by BM25 with idf ln((N - n + .5) / (n + .5) + 1)."""
+    docs = table(spark, sf_dir, "documents")
+    index = postings(docs, "doc_id")
     asked = postings(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term")
+    lengths = docs.select("doc_id", F.expr("size(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0))").alias("dl")).where("dl > 0")
+    stats = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.avg("dl").alias("a")))  # one row
     hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    return index
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = (
+        hits.join(df, "term").join(lengths, "doc_id").crossJoin(stats)
+        .select("doc_id", "term", (F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (K1 + 1)
+                                   / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("a")))).alias("w"))
+    )
+    scores = asked.join(weighted, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+Q.sql("term_frequencies", "documents", lambda d: _index(d, "documents", "doc_id"))
+
+Q.sql("idf_table", "documents benchmark", lambda d: f"WITH {_base(d)} SELECT term, df, round(idf, 9) AS idf FROM idf")
+
+Q.sql("candidates_rare_terms", "documents benchmark", lambda d: f"""
+    WITH {_base(d)}, rare AS (
+        SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS r FROM asked JOIN df USING (term)) WHERE r <= 8)
+    SELECT item_id, doc_id, count(*) AS n_terms FROM rare JOIN docs USING (term) GROUP BY item_id, doc_id""")
+
+Q.sql("tfidf_cosine_topk", "documents benchmark", lambda d: f"""
+    WITH {_base(d)},
+    qn AS (SELECT item_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM asked JOIN idf USING (term) GROUP BY item_id),
+    dn AS (SELECT doc_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM docs JOIN idf USING (term) GROUP BY doc_id),
+    s AS (SELECT item_id, doc_id, sum(asked.tf * docs.tf * idf * idf) AS dot FROM asked JOIN docs USING (term) JOIN idf USING (term) GROUP BY item_id, doc_id),
+    c AS (SELECT item_id, doc_id, round(dot / (qn.norm * dn.norm), 6) AS cosine FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id))
+    SELECT item_id, doc_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS rank FROM c) WHERE rank <= 5""")
+
+Q.sql("near_duplicates_tfidf", "documents benchmark", lambda d: f"""
+    WITH {_base(d)},
+    asking AS (SELECT * FROM docs WHERE doc_id % 50 = 0),
+    rare AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS r FROM asking JOIN df USING (term)) WHERE r <= 8),
+    pairs AS (SELECT DISTINCT rare.doc_id AS a, docs.doc_id AS b FROM rare JOIN docs ON rare.term = docs.term AND rare.doc_id <> docs.doc_id),
+    norm AS (SELECT doc_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM docs JOIN idf USING (term) GROUP BY doc_id),
+    dot AS (SELECT a, b, sum(x.tf * y.tf * idf * idf) AS dot FROM pairs JOIN asking x ON x.doc_id = a JOIN docs y ON y.doc_id = b AND y.term = x.term JOIN idf ON idf.term = x.term GROUP BY a, b)
+    SELECT a AS doc_id, b AS near_id, round(dot / (m.norm * n.norm), 5) AS cosine FROM dot JOIN norm m ON m.doc_id = a JOIN norm n ON n.doc_id = b
+    WHERE round(dot / (m.norm * n.norm), 5) >= 0.8""")
+
+Q.sql("weighted_coverage", "documents benchmark", lambda d: f"""
+    WITH {_base(d)}, total AS (SELECT item_id, sum(idf) AS total FROM asked JOIN idf USING (term) GROUP BY item_id),
+    hit AS (SELECT item_id, doc_id, sum(idf) AS hit FROM asked JOIN docs USING (term) JOIN idf USING (term) GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, round(hit / total, 6) AS coverage FROM hit JOIN total USING (item_id) WHERE hit / total >= 0.5""")
+
+Q.sql("conversation_search", "conversations benchmark", lambda d: f"""
+    WITH asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {d.each}({d.tokens('text')}) AS term FROM benchmark)),
+    said AS (SELECT DISTINCT conv_id, turn, term FROM (SELECT conv_id, turn, {d.each}({d.tokens('text')}) AS term FROM conversations)),
+    s AS (SELECT item_id, conv_id, turn, count(*) AS hits FROM asked JOIN said USING (term) GROUP BY item_id, conv_id, turn),
+    best AS (SELECT *, row_number() OVER (PARTITION BY item_id, conv_id ORDER BY hits DESC, turn) AS r FROM s),
+    top AS (SELECT item_id, conv_id, turn, hits, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, conv_id) AS rank FROM best WHERE r = 1)
+    SELECT item_id, conv_id, turn, hits, rank FROM top WHERE rank <= 10""")
+
+Q.sql("match_snippet", "documents", lambda d: f"""
+    WITH t AS (SELECT doc_id, text, lower({d.find('text', '[\\p{L}]{9,}')}) AS word FROM documents),
+    p AS (SELECT doc_id, text, word, {d.instr('lower(text)', 'word')} AS p FROM t WHERE word <> '')
+    SELECT doc_id, word, p AS position, {d.replace("substring(text, cast(greatest(1, p - 40) as int), 100)", "\\s+", " ")} AS snippet FROM p WHERE p > 0""")
+
+Q.sql("term_presence_search", "documents benchmark", lambda d: f"""
+    WITH asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {d.each}({d.tokens('text')}) AS term FROM benchmark)),
+    docs AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, {d.each}({d.tokens('text')}) AS term FROM documents)),
+    s AS (SELECT item_id, doc_id, count(*) AS hits FROM asked JOIN docs USING (term) GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 40""")
+
+Q.sql("term_or_filter", "documents customer", lambda d: f"""
+    WITH terms AS (SELECT DISTINCT lower(c_mktsegment) AS term FROM customer UNION SELECT 'token' UNION SELECT 'license' UNION SELECT 'version'),
+    docs AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, {d.each}({d.tokens('text')}) AS term FROM documents))
+    SELECT doc_id, count(*) AS n_terms FROM docs JOIN terms USING (term) GROUP BY doc_id""")
+
+Q.sql("title_overlap_boost", "conversations benchmark", lambda d: f"""
+    WITH titles AS (SELECT conv_id, substring(min_by(text, turn), 1, 80) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    t AS (SELECT DISTINCT conv_id, term FROM (SELECT conv_id, {d.each}({d.tokens('title')}) AS term FROM titles)),
+    size AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+    asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {d.each}({d.tokens('text')}) AS term FROM benchmark)),
+    hit AS (SELECT item_id, conv_id, count(*) AS hits FROM asked JOIN t USING (term) GROUP BY item_id, conv_id)
+    SELECT item_id, conv_id, round(0.6 * hits / n, 6) AS boost FROM hit JOIN size USING (conv_id)""")
+
+Q.sql("prf_expand_terms", "documents benchmark", lambda d: f"""
+    WITH {_base(d)},
+    s AS (SELECT item_id, doc_id, sum(idf * docs.tf) AS score FROM asked JOIN docs USING (term) JOIN idf USING (term) GROUP BY item_id, doc_id),
+    top AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 3),
+    w AS (SELECT top.item_id, docs.term, round(sum(docs.tf * idf) * 0.35, 6) AS weight FROM top JOIN docs USING (doc_id) JOIN idf ON idf.term = docs.term
+          LEFT JOIN asked ON asked.item_id = top.item_id AND asked.term = docs.term WHERE asked.tf IS NULL GROUP BY top.item_id, docs.term)
+    SELECT item_id, term, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, term) AS rank FROM w) WHERE rank <= 6""")
+
+Q.sql("expand_query_terms", "documents benchmark", lambda d: f"""
+    WITH words AS (SELECT term, count(*) AS df FROM ({_index(d, 'documents', 'doc_id')}) WHERE length(term) >= 5 GROUP BY term),
+    stems AS (SELECT substring(term, 1, 5) AS stem, term, df FROM words),
+    best AS (SELECT stem, term FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY df DESC, term) AS r FROM stems) WHERE r <= 3),
+    asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {d.each}({d.tokens('text')}) AS term FROM benchmark) WHERE length(term) >= 5)
+    SELECT DISTINCT item_id, asked.term, best.term AS synonym FROM asked JOIN best ON substring(asked.term, 1, 5) = stem AND best.term <> asked.term""")
+
+QUERIES, ORACLE = Q.queries, Q.oracle
