@@ -56,8 +56,11 @@ def linked(groups: DataFrame, verifier: Callable[[DataFrame], Verify], bound: Bo
     if bound:
         ids, may = bound(rest.select("id").distinct())
         rest = written(rest.join(ids, "id"), "rest")
+    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"))
+    rest = written(rest.join(keys, "id"), "rest")
+    once = F.expr("array_min(array_intersect(x.keys, y.own_keys)) = x.key")  # of the groups that a pair shares one forms it
     across = (
-        rest.alias("x").join(rest.where("own").alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id <> y.id and (not x.own or x.id < y.id)") & may("x", "y"))
+        rest.alias("x").join(rest.where("own").alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id <> y.id and (not x.own or x.id < y.id)") & may("x", "y") & once)
         .select(*pair("x.id", "y.id")).distinct()
     )
     second = written(verify(written(across.join(stars, ["a", "b"], "left_anti"), "across")), "links")
