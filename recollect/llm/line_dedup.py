@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.links import linked
-from recollect.shared import written
+from recollect.shared import filtered_early, written
 
 EDITS, MIN_CHARS = 1, 24
 
@@ -72,8 +72,9 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     def fetch(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
         places = written(exact.join(ids, "id").select("id", F.col("first.d").alias("pd"), "first.h", "first.n"), "places")
         whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-        found = whole.join(places, "h").where(F.col("d").eqNullSafe(F.col("pd"))).select("id", F.trim(F.expr("split(text, '\\n', -1)[n]")).alias("line"))
-        texts = written(found.dropDuplicates(["id"]), "lines")
+        found = whole.join(places.where("n >= 0"), "h").where(F.col("d").eqNullSafe(F.col("pd"))).select("id", F.trim(F.expr("split(text, '\\n', -1)[n]")).alias("line"))
+        with filtered_early(docs.sparkSession):
+            texts = written(found.dropDuplicates(["id"]), "lines")
 
         def verify(pairs: DataFrame) -> DataFrame:
             side = lambda name: texts.select(F.col("id").alias(name), F.col("line").alias(f"line_{name}"))
