@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from recollect.shared import written
 
 SAMPLE, BRANCH, LEAF, CALIBRATION, TARGET = 20_000, 8, 48, 96, 0.97
-#: Vectors, and queries, that meet in one task at a time.
-BLOCK = 20_000
+#: Vectors whose leaves are searched together, and most vectors, and queries, that meet in one group.
+BIN, BLOCK = 4096, 20_000
 
 
 class Tree:
@@ -160,24 +160,44 @@ def _truth(entries: DataFrame, asked: np.ndarray, k: int) -> DataFrame:
 
 
 def _meet(k: int):
+    """Of a bin of leaves and the queries that visit some of them: the k nearest vectors of each query in the bin."""
+
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"q": [], "score": [], "ids": []}
-        if vectors.num_rows and queries.num_rows:
-            rows, ids, q = _matrix(vectors["vec"]), vectors["ids"].to_pylist(), queries["q"].to_pylist()
-            asked = _matrix(queries["vec"])
-            step = max(1, 4_000_000 // len(rows))
-            for low in range(0, len(asked), step):
-                at, d = _nearest(asked[low : low + step], rows, k)
-                for i in range(len(at)):
-                    best = sorted(range(at.shape[1]), key=lambda j: (d[i, j], ids[at[i, j]][0]))[:k]
-                    out["q"] += [q[low + i]] * len(best)
-                    out["score"] += [float(d[i, j]) for j in best]
-                    out["ids"] += [ids[at[i, j]] for j in best]
-        return pa.table([pa.array(out["q"], pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["ids"], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        leaf, ids = vectors["leaf"].to_numpy(), vectors["ids"].to_pylist()
+        if len(leaf) and queries.num_rows:
+            rows, asked = _matrix(vectors["vec"]), _matrix(queries["vec"])
+            sizes = [len(x) for x in queries["leaves"].to_pylist()]
+            visitor, visited = np.repeat(np.arange(len(sizes)), sizes), queries["leaves"].combine_chunks().flatten().to_numpy()
+            for one in np.unique(visited):
+                here, who = np.flatnonzero(leaf == one), visitor[visited == one]
+                step = max(1, 4_000_000 // max(1, len(here)))
+                for low in range(0, len(who) if len(here) else 0, step):
+                    at, d = _nearest(asked[who[low : low + step]], rows[here], k)
+                    found.append((np.repeat(who[low : low + step], at.shape[1]), here[at].ravel(), d.ravel()))
+        if not found:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+        who, at, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        first = np.array([x[0] for x in ids])
+        order = np.lexsort((first[at], d, who))
+        who, at, d = who[order], at[order], d[order]
+        start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+        keep = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < k
+        return pa.table([pa.array(queries["q"].to_numpy()[who[keep]]), pa.array(d[keep]), pa.array([ids[i] for i in at[keep]], pa.list_(pa.int64()))], names=["q", "score", "ids"])
 
     return run
 
 
+def _bins(sizes: dict[int, int]) -> dict[int, int]:
+    """Neighbouring leaves share a bin up to BIN vectors; a larger leaf has its own."""
+    out, bin_no, held = {}, 0, 0
+    for leaf in sorted(sizes):
+        if held and held + sizes[leaf] > BIN:
+            bin_no, held = bin_no + 1, 0
+        out[leaf], held = bin_no, held + sizes[leaf]
+    return out
+
+
 def nearest_neighbours(vectors: DataFrame, query_every: int = 100, k: int = 10, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest of each row whose vec_id is divisible by query_every."""
     rows = written(usable(vectors), "vectors")
@@ -198,17 +218,27 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 100, k: int = 10,
     some = _matrix(queries.orderBy(F.xxhash64("q"), "q").limit(CALIBRATION).select("vec").toArrow()["vec"])
     visits = _calibrated(tree, some, _truth(placed, some, k + 1).toArrow() if len(some) else None, target)
 
+    sizes = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many as the tree has leaves
+    bins = _bins(sizes)
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tree.leaves(v, visits) for v in _matrix(batch.column(1))] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["q", "vec", "leaves"])
-
-    visiting = queries.mapInArrow(visit, "q long, vec binary, leaves array<long>").select("q", "vec", F.explode("leaves").alias("leaf"))
-    visiting = written(visiting, "visiting")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("nv")).join(visiting.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("nq")), "leaf")
-    left = placed.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("vec"), "nv").alias("bv"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("bq"), "vec", "ids")
-    right = visiting.join(blocks, "leaf").select("leaf", F.explode(F.expr("sequence(0L, nv - 1)")).alias("bv"), F.pmod(F.xxhash64("q"), "nq").alias("bq"), "q", "vec")
-    key = ["leaf", "bv", "bq"]
+            out = []
+            for q, vec, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrix(batch.column(1)), strict=True) if batch.num_rows else ():
+                by: dict[int, list[int]] = {}
+                for leaf in tree.leaves(v, visits):
+                    if leaf in bins:
+                        by.setdefault(bins[leaf], []).append(leaf)
+                out += [(q, vec, b, leaves) for b, leaves in by.items()]
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["q", "vec", "bin", "leaves"])
+
+    visiting = written(queries.mapInArrow(visit, "q long, vec binary, bin long, leaves array<long>"), "visiting")
+    placed = placed.join(vectors.sparkSession.createDataFrame(list(bins.items()), "leaf long, bin long"), "leaf")
+    blocks = placed.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).alias("nv")).join(visiting.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).alias("nq")), "bin")
+    left = placed.join(blocks, "bin").select("bin", F.pmod(F.xxhash64("vec"), "nv").alias("bv"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("bq"), "leaf", "vec", "ids")
+    right = visiting.join(blocks, "bin").select("bin", F.explode(F.expr("sequence(0L, nv - 1)")).alias("bv"), F.pmod(F.xxhash64("q"), "nq").alias("bq"), "q", "vec", "leaves")
+    key = ["bin", "bv", "bq"]
     met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_meet(k + 1), "q long, score double, ids array<long>")
     each = met.select("q", "score", F.explode("ids").alias("vec_id"))
     best = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
