@@ -76,7 +76,7 @@ class OwnerTrie:
         if owner is not None:
             node.owner = owner if node.owner is None else self.choose(node.owner, owner)
         node.count += count
-        if sum(self.held.values()) > self.limit and len(key) > 1:
+        if sum(self.held.values()) > self.limit:
             self._spill(max(self.held, key=self.held.get))
 
     def _write(self, first: int, key: bytes, owner: int | None, count: int) -> None:
@@ -103,19 +103,25 @@ class OwnerTrie:
         yield from self._walk(self.root, b"")
         self.root, self.held = _Node(b""), {}
         for file in self.spilled.values():
-            file.seek(0)
-            yield from _below(file, 1, self.choose, self.limit)
+            yield from _below(file, self.choose, self.limit)
             file.close()
 
 
-def _below(file, depth: int, choose, limit: int) -> Iterator[tuple[bytes, int | None, int]]:
-    """A spilled subtree, whose keys share their first depth bytes."""
-    head, trie = b"", OwnerTrie(choose, limit)
+def _records(file) -> Iterator[tuple[bytes, int | None, int]]:
+    file.seek(0)
     while size := file.read(25):
         n, has, owner, count = struct.unpack("<Q?qQ", size)
-        key = file.read(n)
-        head = key[:depth]
-        trie.add(key[depth:], owner if has else None, count)
+        yield file.read(n), owner if has else None, count
+
+
+def _below(file, choose, limit: int) -> Iterator[tuple[bytes, int | None, int]]:
+    """A spilled subtree: a trie of what its keys don't all start with, so that it forks at its root."""
+    head = None
+    for key, _, _ in _records(file):
+        head = key if head is None else head if key.startswith(head) else head[: _shared(head, key, 0)]
+    trie = OwnerTrie(choose, limit)
+    for key, owner, count in _records(file):
+        trie.add(key[len(head) :], owner, count)
     for key, owner, count in trie.items():
         yield head + key, owner, count
 

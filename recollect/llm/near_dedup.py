@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from recollect.llm.links import linked
 from recollect.llm.words import U, bag_overlap, mix, shingle_bags
-from recollect.shared import written
+from recollect.shared import filtered_early, written
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 30, 6, 5, 0.8
 _GROUP = 256
@@ -160,7 +160,9 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def verifier(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
         places = written(nodes.join(ids.withColumnRenamed("id", "node"), "node").select("uid"), "places")
-        held.append(written(table.select("uid", "node", F.col("row.text").alias("t")).join(places, "uid").select("node", "t"), "texts"))
+        with filtered_early(table.sparkSession):
+            found = table.select("uid", "node", F.col("row.text").alias("t")).join(places.where("uid >= 0"), "uid")
+            held.append(written(found.select("node", "t"), "texts"))
         return verify
 
     def bound(ids: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:

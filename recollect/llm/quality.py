@@ -99,15 +99,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss over (features, values) of each labelled text."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> Machine:
+    """AdaGrad on the logistic loss over (features, values) of each labelled text, in so many batches at least."""
     rng = np.random.default_rng(seed)
-    machine = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, RANK)))
     if not len(rows):
-        return machine
+        return Machine(0.0, np.zeros(FEATURES), np.zeros((FEATURES, RANK)))
+    machine = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, RANK)))
+    parts = -(-len(rows) // batch)
     seen_w, seen_v, seen_b = np.full(FEATURES, 1e-3), np.full((FEATURES, RANK), 1e-3), 1e-3
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
+    for _ in range(-(-steps // parts)):
+        for part in np.array_split(rng.permutation(len(rows)), parts):
             feature, value = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
             row, n = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part]), len(part)
             error = machine.score(row, feature, value, n) - labels[part]
