@@ -89,9 +89,9 @@ Q.sql("asof_last_event", "events", lambda d: f"""
     SELECT event_id, user_id, event_type, CASE WHEN {d.seconds('last_view', 'ts')} <= 21600 THEN last_view END AS last_view FROM e""")
 
 Q.sql("context_links", "events", lambda d: f"""
-    WITH recent AS (
-        SELECT a.event_id, b.event_type, count(*) AS n FROM (SELECT * FROM events WHERE event_id % 50 = 0) a JOIN events b
-        ON a.user_id = b.user_id AND b.ts < a.ts AND {d.seconds('b.ts', 'a.ts')} <= 86400 GROUP BY a.event_id, b.event_type)
+    WITH e AS (SELECT event_id, user_id, event_type, ts, cast(floor({d.epoch('ts')} / 86400) AS bigint) AS day FROM events),
+    a AS (SELECT event_id, user_id, ts, {d.each}({d.array('day', 'day - 1')}) AS day FROM e),
+    recent AS (SELECT a.event_id, e.event_type, count(*) AS n FROM a JOIN e ON a.user_id = e.user_id AND a.day = e.day AND e.ts < a.ts AND {d.seconds('e.ts', 'a.ts')} <= 86400 GROUP BY a.event_id, e.event_type)
     SELECT event_id, event_type, n, 0.5 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, event_type) AS r FROM recent) WHERE r <= 3""")
 
 Q.sql("last_entity_in_chat", "lineitem orders part", lambda d: """

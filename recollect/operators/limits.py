@@ -59,8 +59,12 @@ Q.sql("linear_margin_predict", "documents labels", lambda d: f"""
     WITH {_FEATURES} SELECT doc_id, score, CASE WHEN abs(score) < 0.2 THEN NULL WHEN score > 0 THEN 1 ELSE 0 END AS predicted FROM scored""")
 
 Q.sql("margin_threshold", "documents labels", lambda d: f"""
-    WITH {_FEATURES}, neg AS (SELECT score, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE quality = 0)
-    SELECT n AS negatives, max(score) AS margin FROM neg WHERE r > 0.002 * n GROUP BY n""")
+    WITH {_FEATURES}, neg AS (SELECT doc_id, score, cast(floor(score * 50) AS bigint) AS b FROM scored WHERE quality = 0),
+    buckets AS (SELECT b, count(*) AS c FROM neg GROUP BY b),
+    summed AS (SELECT b, sum(c) OVER (ORDER BY b DESC) - c AS above, c, sum(c) OVER () AS n FROM buckets),
+    target AS (SELECT b, n, cast(floor(0.002e0 * n) AS bigint) + 1 - above AS place FROM summed WHERE above < floor(0.002e0 * n) + 1 AND above + c >= floor(0.002e0 * n) + 1),
+    inside AS (SELECT neg.score, n, place, row_number() OVER (PARTITION BY neg.b ORDER BY neg.score DESC, doc_id) AS r FROM neg JOIN target ON neg.b = target.b)
+    SELECT cast(n AS bigint) AS negatives, score AS margin FROM inside WHERE r = place""")
 
 Q.sql("veto_extracted_facts", "documents", lambda d: f"""
     WITH said AS (SELECT doc_id, text, {d.find('text', '([A-Z][a-z]{5,}) ([a-z]{4,})', 1)} AS subj, {d.find('text', '([A-Z][a-z]{5,}) ([a-z]{4,})', 2)} AS obj FROM documents)

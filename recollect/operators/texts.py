@@ -52,9 +52,11 @@ Q.sql("term_stems", "conversations", lambda d: f"""
     SELECT stem, count(*) AS n FROM s GROUP BY stem""")
 
 Q.sql("one_edit_neighbours", "benchmark documents", lambda d: f"""
-    WITH v AS (SELECT DISTINCT w FROM (SELECT {d.each}({d.tokens('text')}) AS w FROM documents WHERE doc_id % 50 = 0 UNION SELECT {d.each}({d.tokens('text')}) FROM benchmark) WHERE length(w) BETWEEN 6 AND 12 AND {d.like('w', '^[a-z]+$')}),
-    del AS (SELECT w, {d.each}({d.map(d.series('1', 'length(w)'), 'i', "concat(substring(w, 1, i - 1), substring(w, i + 1, 40))")}) AS k FROM v UNION SELECT w, w FROM v),
-    p AS (SELECT DISTINCT a.w AS a, b.w AS b FROM del a JOIN del b ON a.k = b.k AND a.w < b.w)
+    WITH asked AS (SELECT DISTINCT w FROM (SELECT {d.each}({d.tokens('text')}) AS w FROM benchmark) WHERE length(w) BETWEEN 6 AND 12 AND {d.like('w', '^[a-z]+$')}),
+    v AS (SELECT DISTINCT w FROM (SELECT {d.each}({d.tokens('text')}) AS w FROM documents) WHERE length(w) BETWEEN 5 AND 13 AND {d.like('w', '^[a-z]+$')}),
+    cut AS (SELECT w, {d.each}({d.map(d.series('1', 'length(w)'), 'i', "concat(substring(w, 1, i - 1), substring(w, i + 1, 40))")}) AS k FROM asked UNION SELECT w, w FROM asked),
+    cuts AS (SELECT w, {d.each}({d.map(d.series('1', 'length(w)'), 'i', "concat(substring(w, 1, i - 1), substring(w, i + 1, 40))")}) AS k FROM v UNION SELECT w, w FROM v),
+    p AS (SELECT DISTINCT cut.w AS a, cuts.w AS b FROM cut JOIN cuts ON cut.k = cuts.k AND cut.w <> cuts.w)
     SELECT a, b FROM p WHERE levenshtein(a, b) = 1""")
 
 Q.sql("fuzzy_entity_match", "customer supplier", lambda d: """

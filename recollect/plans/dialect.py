@@ -107,6 +107,9 @@ class Spark:
     def distinct_sorted(self, x: str) -> str:
         return f"array_sort(array_distinct({x}))"
 
+    def array(self, *x: str) -> str:
+        return f"array({', '.join(x)})"
+
     def dbl(self, x: str) -> str:
         return f"cast({x} as double)"
 
@@ -178,6 +181,9 @@ class Duck(Spark):
     def dot(self, a: str, b: str) -> str:
         return f"list_dot_product(({a})::DOUBLE[], ({b})::DOUBLE[])"
 
+    def array(self, *x: str) -> str:
+        return f"[{', '.join(x)}]"
+
     def hour(self, t: str, minutes: int = 60) -> str:
         return f"time_bucket(interval '{minutes} minutes', {t}, timestamp '1970-01-01')"
 
