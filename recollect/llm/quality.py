@@ -156,7 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
     rows = texts.mapInArrow(_featured, "doc_id long, label int, feature array<int>, value array<float>")
     table = rows.orderBy("doc_id", F.xxhash64("feature")).limit(sample).toArrow()
-    pairs = [(np.array(f, np.int64), np.array(v)) for f, v in zip(table["feature"].to_pylist(), table["value"].to_pylist(), strict=True)]
+    columns = [table[c].combine_chunks() for c in ("feature", "value")]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[0]]))).tolist()
+    feature, value = (c.flatten().to_numpy() for c in columns)
+    pairs = [(feature[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return train(pairs, table["label"].to_numpy().astype(float))
 
 
