@@ -19,13 +19,11 @@ the same lines. A null doc_id comes last. Lines end at \\n only. Other columns a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.links import linked
-from recollect.shared import filtered_early, written
+from recollect.shared import written
 
 EDITS, MIN_CHARS = 1, 24
 
@@ -69,21 +67,18 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
     keys = lines.select("id", F.explode(segment_keys(edits=edits)).alias("k")).select("k.key", "id", "k.own").distinct()
 
-    def fetch(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def fetch(ids: DataFrame) -> DataFrame:
         places = written(exact.join(ids, "id").select("id", F.col("first.d").alias("pd"), "first.h", "first.n"), "places")
         whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-        found = whole.join(places.where("n >= 0"), "h").where(F.col("d").eqNullSafe(F.col("pd"))).select("id", F.trim(F.expr("split(text, '\\n', -1)[n]")).alias("line"))
-        with filtered_early(docs.sparkSession):
-            texts = written(found.dropDuplicates(["id"]), "lines")
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            side = lambda name: texts.select(F.col("id").alias(name), F.col("line").alias(f"line_{name}"))
-            both = pairs.join(side("b"), "b").join(side("a"), "a")
-            return both.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b")
+        found = whole.join(places.where("n >= 0"), "h").where(F.col("d").eqNullSafe(F.col("pd")))
+        return found.select("id", F.trim(F.expr("split(text, '\\n', -1)[n]")).alias("line")).dropDuplicates(["id"])
 
-        return verify
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        side = lambda name: texts.select(F.col("id").alias(name), F.col("line").alias(f"line_{name}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
+        return both.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b")
 
-    _, component = linked(keys, fetch)
+    _, component = linked(keys, fetch, verify)
     component = written(component, "components")
     classes = exact.join(component, "id", "left").where("times > 1 or component is not null").select("id", F.coalesce("component", "id").alias("class"), "first")
     stays = classes.groupBy("class").agg(F.min("first").alias("stays"))

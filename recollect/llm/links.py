@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.operators.graph import connected_components
-from recollect.shared import written
+from recollect.shared import filtered_early, written
 
-Verify = Callable[[DataFrame], DataFrame]
-Bound = Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
+Fetch = Callable[[DataFrame], DataFrame]
+Verify = Callable[[DataFrame, DataFrame], DataFrame]
+Bound = Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
 
 
 def centred(groups: DataFrame) -> DataFrame:
@@ -31,19 +32,20 @@ def centred(groups: DataFrame) -> DataFrame:
     return members.drop("n").join(centres, "key")
 
 
-def linked(groups: DataFrame, verifier: Callable[[DataFrame], Verify], bound: Bound | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(groups: DataFrame, fetch: Fetch, verify: Verify, bound: Bound | None = None) -> tuple[DataFrame, DataFrame]:
     """(verified pairs (a, b) with a < b, components (id, component) of the ids in them).
 
     groups: (key, id, own), own marking ids that may stand on either side of a pair; an id that is not own
-    is compared with own ids only. verifier takes the ids of all members, to fetch what it needs of them, and
-    returns a function that keeps the rows of (a, b) that are true links. bound takes a table of ids and
-    returns it with columns, and the condition on the columns of two ids under which they may be a link.
+    is compared with own ids only. fetch takes the ids of all members and returns their contents; verify
+    takes pairs and contents and keeps the rows (a, b) that are true links. bound takes ids and contents and
+    returns the ids with columns, and the condition on the columns of two ids under which they may be a link.
     """
     members = written(centred(groups), "centred")
-    verify = verifier(members.select("id").distinct())
+    with filtered_early(groups.sparkSession):
+        contents = written(fetch(members.select("id").distinct()), "contents")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = members.where("centre <> id").select(*pair("centre", "id")).distinct()
-    first = written(verify(written(stars, "stars")), "links")
+    first = written(verify(written(stars, "stars"), contents), "links")
     component = written(connected_components(first), "components")
     of = lambda name: component.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c"))
     placed = (
@@ -54,7 +56,7 @@ def linked(groups: DataFrame, verifier: Callable[[DataFrame], Verify], bound: Bo
     rest = written(placed.join(open_keys, "key", "left_semi").select("key", "id", "own", "c").distinct(), "rest")
     may = lambda x, y: F.lit(True)
     if bound:
-        ids, may = bound(rest.select("id").distinct())
+        ids, may = bound(rest.select("id").distinct(), contents)
         rest = written(rest.join(ids, "id"), "rest")
     keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"))
     rest = written(rest.join(keys, "id"), "rest")
@@ -63,6 +65,6 @@ def linked(groups: DataFrame, verifier: Callable[[DataFrame], Verify], bound: Bo
         rest.alias("x").join(rest.where("own").alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id <> y.id and (not x.own or x.id < y.id)") & may("x", "y") & once)
         .select(*pair("x.id", "y.id")).distinct()
     )
-    second = written(verify(written(across.join(stars, ["a", "b"], "left_anti"), "across")), "links")
+    second = written(verify(written(across.join(stars, ["a", "b"], "left_anti"), "across"), contents), "links")
     edges = first.unionByName(second).distinct()
     return edges, connected_components(edges)

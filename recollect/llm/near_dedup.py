@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from recollect.llm.links import linked
 from recollect.llm.words import U, bag_overlap, mix, shingle_bags
-from recollect.shared import filtered_early, written
+from recollect.shared import written
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 30, 6, 5, 0.8
 _GROUP = 256
@@ -122,7 +122,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             bags = list(shingle_bags(part.column("t").to_pylist(), SHINGLE))
-            ids = np.repeat(np.array(part.column("node").to_pylist(), np.int64), [len(x) for x, _ in bags])
+            ids = np.repeat(np.array(part.column("id").to_pylist(), np.int64), [len(x) for x, _ in bags])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(np.concatenate([x for x, _ in bags]).view(np.int64)), pa.array(np.concatenate([c for _, c in bags]).astype(np.int64))],
                 names=["id", "shingle", "n"],
@@ -156,19 +156,14 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     groups = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"), F.lit(True).alias("own"))
 
-    held: list[DataFrame] = []
-
-    def verifier(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def fetch(ids: DataFrame) -> DataFrame:
         places = written(nodes.join(ids.withColumnRenamed("id", "node"), "node").select("uid"), "places")
-        with filtered_early(table.sparkSession):
-            found = table.select("uid", "node", F.col("row.text").alias("t")).join(places.where("uid >= 0"), "uid")
-            held.append(written(found.select("node", "t"), "texts"))
-        return verify
+        return table.select("uid", F.col("node").alias("id"), F.col("row.text").alias("t")).join(places.where("uid >= 0"), "uid").select("id", "t")
 
-    def bound(ids: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
+    def bound(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
         """What no other open text has can't overlap: with size shingles each and met of them met elsewhere,
         two texts overlap in the smaller met at most."""
-        shingles = held[0].join(ids.withColumnRenamed("id", "node"), "node").mapInArrow(_shingles, "id long, shingle long, n long")
+        shingles = texts.join(ids, "id").mapInArrow(_shingles, "id long, shingle long, n long")
         alone = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.sum("n").alias("n")).where("texts = 1")
         alone = alone.groupBy("id").agg(F.sum("n").alias("alone"))
         sizes = nodes.select(F.col("node").alias("id"), "size").join(ids, "id").join(alone, "id", "left")
@@ -177,15 +172,11 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
         union = lambda x, y: F.col(f"{x}.size") + F.col(f"{y}.size") - most(x, y)
         return met, lambda x, y: most(x, y) >= F.lit(THRESHOLD - 1e-9) * union(x, y)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        texts = held[0]
-        return (
-            pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-            .select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
-        )
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        side = lambda name: texts.select(F.col("id").alias(name), F.col("t").alias(f"t{name}"))
+        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
-    _, component = linked(groups, verifier, bound)
+    _, component = linked(groups, fetch, verify, bound)
     classes = nodes.select("node").join(component.withColumnRenamed("id", "node"), "node", "left")
     return classes.select("node", F.coalesce("component", "node").alias("class")), rows
 
