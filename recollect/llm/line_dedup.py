@@ -1,8 +1,9 @@
 """Line dedup by an edit join over segments, in DataFrame functions only.
 
 Lines that occur before, exactly or within EDITS edits, are taken out of documents. A line is trimmed of
-spaces and takes part if MIN_CHARS long; shorter lines stay always. Order is that of (doc_id, line), so
-the first of a class of alike lines stays where it is.
+spaces. From MIN_CHARS on it takes part in the edit join; shorter ones, where a few edits make another
+word, are compared exactly if at least `shortest` long (1 in the query and the pipeline: every line that
+isn't empty). Order is that of (doc_id, line), so the first of a class of alike lines stays where it is.
 
 Exact repeats meet by hash. For the rest, each distinct line of length l is split into EDITS + 1 segments;
 a line within EDITS edits has one of them unchanged, at a place that the lengths narrow down (Li et al.,
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from recollect.llm.links import linked
 from recollect.shared import written
 
-EDITS, MIN_CHARS = 1, 24
+EDITS, MIN_CHARS, SHORTEST = 3, 24, 1
 
 
 def _segment(length: str, parts: int, i: int) -> tuple[str, str]:
@@ -50,22 +51,23 @@ def segment_keys(line: str = "line", size: str = "size", edits: int = EDITS) ->
     return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     """(d, h, n, line, size, id, check) of the lines that take part; d and h name the document."""
     each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    each = each.withColumn("line", F.trim("line")).withColumn("size", F.length("line")).where(F.col("size") >= MIN_CHARS)
+    each = each.withColumn("line", F.trim("line")).withColumn("size", F.length("line")).where(F.col("size") >= shortest)
     return each.withColumn("id", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(1), "line"))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(d, h, n, near): the lines to take out; near if the line has no exact match before it."""
-    lines = _lines(docs)
+    lines = _lines(docs, shortest)
     place = F.struct(F.col("d").isNull().alias("none"), "d", "h", "n")
     exact = written(
         lines.select("id", "check", "d", "h", "n").groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("times"))
         .select("id", "first", "times"), "exact",
     )
-    keys = lines.select("id", F.explode(segment_keys(edits=edits)).alias("k")).select("k.key", "id", "k.own").distinct()
+    long = lines.where(F.col("size") >= MIN_CHARS).select("id", "line", "size").distinct()  # keys are many: once for each text
+    keys = long.select("id", F.explode(segment_keys(edits=edits)).alias("k")).select("k.key", "id", "k.own").repartition("key")
 
     def fetch(ids: DataFrame) -> DataFrame:
         places = written(exact.join(ids, "id").select("id", F.col("first.d").alias("pd"), "first.h", "first.n"), "places")
@@ -88,9 +90,9 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """docs in a struct (row) with n_lines, n_dropped, n_near and kept_text."""
-    gone = dropped_lines(docs, edits).distinct().groupBy("d", "h").agg(F.collect_set("n").alias("gone"), F.count_if("near").alias("n_near"))
+    gone = dropped_lines(docs, edits, shortest).distinct().groupBy("d", "h").agg(F.collect_set("n").alias("gone"), F.count_if("near").alias("n_near"))
     gone = gone.withColumnsRenamed({"d": "gone_d", "h": "gone_h"})
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"))
     joined = rows.join(gone, F.expr("h = gone_h and d <=> gone_d"), "left")
@@ -101,14 +103,14 @@ def line_decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def line_digests(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_digests(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_dropped, n_near, text_sha256 of what stays."""
-    found = line_decisions(docs.select("doc_id", "text"), edits)
+    found = line_decisions(docs.select("doc_id", "text"), edits, shortest)
     return found.select(F.col("d").alias("doc_id"), "n_lines", "n_dropped", "n_near", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """docs with the text that stays, and n_chars, where there is such a column, counted anew."""
-    found = line_decisions(docs, edits)
+    found = line_decisions(docs, edits, shortest)
     new = {"text": F.col("kept_text"), **({"n_chars": F.length("kept_text").cast("long")} if "n_chars" in docs.columns else {})}
     return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -144,6 +144,17 @@ def test_line_dedup_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_line_dedup_takes_short_repeats_and_three_edits(spark):
+    line = "the committee approved the new budget for the coming school year on monday"
+    near = line.replace("new ", "").replace("monday", "mondaz").replace(" for", " fur")
+    three = line.replace("budget", "budgzz").replace("committee", "comittee")
+    texts = [f"All rights reserved.\n{line}", "All rights reserved.\nAll rights reserve.", three, f"x\n\n{near}", "x\n\nx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in without_repeated_lines(docs).collect()}
+    assert got == {0: texts[0], 1: "All rights reserve.", 2: "", 3: texts[3], 4: ""}
+    assert {r.doc_id: (r.n_dropped, r.n_near) for r in line_digests(docs).collect()} == {0: (0, 0), 1: (1, 0), 2: (1, 1), 3: (0, 0), 4: (2, 0)}
+
+
 def test_segments_cover_close_lines(spark):
     rng = random.Random(3)
     pairs = []
