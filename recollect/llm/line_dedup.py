@@ -5,13 +5,21 @@ spaces. From MIN_CHARS on it takes part in the edit join; shorter ones, where a
 word, are compared exactly if at least `shortest` long (1 in the query and the pipeline: every line that
 isn't empty). Order is that of (doc_id, line), so the first of a class of alike lines stays where it is.
 
-Exact repeats meet by hash. For the rest, each distinct line of length l is split into EDITS + 1 segments;
-a line within EDITS edits has one of them unchanged, at a place that the lengths narrow down (Li et al.,
-"Pass-Join", 2011: multi-match-aware selection). So every line asks the index of each length from its own
-down to EDITS less for the substrings that its positions allow, by equality of (length, segment, hash).
-Candidates are verified by the edit distance in a band of EDITS. Spark's levenshtein with a threshold is
-that banded program, compiled; a bit-parallel form of it would need a loop of interpreted expressions for
-each character, so the band is kept and the words of bits are not.
+Exact repeats meet by two 64-bit hashes and the text itself. For the rest (after Li et al., "Pass-Join",
+2011), lines are indexed by ranges of length, each an eighth of an octave. All lines of a range are split
+alike: EDITS + 1 segments of one length, half of them counted from the line's start and half from its end.
+Of two lines within EDITS edits, some segment i from the start is whole and stands at most i places from its
+own in the other line, or one from the end likewise: otherwise i segments hold more than i edits each way,
+EDITS + 1 together. So a line asks its own range, and the one below if that is within EDITS, for the
+substrings at those few places, by equality of (range, segment, hash).
+
+Where a segment is shared by many lines that aren't alike, they are dealt anew by what is left of a line
+if only some of its characters are kept: characters fall into 2 EDITS + 2 classes, each edit touches two, so
+two classes at least are kept whole, and lines that may be alike share the hash of such two.
+
+Candidates are verified by a bit-parallel program in a band of EDITS around the diagonal (after Wu and
+Manber, "Fast text searching allowing errors", 1992): bit k of word e says that the characters so far can be
+matched with e edits, k - EDITS places off the diagonal; one step for each character moves all words.
 
 Defined cases: null counts as the empty text and stays null. A document whose lines all go has the empty
 text; no document goes. Rows that repeat a doc_id with the same text are one document to the join and keep
@@ -20,83 +28,173 @@ the same lines. A null doc_id comes last. Lines end at \\n only. Other columns a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.links import linked
-from recollect.shared import written
+from recollect.shared import filtered_early, written
 
 EDITS, MIN_CHARS, SHORTEST = 3, 24, 1
+#: Characters, the most frequent ones, that are dealt to classes one by one; all others are of class 0.
+DEALT = 96
+
+
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, shift, 1 if the range below is asked): segments from 0 at the start and from -1 at the end."""
+    left = (edits + 2) // 2
+    sides = [(i, i) for i in range(left)] + [(-1 - j, j) for j in range(edits + 1 - left)]
+    return [(i, shift, below) for below in (0, 1) for i, most in sides for shift in range(-most, most + 1)]
+
+
+def _range(size: str) -> str:
+    """SQL of the least length of the range of size: ranges are 8 wide, from 128 on an eighth of the octave."""
+    return f"({size} - {size} % greatest(8, shiftleft(1, length(bin({size})) - 4)))"
+
+
+def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """From lines (id, line, size): (key, id, own); own keys are those of the line's own segments, the others are asked for only."""
+    places = ", ".join(f"named_struct('i', {i}, 'shift', {s}, 'below', {b})" for i, s, b in _places(edits))
+    each = lines.withColumn("low", F.expr(_range("size"))).withColumn("p", F.explode(F.expr(f"array({places})")))
+    each = each.where(f"p.below = 0 or (size - {edits} < low and low > {MIN_CHARS})")
+    each = each.withColumn("low", F.expr(f"if(p.below = 1, {_range('(low - 1)')}, low)")).withColumn("m", F.expr(f"cast(low div {edits + 1} as int)"))
+    start = "cast(p.i * m + p.shift + if(p.i < 0, size, 0) + 1 as int)"
+    return each.select(F.expr(f"xxhash64(low, p.i, substring(line, {start}, m))").alias("key"), "id", F.expr("p.below = 0 and p.shift = 0").alias("own"))
+
+
+def class_sets(lines: DataFrame, edits: int) -> list[str]:
+    """The characters of classes 1, 2 ...: frequent ones are dealt so that classes weigh about the same."""
+    count = lines.select(F.explode(F.split("line", "")).alias("c")).where("c <> ''").groupBy("c").count()
+    rows = count.orderBy(F.desc("count"), "c").limit(DEALT).collect()
+    weights, sets = [0] * (2 * edits + 2), [""] * (2 * edits + 2)
+    for r in rows:
+        k = weights.index(min(weights))
+        weights[k], sets[k] = weights[k] + r["count"], sets[k] + r["c"]
+    return sets[1:]
+
+
+def kept_classes(sets: list[str]) -> list[Column]:
+    """For each class the line without the characters of all others."""
+    escaped = ["".join(f"\\x{{{ord(c):x}}}" for c in s) for s in sets]
+    all_others = "".join(escaped)
+    first = F.regexp_replace("line", f"[{all_others}]", "") if all_others else F.col("line")
+    return [first, *[F.regexp_replace("line", f"[^{s}]", "") if s else F.lit("") for s in escaped]]
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body with name standing for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _trimmed(a: str, b: str) -> str:
+    """SQL of a struct of a and b without most of their common start and end, found by comparing ever smaller parts."""
+    pair = f"named_struct('a', {a}, 'b', {b})"
+    for start in (True, False):
+        at = "p + 1" if start else "length(z.{0}) - p - n div k + 1"
+        part = lambda x: f"substring(z.{x}, {at.format(x)}, n div k)"
+        step = f"(p, k) -> cast(p + if({part('a')} = {part('b')}, n div k, 0) as int)"
+        common = _let("n", "least(length(z.a), length(z.b))", f"aggregate(array(2, 4, 8, 16), 0, {step})")
+        rest = "substring(z.{0}, p + 1)" if start else "left(z.{0}, length(z.{0}) - p)"
+        pair = _let("z", pair, _let("p", common, f"named_struct('a', {rest.format('a')}, 'b', {rest.format('b')})"))
+    return pair
+
+
+def within(a: str, b: str, edits: int) -> Column:
+    """Whether two texts are within a number of edits (4 at most, for the bits of a number).
+
+    Lane e of a number has a bit k if the characters of a so far are within e edits of those of b up to
+    k - edits places further. A step keeps a bit if the next characters are the same; a bit of the lane below
+    comes in place (a replaced character), one lower (one of a left out) or, as soon as it is new, one higher
+    (one of b left out)."""
+    if not 0 <= edits <= 4:
+        raise ValueError(f"edits must be from 0 to 4, not {edits}")
+    lane, lanes = 2 * edits + 2, edits + 1
+    every = sum(1 << lane * e for e in range(lanes))
+    low = lambda bits: f"{every * ((1 << bits) - 1)}L"
+    begin = sum(1 << lane * e + edits + j for e in range(lanes) for j in range(e + 1))
+    same = " | ".join(f"if(get(ys, i + {k - edits}) = x, {every << k}L, 0L)" for k in range(2 * edits + 1))
+    moved = f"((s & m) | (shiftleft(s, {lane}) | shiftleft(s, {lane - 1})) & {low(2 * edits + 1)})"
+    further = " | ".join([moved, *[f"shiftleft({moved} & {low(2 * edits + 1 - j)}, {j * (lane + 1)})" for j in range(1, lanes)]])
+    steps = _let("ys", "split(z.b, '')", f"transform(split(z.a, ''), (x, i) -> {same})")
+    last = f"aggregate({steps}, {begin}L, (s, m) -> ({further}) & {(1 << lane * lanes) - 1}L)"
+    gap = "(length(z.b) - length(z.a))"
+    test = f"case when abs{gap} > {edits} then false when z.a = '' or z.b = '' then true else shiftright({last}, {lane * edits + edits} + {gap}) & 1L = 1L end"
+    return F.expr(f"if(abs(length({a}) - length({b})) > {edits}, false, {_let('z', _trimmed(a, b), test)})")
 
 
-def _segment(length: str, parts: int, i: int) -> tuple[str, str]:
-    """SQL of start (from 1) and length of segment i (from 0) of a line: the last ones are the longer."""
-    base, short = f"({length} div {parts})", f"({parts} - {length} % {parts})"
-    return f"(1 + {i} * {base} + greatest(0, {i} - {short}))", f"({base} + if({i} >= {short}, 1, 0))"
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """(d, h, n, line, size, x, y) of the lines that take part; d and h name the document, x and y the line."""
+    each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    each = each.withColumn("line", F.trim("line")).withColumn("size", F.length("line")).where(F.col("size") >= shortest)
+    return each.withColumn("x", F.xxhash64("line")).withColumn("y", F.xxhash64(F.lit(1), "line"))
 
 
-def segment_keys(line: str = "line", size: str = "size", edits: int = EDITS) -> Column:
-    """Array of (key, own): own keys are those of the line's own segments, the others are asked for only."""
-    parts, out = edits + 1, []
-    for less in range(edits + 1):
-        length = f"({size} - {less})"
-        for i in range(parts):
-            start, n = _segment(length, parts, i)
-            left, right = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(left, right + 1):
-                own = "true" if less == 0 and shift == 0 else "false"
-                inside = f"{start} + {shift} >= 1 and {start} + {shift} + {n} - 1 <= {size}"
-                key = f"xxhash64({length}, {i}, substring({line}, cast({start} + {shift} as int), cast({n} as int)))"
-                out.append(f"if({inside}, named_struct('key', {key}, 'own', {own}), null)")
-    return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
+def _bound(edits: int, sets: list[str]) -> Callable[[str, str], Column]:
+    """An edit changes the length by one at most and the counts of two classes by one each."""
+    apart = " + ".join(f"abs({{0}}.n{k} - {{1}}.n{k})" for k in range(len(sets) + 1))
+    return lambda x, y: F.expr(f"abs({x}.size - {y}.size) <= {edits} and {apart.format(x, y)} <= {2 * edits}")
 
 
-def _lines(docs: DataFrame, shortest: int) -> DataFrame:
-    """(d, h, n, line, size, id, check) of the lines that take part; d and h name the document."""
-    each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    each = each.withColumn("line", F.trim("line")).withColumn("size", F.length("line")).where(F.col("size") >= shortest)
-    return each.withColumn("id", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(1), "line"))
+def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The pairs (a, b) of ids whose lines are within the edits."""
+    side = lambda name: texts.select(F.col("id").alias(name), F.col("line").alias(f"line_{name}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(within("line_a", "line_b", edits)).select("a", "b")
+
+
+def alike_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
+    """From distinct lines (id, line, size): the components (id, component) of those within the edits of another."""
+    long = distinct.where(F.col("size") >= MIN_CHARS).select("id", "line", "size")
+    sets: list[str] = []
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return long.join(ids.where("id >= 0"), "id")
+
+    def finer(ids: DataFrame, texts: DataFrame) -> DataFrame:
+        open_lines = written(texts.join(ids, "id"), "open")
+        sets[:] = class_sets(open_lines, edits)
+        kept = open_lines.select("id", *[k.alias(f"k{i}") for i, k in enumerate(kept_classes(sets))])
+        two = [f"xxhash64({i}, {j}, k{i}, k{j})" for i, j in combinations(range(len(sets) + 1), 2)]
+        return kept.select(F.expr(f"explode(array({', '.join(two)}))").alias("key"), "id", F.lit(True).alias("own"))
+
+    def bound(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
+        counts = [F.length(k).alias(f"n{i}") for i, k in enumerate(kept_classes(sets))]
+        return texts.join(ids, "id").select("id", "size", *counts), _bound(edits, sets)
+
+    return linked(segment_keys(long, edits), fetch, lambda pairs, texts: verified(pairs, texts, edits), bound, finer)[1]
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(d, h, n, near): the lines to take out; near if the line has no exact match before it."""
     lines = _lines(docs, shortest)
+    distinct = lines.groupBy("x", "y", "line", "size").agg(F.count("*").alias("times")).withColumn("id", F.monotonically_increasing_id())
+    distinct = written(distinct, "distinct")
+    component = written(alike_lines(distinct, edits), "components")
+    classes = distinct.select("id", "x", "y", "times").join(component, "id", "left").where("times > 1 or component is not null")
+    classes = written(classes.select("id", "x", "y", F.coalesce("component", "id").alias("class")), "classes")
+    with filtered_early(docs.sparkSession):
+        found = written(lines.select("x", "y", "d", "h", "n").join(classes.where("id >= 0"), ["x", "y"]).drop("x", "y"), "found")
     place = F.struct(F.col("d").isNull().alias("none"), "d", "h", "n")
-    exact = written(
-        lines.select("id", "check", "d", "h", "n").groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-        .select("id", "first", "times"), "exact",
-    )
-    long = lines.where(F.col("size") >= MIN_CHARS).select("id", "line", "size").distinct()  # keys are many: once for each text
-    keys = long.select("id", F.explode(segment_keys(edits=edits)).alias("k")).select("k.key", "id", "k.own").repartition("key")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        places = written(exact.join(ids, "id").select("id", F.col("first.d").alias("pd"), "first.h", "first.n"), "places")
-        whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-        found = whole.join(places.where("n >= 0"), "h").where(F.col("d").eqNullSafe(F.col("pd")))
-        return found.select("id", F.trim(F.expr("split(text, '\\n', -1)[n]")).alias("line")).dropDuplicates(["id"])
-
-    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        side = lambda name: texts.select(F.col("id").alias(name), F.col("line").alias(f"line_{name}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a")
-        return both.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b")
-
-    _, component = linked(keys, fetch, verify)
-    component = written(component, "components")
-    classes = exact.join(component, "id", "left").where("times > 1 or component is not null").select("id", F.coalesce("component", "id").alias("class"), "first")
-    stays = classes.groupBy("class").agg(F.min("first").alias("stays"))
-    classes = written(classes.join(stays, "class").select("id", "first", "stays"), "classes")
-    return lines.select("id", "d", "h", "n").join(classes, "id").where("not (d <=> stays.d and h = stays.h and n = stays.n)").select(
+    firsts = found.groupBy("id", "class").agg(F.min(place).alias("first"))
+    stays = firsts.groupBy("class").agg(F.min("first").alias("stays"))
+    firsts = written(firsts.join(stays, "class").select("id", "first", "stays"), "firsts")
+    return found.join(firsts, "id").where("not (d <=> stays.d and h = stays.h and n = stays.n)").select(
         "d", "h", "n", F.expr("d <=> first.d and h = first.h and n = first.n").alias("near")
     )
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """docs in a struct (row) with n_lines, n_dropped, n_near and kept_text."""
-    gone = dropped_lines(docs, edits, shortest).distinct().groupBy("d", "h").agg(F.collect_set("n").alias("gone"), F.count_if("near").alias("n_near"))
+    gone = dropped_lines(docs, edits, shortest).groupBy("d", "h", "n").agg(F.max("near").alias("near"))
+    gone = gone.groupBy("d", "h").agg(F.sort_array(F.collect_list("n")).alias("gone"), F.count_if("near").alias("n_near"))
     gone = gone.withColumnsRenamed({"d": "gone_d", "h": "gone_h"})
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"))
     joined = rows.join(gone, F.expr("h = gone_h and d <=> gone_d"), "left")
-    kept = F.expr("array_join(filter(split(row.text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n')")
+    # a mark for each line up to the last that goes, so that lines are looked up by position
+    marks = "split(array_join(transform(gone, (x, i) -> concat(repeat('0', x - coalesce(get(gone, i - 1), -1) - 1), '1')), ''), '')"
+    joined = joined.withColumn("marks", F.expr(marks))
+    kept = F.expr("array_join(filter(split(row.text, '\n', -1), (x, i) -> not coalesce(get(marks, i) = '1', false)), '\n')")
     return joined.select(
         "row", "d", F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("kept_text"),

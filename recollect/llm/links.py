@@ -2,10 +2,12 @@
 
 A candidate group holds the ids that share one key (a band bucket, a segment). First every member is
 compared with the group's centre, the member that has the most company over all its groups: of a family
-of copies that is the text closest to the common original. Connected members form a component. Only where
-a group still spans several components are its members compared across them, and there a bound that the
-caller computes in linear work keeps pairs that can't be links out of the join. Every candidate pair ends
-up compared, bounded away or inside one component, so the components are those of all pairs.
+of copies that is the text closest to the common original. Connected members form a component. Where a
+group still spans several components its members are dealt anew into finer groups, if the caller knows
+keys that every link among them shares, and compared with the centres of those. Only what is open then is
+compared across components, and there a bound that the caller computes in linear work keeps pairs that
+can't be links out of the join. Every candidate pair ends up compared, bounded away, without a common
+finer key or inside one component, so the components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -21,50 +23,83 @@ from recollect.shared import filtered_early, written
 Fetch = Callable[[DataFrame], DataFrame]
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 Bound = Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
+Finer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def centred(groups: DataFrame) -> DataFrame:
-    """(key, id, own) of the groups with more than one member, with each group's centre (an own member)."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m"), F.min("id").alias("l"), F.max("id").alias("h"))
-    members = written(groups.join(sizes.where("l <> h and m > 0").select("key", "n"), "key"), "members")
+def shared_groups(groups: DataFrame) -> DataFrame:
+    """(key, id, own, n) of the groups that more than one row shares, an own one among them; n counts rows.
+
+    Keys are counted first, each as a number of two extremes: a row's id is a number of its own, and
+    ~id stands for one that isn't own. The rows of open keys are then made again and joined with them, so
+    that of keys that nobody shares, nearly all of them, only the count is shuffled."""
+    mark = F.when(F.col("own"), F.col("id")).otherwise(F.bitwise_not("id"))
+    sizes = groups.select("key", mark.alias("v")).groupBy("key").agg(F.min("v").alias("l"), F.max("v").alias("h"), F.count("*").alias("n"))
+    shared = written(sizes.where("h >= 0 and l <> h").select("key", "n"), "shared")
+    with filtered_early(groups.sparkSession):
+        return written(groups.join(shared.where("n > 1"), "key").select("key", "id", "own", "n"), "members")
+
+
+def centred(members: DataFrame) -> DataFrame:
+    """(key, id, own, centre) of shared_groups(): with each group's centre, an own member."""
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     centres = members.where("own").join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("centre"))
-    return members.drop("n").join(centres, "key")
+    return written(members.drop("n").join(centres, "key"), "centred")
 
 
-def linked(groups: DataFrame, fetch: Fetch, verify: Verify, bound: Bound | None = None) -> tuple[DataFrame, DataFrame]:
-    """(verified pairs (a, b) with a < b, components (id, component) of the ids in them).
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    groups: (key, id, own), own marking ids that may stand on either side of a pair; an id that is not own
-    is compared with own ids only. fetch takes the ids of all members and returns their contents; verify
-    takes pairs and contents and keeps the rows (a, b) that are true links. bound takes ids and contents and
-    returns the ids with columns, and the condition on the columns of two ids under which they may be a link.
-    """
-    members = written(centred(groups), "centred")
-    with filtered_early(groups.sparkSession):
-        contents = written(fetch(members.select("id").distinct()), "contents")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = members.where("centre <> id").select(*pair("centre", "id")).distinct()
-    first = written(verify(written(stars, "stars"), contents), "links")
-    component = written(connected_components(first), "components")
+
+def _stars(members: DataFrame) -> DataFrame:
+    return members.where("centre <> id").select(*_pair("centre", "id")).distinct()
+
+
+def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, id, own, c) of the groups that span several components, c being the component."""
+    component = written(connected_components(edges), "components")
     of = lambda name: component.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c"))
     placed = (
         members.join(of("id"), "id", "left").join(of("centre"), "centre", "left")
         .select("key", "id", "own", F.coalesce("id_c", "id").alias("c"), F.coalesce("centre_c", "centre").alias("m"))
     )
     open_keys = placed.where("c <> m").select("key").distinct()
-    rest = written(placed.join(open_keys, "key", "left_semi").select("key", "id", "own", "c").distinct(), "rest")
+    return written(placed.join(open_keys, "key", "left_semi").select("key", "id", "own", "c").distinct(), "rest")
+
+
+def _across(rest: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs of one group and two components that may be links; of the groups that a pair shares one forms it."""
+    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"))
+    rest = written(rest.join(keys, "id"), "rest")
+    once = F.expr("array_min(array_intersect(x.keys, y.own_keys)) = x.key")
+    met = F.expr("x.key = y.key and x.c <> y.c and x.id <> y.id and (not x.own or x.id < y.id)")
+    return rest.alias("x").join(rest.where("own").alias("y"), met & may("x", "y") & once).select(*_pair("x.id", "y.id")).distinct()
+
+
+def linked(groups: DataFrame, fetch: Fetch, verify: Verify, bound: Bound | None = None, finer: Finer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verified pairs (a, b) with a < b, components (id, component) of the ids in them).
+
+    groups: (key, id, own), ids from 0, own marking ids that may stand on either side of a pair; an id that
+    is not own is compared with own ids only. fetch takes the ids of all members and returns their contents;
+    verify takes pairs and contents and keeps the rows (a, b) that are true links. finer takes ids and
+    contents and returns groups such that ids which may be a link share one. bound takes ids and contents and
+    returns the ids with columns, and the condition on the columns of two ids under which they may be a link.
+    """
+    members = centred(shared_groups(groups))
+    with filtered_early(groups.sparkSession):
+        contents = written(fetch(members.select("id").distinct()), "contents")
+    tried = written(_stars(members), "stars")
+    edges = written(verify(tried, contents), "links")
+    rest = _open(members, edges)
+    if finer:
+        members = centred(shared_groups(finer(rest.select("id").distinct(), contents)))
+        stars = written(_stars(members).join(tried, ["a", "b"], "left_anti"), "stars")
+        edges = written(edges.unionByName(verify(stars, contents)).distinct(), "links")
+        tried = tried.unionByName(stars)
+        rest = _open(members, edges)
     may = lambda x, y: F.lit(True)
     if bound:
         ids, may = bound(rest.select("id").distinct(), contents)
         rest = written(rest.join(ids, "id"), "rest")
-    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"))
-    rest = written(rest.join(keys, "id"), "rest")
-    once = F.expr("array_min(array_intersect(x.keys, y.own_keys)) = x.key")  # of the groups that a pair shares one forms it
-    across = (
-        rest.alias("x").join(rest.where("own").alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id <> y.id and (not x.own or x.id < y.id)") & may("x", "y") & once)
-        .select(*pair("x.id", "y.id")).distinct()
-    )
-    second = written(verify(written(across.join(stars, ["a", "b"], "left_anti"), "across"), contents), "links")
-    edges = first.unionByName(second).distinct()
+    across = written(_across(rest, may).join(tried, ["a", "b"], "left_anti"), "across")
+    edges = written(edges.unionByName(verify(across, contents)).distinct(), "links")
     return edges, connected_components(edges)

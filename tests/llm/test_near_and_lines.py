@@ -2,12 +2,14 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm.line_dedup import line_decisions, line_digests, segment_keys, without_repeated_lines
+from recollect.llm import line_dedup
+from recollect.llm.line_dedup import alike_lines, class_sets, kept_classes, line_decisions, line_digests, segment_keys, within, without_repeated_lines
 from recollect.llm.near_dedup import THRESHOLD, bag_minhash, near_duplicate_classes, without_near_duplicates
 from recollect.llm.words import bag_overlap, mix, shingle_bags, word_hashes
 
@@ -129,7 +131,7 @@ def test_line_dedup_matches_brute_force(spark, edits):
             lines.append("".join(x))
         docs.append((d, "\n".join(lines)))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = {r.d: r.kept_text for r in line_decisions(frame, edits).collect()}
+    got = {r.d: r.kept_text for r in line_decisions(frame, edits, 24).collect()}
     assert got == lines_by_force(docs, edits)
 
 
@@ -155,17 +157,70 @@ def test_line_dedup_takes_short_repeats_and_three_edits(spark):
     assert {r.doc_id: (r.n_dropped, r.n_near) for r in line_digests(docs).collect()} == {0: (0, 0), 1: (1, 0), 2: (1, 1), 3: (0, 0), 4: (2, 0)}
 
 
-def test_segments_cover_close_lines(spark):
-    rng = random.Random(3)
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_segments_and_classes_cover_close_lines(spark, edits):
+    rng = random.Random(edits)
     pairs = []
-    for i in range(300):
-        a = "".join(rng.choice("abcdef") for _ in range(rng.randint(24, 50)))
+    for i in range(1500):
+        a = [rng.choice("abcdef é") for _ in range(rng.randint(24, 150))]
         b = list(a)
-        for _ in range(2):
-            k = rng.randrange(len(b))
+        for _ in range(edits):
+            k = rng.choice([0, len(b) - 1, rng.randrange(len(b))])
             b[k : k + 1] = rng.choice([[], ["x"], [b[k], "y"]])
-        pairs.append((i, a, "".join(b)))
-    frame = spark.createDataFrame(pairs, "i long, a string, b string").selectExpr("i", "if(length(a) >= length(b), a, b) as line", "if(length(a) >= length(b), b, a) as other")
-    keys = lambda c: frame.select("i", F.col(c).alias("line")).withColumn("size", F.length("line")).select("i", F.explode(segment_keys(edits=2)).alias("k")).select("i", "k.*")
-    met = keys("line").join(keys("other").where("own"), ["i", "key"]).select("i").distinct().count()
-    assert met == 300
+        if len(b) >= 24:
+            pairs.append((i, "".join(a), "".join(b)))
+    frame = spark.createDataFrame(pairs, "id long, a string, b string").selectExpr("id", "if(length(a) >= length(b), a, b) as a", "if(length(a) >= length(b), b, a) as b")
+    side = lambda c: frame.select("id", F.col(c).alias("line"), F.length(c).alias("size"))
+    met = segment_keys(side("a"), edits).join(segment_keys(side("b"), edits).where("own"), ["id", "key"]).select("id").distinct().count()
+    assert met == len(pairs)
+    sets = class_sets(side("a"), edits)
+    two = [F.xxhash64(F.lit(i), F.lit(j), x, y) for (i, x), (j, y) in combinations(enumerate(kept_classes(sets)), 2)]
+    keys = lambda c: side(c).select("id", F.explode(F.array(*two)).alias("key"))
+    assert keys("a").join(keys("b"), ["id", "key"]).select("id").distinct().count() == len(pairs)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3, 4])
+def test_bits_equal_the_edit_distance(spark, edits):
+    rng, rows = random.Random(edits), [("", ""), ("a", ""), ("", "abc"), ("a" * 3000, "a" * 2998 + "b")]
+    for _ in range(1200):
+        a = [rng.choice("abé😀") for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + 1] = rng.choice([[], ["z"], ["y", "b"]])
+        rows.append(("".join(a), "".join(b)))
+    frame = spark.createDataFrame(rows, "a string, b string")
+    assert [r.got for r in frame.select(within("a", "b", edits).alias("got")).collect()] == [edit(a, b) <= edits if len(a) < 1000 else edits >= 2 for a, b in rows]
+
+
+def test_lines_that_share_a_half_form_few_pairs(spark):
+    """n lines with a common half, or with one of many words replaced, must not meet in n * n pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9)))
+    half, base = " ".join(word() for _ in range(12)), [word() for _ in range(24)]
+    lines = [f"{half} {' '.join(word() for _ in range(12))}" for _ in range(400)]
+    for _ in range(400):
+        line = list(base)
+        for _ in range(3):
+            line[rng.randrange(len(line))] = word()
+        lines.append(" ".join(line))
+    near = [x[:-1] + "?" for x in lines[:40]]
+    frame = spark.createDataFrame(list(enumerate(lines + near)), "id long, line string").withColumn("size", F.length("line"))
+    asked = []
+
+    def counted(pairs, texts, edits, verify=line_dedup.verified):
+        asked.append(pairs.count())
+        return verify(pairs, texts, edits)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "verified", counted)
+        found = alike_lines(frame, 3).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in found) == [2] * 40
+    assert sum(asked) < 10 * len(lines)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    text = "\n".join(f"row {i % 7000} of a long list of things, each with its number {i % 7000:06d}" for i in range(14000)) + "\n" + "x" * 300_000
+    docs = spark.createDataFrame([(1, text), (2, text[:100])], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_digests(docs, 0).collect()}
+    assert (got[1].n_lines, got[1].n_dropped, got[2].n_dropped) == (14001, 7000, 1)
