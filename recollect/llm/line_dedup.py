@@ -6,7 +6,7 @@ word, are compared exactly if at least `shortest` long (1 in the query and the p
 isn't empty). Order is that of (doc_id, line), so the first of a class of alike lines stays where it is.
 
 Exact repeats meet by two 64-bit hashes and the text itself. For the rest (after Li et al., "Pass-Join",
-2011), lines are indexed by ranges of length, each an eighth of an octave. All lines of a range are split
+2011), lines are indexed by ranges of length, each a quarter of an octave. All lines of a range are split
 alike: EDITS + 1 segments of one length, half of them counted from the line's start and half from its end.
 Of two lines within EDITS edits, some segment i from the start is whole and stands at most i places from its
 own in the other line, or one from the end likewise: otherwise i segments hold more than i edits each way,
@@ -50,8 +50,8 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _range(size: str) -> str:
-    """SQL of the least length of the range of size: ranges are 8 wide, from 128 on an eighth of the octave."""
-    return f"({size} - {size} % greatest(8, shiftleft(1, length(bin({size})) - 4)))"
+    """SQL of the least length of the range of size: ranges are 8 wide, from 64 on a quarter of the octave."""
+    return f"({size} - {size} % greatest(8, shiftleft(1, length(bin({size})) - 3)))"
 
 
 def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -77,10 +77,11 @@ def class_sets(lines: DataFrame, edits: int) -> list[str]:
 
 def kept_classes(sets: list[str]) -> list[Column]:
     """For each class the line without the characters of all others."""
-    escaped = ["".join(f"\\x{{{ord(c):x}}}" for c in s) for s in sets]
-    all_others = "".join(escaped)
-    first = F.regexp_replace("line", f"[{all_others}]", "") if all_others else F.col("line")
-    return [first, *[F.regexp_replace("line", f"[^{s}]", "") if s else F.lit("") for s in escaped]]
+    dealt, named = "".join(sets), F.col("line")
+    if dealt:
+        named = F.regexp_replace("line", "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in dealt) + "]", "")
+    others = lambda s: "".join(x for x in sets if x != s)
+    return [F.translate("line", dealt, ""), *[F.translate(named, others(s), "") if s else F.lit("") for s in sets]]
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -114,11 +115,12 @@ def within(a: str, b: str, edits: int) -> Column:
     every = sum(1 << lane * e for e in range(lanes))
     low = lambda bits: f"{every * ((1 << bits) - 1)}L"
     begin = sum(1 << lane * e + edits + j for e in range(lanes) for j in range(e + 1))
-    same = " | ".join(f"if(get(ys, i + {k - edits}) = x, {every << k}L, 0L)" for k in range(2 * edits + 1))
-    moved = f"((s & m) | (shiftleft(s, {lane}) | shiftleft(s, {lane - 1})) & {low(2 * edits + 1)})"
-    further = " | ".join([moved, *[f"shiftleft({moved} & {low(2 * edits + 1 - j)}, {j * (lane + 1)})" for j in range(1, lanes)]])
-    steps = _let("ys", "split(z.b, '')", f"transform(split(z.a, ''), (x, i) -> {same})")
-    last = f"aggregate({steps}, {begin}L, (s, m) -> ({further}) & {(1 << lane * lanes) - 1}L)"
+    same = " | ".join(f"if(get(ys, c.i + {k - edits}) = c.x, {every << k}L, 0L)" for k in range(2 * edits + 1))
+    moved = f"((s & ({same})) | (shiftleft(s, {lane}) | shiftleft(s, {lane - 1})) & {low(2 * edits + 1)})"
+    further = " | ".join(["m", *[f"shiftleft(m & {low(2 * edits + 1 - j)}, {j * (lane + 1)})" for j in range(1, lanes)]])
+    step = _let("m", moved, f"({further}) & {(1 << lane * lanes) - 1}L")
+    places = "transform(split(z.a, ''), (x, i) -> named_struct('x', x, 'i', i))"
+    last = _let("ys", "split(z.b, '')", f"aggregate({places}, {begin}L, (s, c) -> if(s = 0L, 0L, {step}))")
     gap = "(length(z.b) - length(z.a))"
     test = f"case when abs{gap} > {edits} then false when z.a = '' or z.b = '' then true else shiftright({last}, {lane * edits + edits} + {gap}) & 1L = 1L end"
     return F.expr(f"if(abs(length({a}) - length({b})) > {edits}, false, {_let('z', _trimmed(a, b), test)})")
@@ -126,15 +128,16 @@ def within(a: str, b: str, edits: int) -> Column:
 
 def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     """(d, h, n, line, size, x, y) of the lines that take part; d and h name the document, x and y the line."""
-    each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
+    each = whole.select("d", "h", F.posexplode("lines").alias("n", "line"))
     each = each.withColumn("line", F.trim("line")).withColumn("size", F.length("line")).where(F.col("size") >= shortest)
     return each.withColumn("x", F.xxhash64("line")).withColumn("y", F.xxhash64(F.lit(1), "line"))
 
 
-def _bound(edits: int, sets: list[str]) -> Callable[[str, str], Column]:
-    """An edit changes the length by one at most and the counts of two classes by one each."""
-    apart = " + ".join(f"abs({{0}}.n{k} - {{1}}.n{k})" for k in range(len(sets) + 1))
-    return lambda x, y: F.expr(f"abs({x}.size - {y}.size) <= {edits} and {apart.format(x, y)} <= {2 * edits}")
+def _bound(x: str, y: str, edits: int) -> Column:
+    """What lines within the edits meet: an edit changes the length by one at most, and the counts of two classes by one each."""
+    apart = " + ".join(f"abs({x}.n{i} - {y}.n{i})" for i in range(2 * edits + 2))
+    return F.expr(f"abs({x}.size - {y}.size) <= {edits} and {apart} <= {2 * edits}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -146,21 +149,22 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFram
 def alike_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     """From distinct lines (id, line, size): the components (id, component) of those within the edits of another."""
     long = distinct.where(F.col("size") >= MIN_CHARS).select("id", "line", "size")
-    sets: list[str] = []
+    stored: list[DataFrame] = []
 
     def fetch(ids: DataFrame) -> DataFrame:
-        return long.join(ids.where("id >= 0"), "id")
+        with filtered_early(ids.sparkSession):
+            return written(long.join(ids.where("id >= 0"), "id"), "wanted")
 
     def finer(ids: DataFrame, texts: DataFrame) -> DataFrame:
         open_lines = written(texts.join(ids, "id"), "open")
-        sets[:] = class_sets(open_lines, edits)
-        kept = open_lines.select("id", *[k.alias(f"k{i}") for i, k in enumerate(kept_classes(sets))])
-        two = [f"xxhash64({i}, {j}, k{i}, k{j})" for i, j in combinations(range(len(sets) + 1), 2)]
-        return kept.select(F.expr(f"explode(array({', '.join(two)}))").alias("key"), "id", F.lit(True).alias("own"))
+        kept = kept_classes(class_sets(open_lines, edits))
+        stored[:] = [written(open_lines.select("id", "size", *[k.alias(f"k{i}") for i, k in enumerate(kept)]), "classes")]
+        two = [f"xxhash64({i}, {j}, k{i}, k{j})" for i, j in combinations(range(len(kept)), 2)]
+        return stored[0].select(F.expr(f"explode(array({', '.join(two)}))").alias("key"), "id", F.lit(True).alias("own"))
 
     def bound(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
-        counts = [F.length(k).alias(f"n{i}") for i, k in enumerate(kept_classes(sets))]
-        return texts.join(ids, "id").select("id", "size", *counts), _bound(edits, sets)
+        counts = [F.length(f"k{i}").alias(f"n{i}") for i in range(2 * edits + 2)]
+        return stored[0].join(ids, "id").select("id", "size", *counts), lambda x, y: _bound(x, y, edits)
 
     return linked(segment_keys(long, edits), fetch, lambda pairs, texts: verified(pairs, texts, edits), bound, finer)[1]
 

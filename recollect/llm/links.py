@@ -20,23 +20,29 @@ from pyspark.sql import functions as F
 from recollect.operators.graph import connected_components
 from recollect.shared import filtered_early, written
 
+#: Up to so many keys (8 MB of them) are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
 Fetch = Callable[[DataFrame], DataFrame]
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 Bound = Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
 Finer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def shared_groups(groups: DataFrame) -> DataFrame:
-    """(key, id, own, n) of the groups that more than one row shares, an own one among them; n counts rows.
+def shared_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of the groups of two rows, (key, id, own, n) of the larger groups; n counts rows).
 
-    Keys are counted first, each as a number of two extremes: a row's id is a number of its own, and
-    ~id stands for one that isn't own. The rows of open keys are then made again and joined with them, so
-    that of keys that nobody shares, nearly all of them, only the count is shuffled."""
+    Only groups with an own row count. Keys are counted first, with the two extremes of a number that stands
+    for a row: its id, or ~id if it isn't own. Of keys that nobody shares, nearly all, that is all that is
+    ever shuffled, and groups of two are known from it. The rows of larger groups are made again."""
     mark = F.when(F.col("own"), F.col("id")).otherwise(F.bitwise_not("id"))
     sizes = groups.select("key", mark.alias("v")).groupBy("key").agg(F.min("v").alias("l"), F.max("v").alias("h"), F.count("*").alias("n"))
-    shared = written(sizes.where("h >= 0 and l <> h").select("key", "n"), "shared")
+    shared = written(sizes.where("h >= 0 and l <> h"), "shared")
+    two = shared.where("n = 2").select("h", F.expr("if(l < 0, ~l, l)").alias("l")).where("h <> l").select(*_pair("h", "l")).distinct()
+    larger = shared.where("n > 2").select("key", "n")
+    few = larger.count() <= BROADCAST_KEYS
     with filtered_early(groups.sparkSession):
-        return written(groups.join(shared.where("n > 1"), "key").select("key", "id", "own", "n"), "members")
+        return two, written(groups.join(F.broadcast(larger) if few else larger, "key").select("key", "id", "own", "n"), "members")
 
 
 def centred(members: DataFrame) -> DataFrame:
@@ -51,19 +57,16 @@ def _pair(x: str, y: str) -> tuple[Column, Column]:
 
 
 def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of the members with the centres of their groups."""
     return members.where("centre <> id").select(*_pair("centre", "id")).distinct()
 
 
 def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, id, own, c) of the groups that span several components, c being the component."""
+    """(key, id, own, c) of what was compared with centres only: in groups where it spans several components, those being c."""
     component = written(connected_components(edges), "components")
-    of = lambda name: component.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c"))
-    placed = (
-        members.join(of("id"), "id", "left").join(of("centre"), "centre", "left")
-        .select("key", "id", "own", F.coalesce("id_c", "id").alias("c"), F.coalesce("centre_c", "centre").alias("m"))
-    )
-    open_keys = placed.where("c <> m").select("key").distinct()
-    return written(placed.join(open_keys, "key", "left_semi").select("key", "id", "own", "c").distinct(), "rest")
+    placed = members.where("id <> centre").join(component, "id", "left").select("key", "id", "own", F.coalesce("component", "id").alias("c"))
+    spread = placed.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h"), F.max("own").alias("some")).where("l <> h and some")
+    return written(placed.join(spread.select("key"), "key", "left_semi").distinct(), "rest")
 
 
 def _across(rest: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
@@ -79,20 +82,22 @@ def linked(groups: DataFrame, fetch: Fetch, verify: Verify, bound: Bound | None
     """(verified pairs (a, b) with a < b, components (id, component) of the ids in them).
 
     groups: (key, id, own), ids from 0, own marking ids that may stand on either side of a pair; an id that
-    is not own is compared with own ids only. fetch takes the ids of all members and returns their contents;
+    is not own is compared with own ids only. fetch takes ids, as a written table, and returns their contents, written too;
     verify takes pairs and contents and keeps the rows (a, b) that are true links. finer takes ids and
     contents and returns groups such that ids which may be a link share one. bound takes ids and contents and
     returns the ids with columns, and the condition on the columns of two ids under which they may be a link.
     """
-    members = centred(shared_groups(groups))
-    with filtered_early(groups.sparkSession):
-        contents = written(fetch(members.select("id").distinct()), "contents")
-    tried = written(_stars(members), "stars")
+    pairs, members = shared_groups(groups)
+    members = centred(members)
+    tried = written(pairs.unionByName(_stars(members)).distinct(), "stars")
+    ids = tried.select(F.col("a").alias("id")).unionAll(tried.select(F.col("b").alias("id"))).distinct()
+    contents = fetch(written(ids, "ids"))
     edges = written(verify(tried, contents), "links")
     rest = _open(members, edges)
     if finer:
-        members = centred(shared_groups(finer(rest.select("id").distinct(), contents)))
-        stars = written(_stars(members).join(tried, ["a", "b"], "left_anti"), "stars")
+        pairs, members = shared_groups(finer(rest.select("id").distinct(), contents))
+        members = centred(members)
+        stars = written(pairs.unionByName(_stars(members)).distinct().join(tried, ["a", "b"], "left_anti"), "stars")
         edges = written(edges.unionByName(verify(stars, contents)).distinct(), "links")
         tried = tried.unionByName(stars)
         rest = _open(members, edges)

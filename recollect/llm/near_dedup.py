@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from recollect.llm.links import linked
 from recollect.llm.words import U, bag_overlap, mix, shingle_bags
-from recollect.shared import written
+from recollect.shared import filtered_early, written
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 30, 6, 5, 0.8
 _GROUP = 256
@@ -106,14 +106,15 @@ def _with_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             some = [i for i, (x, _) in enumerate(bags) if len(x)]
             bands: list[list[int] | None] = [None] * len(bags)
             node: list[int | None] = [None] * len(bags)
+            check: list[int | None] = [None] * len(bags)
             if some:
                 found = band_hashes(bag_minhash([bags[i] for i in some], BANDS * ROWS), BANDS, ROWS)
                 for i, row in zip(some, found, strict=True):
-                    name = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].astype("<i8").tobytes(), digest_size=8).digest()
-                    node[i], bands[i] = int.from_bytes(name, "little", signed=True), row
+                    name = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].astype("<i8").tobytes(), digest_size=16).digest()
+                    node[i], check[i], bands[i] = *np.frombuffer(name, "<i8").tolist(), row
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), pa.array(node, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "node", "size", "bands"],
+                [part.column("row"), part.column("doc_id"), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "node", "check", "size", "bands"],
             )
 
 
@@ -141,24 +142,22 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """docs as a table in the shared folder: row (a struct of its columns), doc_id, node, size, bands, uid."""
+    """docs as a table in the shared folder: row (a struct of its columns), doc_id, node and check (which name the multiset), size, bands, uid."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in ("node", "check", "size")], T.StructField("bands", T.ArrayType(T.LongType()))])
     return written(rows.mapInArrow(_with_signatures, schema).withColumn("uid", F.monotonically_increasing_id()), "signed")
 
 
-def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From signed(): (node and its class, a node too; the rows' uid, doc_id, node)."""
-    rows = table.select("uid", "doc_id", "node")
-    nodes = written(
-        table.where("node is not null").groupBy("node")
-        .agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes",
-    )
-    groups = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"), F.lit(True).alias("own"))
+def near_duplicates(table: DataFrame) -> DataFrame:
+    """From signed(): (node, check, class) of every multiset; the class is one number for all near copies."""
+    nodes = table.where("node is not null").groupBy("node", "check").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    groups = nodes.select(F.explode("bands").alias("key"), "id", F.lit(True).alias("own"))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        places = written(nodes.join(ids.withColumnRenamed("id", "node"), "node").select("uid"), "places")
-        return table.select("uid", F.col("node").alias("id"), F.col("row.text").alias("t")).join(places.where("uid >= 0"), "uid").select("id", "t")
+        places = written(nodes.join(ids, "id").select("uid", "id"), "places")
+        with filtered_early(ids.sparkSession):
+            return written(table.select("uid", F.col("row.text").alias("t")).join(places.where("uid >= 0"), "uid").select("id", "t"), "wanted")
 
     def bound(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
         """What no other open text has can't overlap: with size shingles each and met of them met elsewhere,
@@ -166,7 +165,7 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
         shingles = texts.join(ids, "id").mapInArrow(_shingles, "id long, shingle long, n long")
         alone = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.sum("n").alias("n")).where("texts = 1")
         alone = alone.groupBy("id").agg(F.sum("n").alias("alone"))
-        sizes = nodes.select(F.col("node").alias("id"), "size").join(ids, "id").join(alone, "id", "left")
+        sizes = nodes.select("id", "size").join(ids, "id").join(alone, "id", "left")
         met = sizes.select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("met"))
         most = lambda x, y: F.least(f"{x}.met", f"{y}.met")
         union = lambda x, y: F.col(f"{x}.size") + F.col(f"{y}.size") - most(x, y)
@@ -177,15 +176,13 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
     _, component = linked(groups, fetch, verify, bound)
-    classes = nodes.select("node").join(component.withColumnRenamed("id", "node"), "node", "left")
-    return classes.select("node", F.coalesce("component", "node").alias("class")), rows
+    return nodes.select("node", "check", "id").join(component, "id", "left").select("node", "check", F.coalesce("component", "id").alias("class"))
 
 
 def decided(table: DataFrame) -> DataFrame:
     """For each row of signed(): uid, doc_id, class_id (doc_id of the row that stays), class_size, kept."""
-    classes, rows = near_duplicates(table)
-    classes = written(classes, "classes")
-    placed = written(rows.join(classes, "node", "left"), "placed")
+    classes = written(near_duplicates(table), "classes")
+    placed = written(table.select("uid", "doc_id", "node", "check").join(classes, ["node", "check"], "left"), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
     stays = placed.where("class is not null").groupBy("class").agg(F.min(order).alias("best"), F.count("*").alias("class_size"))
     best = F.coalesce("best.uid", "uid")
