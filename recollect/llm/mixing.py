@@ -1,17 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of source, language and topic. Cells start with their tokens and are raked: in turn
-each dimension's cells are scaled so that the dimension's totals meet its targets, until (after ROUNDS
-rounds) all three sets of targets hold together. A document is then drawn with the probability
-
-    budget * raked share of its cell / share of its cell's tokens, at most 1,
-
-by a hash of its doc_id, so that the draw is the same on every run and for every copy of the row.
-
-Targets are shares of tokens to the power ALPHA, scaled to sum to one, unless given: below 1 that lifts what
-is rare. Tokens are estimated at a quarter of the characters, rounded up, at least one. The topic is given
-by a column or expression; TOPIC, by default, tells listings, shouting, marked-up and plain text of three
-lengths apart.
+Documents fall into cells of source, language and topic. Every cell has a probability, BUDGET at first, and
+these are raked: in turn each dimension's cells are scaled so that the tokens expected to be drawn meet the
+dimension's targets. No probability passes 1: a cell that would is held there, and the next rounds make up
+for it in the others. After ROUNDS rounds they go on, up to MOST_ROUNDS, while any target is missed by more
+than the share TOLERANCE of it; targets that contradict each other can't all be met.
+A document is then drawn with its cell's probability, by a hash of its doc_id, so that the draw is the same
+on every run and for every copy of the row.
+
+Targets are shares of the drawn tokens: tokens to the power ALPHA, scaled to sum to one, unless given. Below
+1 that lifts what is rare. A value can't give more tokens than it has, so a target is at most HEADROOM of
+them; what that cuts off goes to the dimension's other values in proportion (`targets` has the outcome).
+Tokens are estimated at a quarter of the characters, rounded up, at least one.
+
+The topic is a column or expression of the caller. TOPIC, by default, is the register of the whole text:
+capitals, digits or symbols in excess, otherwise one of three lengths.
 
 Defined cases: a null text is empty; null in a dimension is the value "none". Given targets that name
 values without documents are left out and the rest scaled up; values without a target get none, so their
@@ -23,46 +26,97 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.shared import written
 
 DIMENSIONS = ("source", "lang", "topic")
-ALPHA, BUDGET, ROUNDS, EACH_PLAN = 0.7, 0.6, 8, 2
-_SIZE = "if(length(text) < 800, 'short', if(length(text) < 4000, 'medium', 'long'))"
+ALPHA, BUDGET, HEADROOM, ROUNDS, MOST_ROUNDS, EACH_PLAN, TOLERANCE = 0.7, 0.6, 0.9, 24, 200, 4, 0.005
+#: Most cells that the driver rakes (some 20 MB).
+HERE = 200_000
+#: {capitals}, {digits} and {symbols} are counts of such characters.
 TOPIC = (
-    "case when instr(text, ' | ') > 0 then 'listing' when instr(text, '!! ') > 0 then 'shouting' "
-    f"when instr(text, '&&&') > 0 then 'marked' else {_SIZE} end"
+    "case when {capitals} > 0.3 * length(text) then 'capitals' when {digits} > 0.15 * length(text) then 'digits' "
+    "when {symbols} > 0.12 * length(text) then 'symbols' when length(text) < 800 then 'short' when length(text) < 4000 then 'medium' else 'long' end"
 )
+_COUNTED = {"capitals": "[^A-Z]", "digits": "[^0-9]", "symbols": "[^!#$%&*+/<=>@^_|~]"}
 
 
-def _celled(docs: DataFrame, topic: str) -> DataFrame:
+def _celled(docs: DataFrame, topic: str | None) -> DataFrame:
     text = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    if topic is None:
+        topic = TOPIC.format(**{k: f"length(regexp_replace(text, '{v}', ''))" for k, v in _COUNTED.items()})
     dims = {f"mix_{d}": F.coalesce(F.col(d).cast("string"), F.lit("none")) for d in DIMENSIONS[:2]} | {"mix_topic": F.expr(topic)}
     return text.withColumns({**dims, "mix_tokens": F.greatest(F.lit(1), F.ceil(F.length("text") / 4)).cast("long")})
 
 
-def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
-    """cells (mix_source, mix_lang, mix_topic, tokens) with share and its raked value, weight."""
-    every = Window.partitionBy(F.lit(0))
-    now = cells.withColumn("share", F.col("tokens") / F.sum("tokens").over(every)).withColumn("weight", F.col("share"))
+def targets(cells: DataFrame, dimension: str, given: Mapping[str, float] | None = None, budget: float = BUDGET, alpha: float = ALPHA) -> DataFrame:
+    """(mix_<dimension>, aim, most) of cells with share: the value's share of all drawn tokens, and what it can give at most."""
+    value = f"mix_{dimension}"
+    if given is None:
+        wish = F.pow(F.sum("tokens").cast("double"), F.lit(alpha))
+    else:
+        wish = F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(value)], F.lit(0.0)).cast("double")
+    sums = written(cells.groupBy(value).agg(wish.alias("wish"), (F.sum("share") * HEADROOM / budget).alias("most")), "aims")
+    scale = None
+    while True:  # each round cuts off at least one more value, in practice a few rounds do
+        cut = F.col("wish") * scale > F.col("most") if scale else F.lit(False)
+        row = sums.agg(F.sum(F.when(cut, F.col("most")).otherwise(0.0)).alias("held"), F.sum(F.when(cut, 0.0).otherwise(F.col("wish"))).alias("free")).first()
+        new = (1.0 - (row["held"] or 0.0)) / row["free"] if row["free"] else 0.0
+        if scale is not None and new <= scale * (1 + 1e-12):
+            return sums.select(value, F.least(F.col("wish") * F.lit(new), "most").alias("aim"), "most")
+        scale = new
+
+
+def _residual(cells: DataFrame) -> float:
+    """The largest relative difference between what a value gives and its target."""
+    worst = 0.0
     for d in DIMENSIONS:
-        given = (targets or {}).get(d)
-        if given is None:
-            sums = cells.groupBy(f"mix_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("aim"))
-        else:
-            sums = cells.select(f"mix_{d}").distinct().withColumn("aim", F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(f"mix_{d}")], F.lit(0.0)).cast("double"))
-        sums = sums.withColumn(f"aim_{d}", F.col("aim") / F.sum("aim").over(every)).drop("aim")
-        now = now.join(sums, f"mix_{d}")
+        sums = cells.groupBy(f"mix_{d}").agg(F.sum(F.col("share") * F.col("probability")).alias("got"), F.first(f"aim_{d}").alias("aim")).where("aim > 0")
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("got") / F.col("aim") - 1))).first()[0] or 0.0)
+    return worst
+
+
+def _raked_here(cells: pd.DataFrame, rounds: int) -> np.ndarray:
+    """Probabilities of cells (share, probability, aim_<dimension>) that fit into memory."""
+    share, p, done = cells["share"].to_numpy(float), cells["probability"].to_numpy(float), 0
+    codes = {d: pd.factorize(cells[f"mix_{d}"])[0] for d in DIMENSIONS}
+    aims = {d: cells[f"aim_{d}"].to_numpy(float) for d in DIMENSIONS}
+    got = lambda d: np.bincount(codes[d], share * p)[codes[d]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while done < rounds or (done < MOST_ROUNDS and max(np.nanmax(np.where(aims[d] > 0, abs(got(d) / aims[d] - 1), 0)) for d in DIMENSIONS) > TOLERANCE):
+            for d in DIMENSIONS:
+                now = got(d)
+                p = np.minimum(1.0, np.where(now > 0, p * aims[d] / now, 0.0))
+            done += 1
+    return p
+
+
+def raked(cells: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, alpha: float = ALPHA, rounds: int = ROUNDS, here: int = HERE) -> DataFrame:
+    """cells (mix_source, mix_lang, mix_topic, tokens) with share and probability. Up to `here` cells are raked
+    by the driver, as the few numbers that they are; more of them stay in Spark."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    now = written(cells.withColumn("share", F.col("tokens") / F.lit(float(total))).withColumn("probability", F.lit(float(budget))), "cells")
+    for d in DIMENSIONS:
+        now = now.join(targets(now, d, (given or {}).get(d), budget, alpha).select(f"mix_{d}", (F.col("aim") * budget).alias(f"aim_{d}")), f"mix_{d}")
     now = written(now, "cells")
-    for done in range(rounds):
-        for d in DIMENSIONS:
-            total = F.sum("weight").over(Window.partitionBy(f"mix_{d}"))
-            now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"aim_{d}") / total).otherwise(F.lit(0.0)))
-        if done % EACH_PLAN == EACH_PLAN - 1:
-            now = written(now, "cells")
-    return now.withColumn("weight", F.col("weight") / F.sum("weight").over(every)).select(*[f"mix_{d}" for d in DIMENSIONS], "share", "weight")
+    result = [*[f"mix_{d}" for d in DIMENSIONS], "tokens", "share", "probability"]
+    if 0 < now.count() <= here:
+        few = now.orderBy(*[f"mix_{d}" for d in DIMENSIONS]).toPandas()
+        few["probability"] = _raked_here(few, rounds)
+        return cells.sparkSession.createDataFrame(few[result], now.select(*result).schema)
+    done = 0
+    while done < rounds or (done < MOST_ROUNDS and _residual(now) > TOLERANCE):
+        for _ in range(EACH_PLAN):
+            for d in DIMENSIONS:
+                # the cells of a value are as many as other dimensions have combinations, whatever the documents
+                got = F.sum(F.col("share") * F.col("probability")).over(Window.partitionBy(f"mix_{d}"))
+                now = now.withColumn("probability", F.least(F.lit(1.0), F.when(got > 0, F.col("probability") * F.col(f"aim_{d}") / got).otherwise(F.lit(0.0))))
+        now, done = written(now, "cells"), done + EACH_PLAN
+    return now.select(*result)
 
 
 def draw(doc_id: Column) -> Column:
@@ -70,20 +124,19 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def with_probability(docs: DataFrame, topic: str = TOPIC, budget: float = BUDGET, **raking) -> DataFrame:
+def with_probability(docs: DataFrame, topic: str | None = None, **raking) -> DataFrame:
     """docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability and mix_drawn."""
     celled = _celled(docs, topic)
     keys = [f"mix_{d}" for d in DIMENSIONS]
     cells = written(celled.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    probability = F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("share"))
-    rates = written(raked(cells, **raking).select(*keys, probability.alias("mix_probability")), "rates")
+    rates = written(raked(cells, **raking).select(*keys, F.col("probability").alias("mix_probability")), "rates")
     return celled.join(rates, keys).withColumn("mix_drawn", draw(F.col("doc_id")) < F.col("mix_probability"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """One row for each document: doc_id, source, lang, topic, tokens, probability, drawn."""
     found = with_probability(docs, **options)
-    return found.select("doc_id", *[F.col(f"mix_{d}").alias(d) for d in DIMENSIONS], F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_drawn").alias("drawn"))
+    return found.select("doc_id", *[F.col(f"mix_{d}").alias(d) for d in DIMENSIONS], F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 4).alias("probability"), F.col("mix_drawn").alias("drawn"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -92,26 +145,30 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB, the rounds written out."""
+    """The same in DuckDB, the rounds written out; targets are found by ordering values by how far they pass what they have."""
     steps, last = [], "c0"
     for i in range(ROUNDS):
         for d in DIMENSIONS:
-            steps.append(f"{last}_{d[0]} AS (SELECT * REPLACE (weight * aim_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
-            last = f"{last}_{d[0]}"
-        steps.append(f"c{i + 1} AS (SELECT * FROM {last})")
-        last = f"c{i + 1}"
-    aims = ", ".join(f"a_{d} AS (SELECT {d}, x / sum(x) OVER () AS aim_{d} FROM (SELECT {d}, pow(sum(tokens)::DOUBLE, {ALPHA}) AS x FROM d GROUP BY {d}))" for d in DIMENSIONS)
-    topic = TOPIC.replace("if(length(text) < 800, 'short', if(length(text) < 4000, 'medium', 'long'))", "case when length(text) < 800 then 'short' when length(text) < 4000 then 'medium' else 'long' end")
+            name = f"c{i}_{d}"
+            steps.append(f"{name} AS (SELECT * REPLACE (least(1.0, p * aim_{d} / sum(share * p) OVER (PARTITION BY {d})) AS p) FROM {last})")
+            last = name
+    aims = ", ".join(
+        f"""w_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {ALPHA}) AS wish, sum(share) * {HEADROOM} / {BUDGET} AS most FROM shares GROUP BY {d}),
+        o_{d} AS (SELECT *, (1 - coalesce(sum(most) OVER (ORDER BY wish / most DESC, {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                         / sum(wish) OVER (ORDER BY wish / most DESC, {d} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM w_{d}),
+        a_{d} AS (SELECT {d}, {BUDGET} * CASE WHEN wish * k > most THEN most ELSE wish * (SELECT max(k) FILTER (wish * k <= most) FROM o_{d}) END AS aim_{d} FROM o_{d})"""
+        for d in DIMENSIONS
+    )
+    topic = TOPIC.format(**{k: f"length(regexp_replace(text, '{v}', '', 'g'))" for k, v in _COUNTED.items()})
     return f"""
     WITH raw AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, coalesce(text, '') AS text FROM documents),
     d AS (SELECT doc_id, source, lang, {topic} AS topic, greatest(1, ceil(length(text) / 4))::BIGINT AS tokens FROM raw),
     cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+    shares AS (SELECT *, tokens / sum(tokens) OVER () AS share FROM cells),
     {aims},
-    c0 AS (SELECT *, tokens / sum(tokens) OVER () AS share, tokens / sum(tokens) OVER () AS weight
-           FROM cells JOIN a_source USING (source) JOIN a_lang USING (lang) JOIN a_topic USING (topic)),
-    {", ".join(steps)},
-    p AS (SELECT source, lang, topic, least(1.0, {BUDGET} * (weight / sum(weight) OVER ()) / share) AS p FROM {last})
-    SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,
+    c0 AS (SELECT *, {BUDGET}::DOUBLE AS p FROM shares JOIN a_source USING (source) JOIN a_lang USING (lang) JOIN a_topic USING (topic)),
+    {", ".join(steps)}
+    SELECT doc_id, source, lang, topic, d.tokens, round(p, 4) AS probability,
            ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < p AS drawn
-    FROM d JOIN p USING (source, lang, topic)
+    FROM d JOIN {last} USING (source, lang, topic)
     """

@@ -143,11 +143,12 @@ def test_raking_meets_the_margins(spark):
     rows = [(i, rng.choice("abc"), rng.choice(["en", "fr", None]), "x" * rng.randint(1, 9000), "keep") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, weight string")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2, "nowhere": 5.0}, "lang": {"en": 0.6, "fr": 0.3, "none": 0.1}}
-    cells = mixing._celled(docs, mixing.TOPIC).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
-    raked = mixing.raked(cells, targets, rounds=20).toPandas()
-    assert abs(raked["weight"].sum() - 1) < 1e-9
-    assert np.allclose(raked.groupby("mix_source")["weight"].sum().loc[["a", "b", "c"]], [0.5, 0.3, 0.2], atol=1e-6)
-    assert np.allclose(raked.groupby("mix_lang")["weight"].sum().loc[["en", "fr", "none"]], [0.6, 0.3, 0.1], atol=1e-6)
+    cells = mixing._celled(docs, None).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
+    raked = mixing.raked(cells, targets, budget=0.3).toPandas()
+    raked["got"] = raked["share"] * raked["probability"] / 0.3
+    assert raked["probability"].max() <= 1 and abs(raked["got"].sum() - 1) < 1e-3
+    assert np.allclose(raked.groupby("mix_source")["got"].sum().loc[["a", "b", "c"]], [0.5, 0.3, 0.2], atol=1e-3)
+    assert np.allclose(raked.groupby("mix_lang")["got"].sum().loc[["en", "fr", "none"]], [0.6, 0.3, 0.1], atol=1e-3)
     drawn = mixing.mixed(docs)
     assert drawn.columns == docs.columns and {r.weight for r in drawn.select("weight").distinct().collect()} == {"keep"}
     marked = mixing.mixture(docs).toPandas()
@@ -155,6 +156,23 @@ def test_raking_meets_the_margins(spark):
     assert mixing.mixture(docs.limit(0)).count() == 0
 
 
+def test_what_a_cell_cannot_give_goes_to_others(spark):
+    """A rare source beside a hot one: its target is what it has, the budget is met, and every margin is."""
+    rows = [("hot", "en", "t", 900_000), ("hot", "fr", "t", 60_000), ("rare", "en", "t", 30_000), ("rare", "fr", "u", 100), (None, None, "u", 9_900)]
+    cells = spark.createDataFrame([(a or "none", b or "none", c, n) for a, b, c, n in rows], "mix_source string, mix_lang string, mix_topic string, tokens long")
+    shares = cells.withColumn("share", F.col("tokens") / 1_000_000.0)
+    found = mixing.raked(cells).toPandas()
+    assert found["probability"].max() <= 1 and abs((found["share"] * found["probability"]).sum() - 0.6) < 0.003
+    for d in mixing.DIMENSIONS:
+        aims = mixing.targets(shares, d).toPandas().set_index(f"mix_{d}")
+        assert abs(aims["aim"].sum() - 1) < 1e-9 and (aims["aim"] <= aims["most"] + 1e-12).all()
+        got = (found["share"] * found["probability"]).groupby(found[f"mix_{d}"]).sum() / 0.6
+        assert np.allclose(got, aims["aim"].loc[got.index], rtol=0.01)
+    spread = mixing.raked(cells, rounds=8, here=0).toPandas().sort_values([f"mix_{d}" for d in mixing.DIMENSIONS])
+    near = mixing.raked(cells, rounds=8).toPandas().sort_values([f"mix_{d}" for d in mixing.DIMENSIONS])
+    assert np.allclose(spread["probability"], near["probability"], atol=0.01)
+
+
 def test_drawing_is_by_identifier(spark):
     docs = spark.createDataFrame([(i % 50, "s", "l", "text") for i in range(100)] + [(None, None, None, None)], "doc_id long, source string, lang string, text string")
     got = mixing.mixture(docs).groupBy("doc_id").agg(F.count_distinct("drawn").alias("n")).collect()
