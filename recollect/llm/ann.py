@@ -10,9 +10,9 @@ the queries that visit them meet in blocks of bounded size, in double precision.
 Equal vectors are one entry with its smallest identifiers, as many as an answer can need, so that copies
 of one vector, however many, are a single row to search.
 
-Defined cases: vectors that are null, zero, of another length than that of the smallest identifier's
-vector, or hold a null or a non-finite component, take no part, as query or candidate. Ties go to the
-smaller identifier. With fewer candidates than asked for, those are returned. An empty table gives an
+Defined cases: vectors that are null, zero, or hold a null or a non-finite component, take no part, as query
+or candidate. Vectors of fewer components than the longest are continued by zeroes. Ties go to the smaller
+identifier, however many there are. With fewer candidates than asked for, those are returned. An empty table gives an
 empty result. Rows that repeat an identifier with its vector are one candidate.
 """
 
@@ -102,12 +102,32 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1) if data else np.zeros((0, 1))
 
 
-def _nearest(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, distances) of at least the k nearest vectors of each query, the distances exact."""
-    k = min(len(vectors), k + 8)
-    at = np.argpartition(_squares(queries, vectors), k - 1, 1)[:, :k]
-    gap = vectors[at] - queries[:, None, :]
-    return at, np.sqrt((gap * gap).sum(2))
+def _nearest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of the k nearest vectors of each query, ties to the smaller of ids; exact distances.
+
+    Squares by products are near enough to tell what can't be among them: whatever is within twice their
+    error of the k-th stays, however many tie there, and is measured again by differences."""
+    rough = _squares(queries, vectors)
+    error = 1e-12 * ((queries * queries).sum(1)[:, None] + (vectors * vectors).sum(1).max())
+    if len(vectors) > k:
+        who, at = np.nonzero(rough <= np.partition(rough, k - 1, 1)[:, k - 1 : k] + 2 * error)
+    else:
+        who, at = np.repeat(np.arange(len(queries)), len(vectors)), np.tile(np.arange(len(vectors)), len(queries))
+    d = np.empty(len(who))
+    for low in range(0, len(who), 100_000):
+        part = slice(low, low + 100_000)
+        gap = vectors[at[part]] - queries[who[part]]
+        d[part] = np.sqrt((gap * gap).sum(1))
+    return _first(who, at, d, ids[at], k)
+
+
+def _first(who: np.ndarray, at: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each query with the smallest (d, id)."""
+    order = np.lexsort((ids, d, who))
+    who, at, d = who[order], at[order], d[order]
+    start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
+    keep = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < k
+    return who[keep], at[keep], d[keep]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -115,7 +135,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
         "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     )
-    length = plain.agg(F.min_by(F.size("v"), "vec_id")).first()[0] or 0
+    length = plain.agg(F.max(F.size("v"))).first()[0] or 0
+    plain = plain.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(length) - F.size("v"))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +144,7 @@ def usable(vectors: DataFrame) -> DataFrame:
             rows = flat.reshape(-1, length).astype("<f8") if length else flat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["vec_id", "vec"])
 
-    return plain.where(F.size("v") == length).mapInArrow(pack, "vec_id long, vec binary")
+    return plain.mapInArrow(pack, "vec_id long, vec binary")
 
 
 def _least_ids(most: int):
@@ -145,18 +166,18 @@ def _least_ids(most: int):
 
 
 def _truth(entries: DataFrame, asked: np.ndarray, k: int) -> DataFrame:
-    """(q, leaf) of the k nearest entries of each asked vector (a bounded number of them), by brute force."""
+    """(q, leaf) of the k nearest entries of each asked vector (a bounded number of them) but its own, by brute force."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _matrix(batch.column("vec"))
             if len(vectors):
-                at, d = _nearest(asked, vectors, k)
                 leaf = np.array(batch.column("leaf").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), at.shape[1])), pa.array(leaf[at].ravel()), pa.array(d.ravel())], names=["q", "leaf", "d"])
+                who, at, d = _nearest(asked, vectors, leaf, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(leaf[at]), pa.array(d)], names=["q", "leaf", "d"])
 
     best = F.row_number().over(Window.partitionBy("q").orderBy("d", "leaf"))
-    return entries.select("vec", "leaf").mapInArrow(run, "q long, leaf long, d double").withColumn("r", best).where(F.col("r") <= k).select("q", "leaf")
+    return entries.select("vec", "leaf").mapInArrow(run, "q long, leaf long, d double").where("d > 0").withColumn("r", best).where(F.col("r") <= k).select("q", "leaf")
 
 
 def _meet(k: int):
@@ -165,6 +186,7 @@ def _meet(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         leaf, ids = vectors["leaf"].to_numpy(), vectors["ids"].to_pylist()
+        first = np.array([x[0] for x in ids], np.int64)
         if len(leaf) and queries.num_rows:
             rows, asked = _matrix(vectors["vec"]), _matrix(queries["vec"])
             sizes = [len(x) for x in queries["leaves"].to_pylist()]
@@ -173,17 +195,13 @@ def _meet(k: int):
                 here, who = np.flatnonzero(leaf == one), visitor[visited == one]
                 step = max(1, 4_000_000 // max(1, len(here)))
                 for low in range(0, len(who) if len(here) else 0, step):
-                    at, d = _nearest(asked[who[low : low + step]], rows[here], k)
-                    found.append((np.repeat(who[low : low + step], at.shape[1]), here[at].ravel(), d.ravel()))
+                    q, at, d = _nearest(asked[who[low : low + step]], rows[here], first[here], k)
+                    found.append((who[low : low + step][q], here[at], d))
         if not found:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], names=["q", "score", "ids"])
         who, at, d = (np.concatenate(x) for x in zip(*found, strict=True))
-        first = np.array([x[0] for x in ids])
-        order = np.lexsort((first[at], d, who))
-        who, at, d = who[order], at[order], d[order]
-        start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-        keep = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < k
-        return pa.table([pa.array(queries["q"].to_numpy()[who[keep]]), pa.array(d[keep]), pa.array([ids[i] for i in at[keep]], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+        who, at, d = _first(who, at, d, first[at], k)
+        return pa.table([pa.array(queries["q"].to_numpy()[who]), pa.array(d), pa.array([ids[i] for i in at], pa.list_(pa.int64()))], names=["q", "score", "ids"])
 
     return run
 
@@ -216,7 +234,7 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 100, k: int = 10,
     asking = written(asking.join(placed.select("vec", F.col("ids")[0].alias("q")), "vec").select("q", "query_id", "vec"), "asking")
     queries = asking.select("q", "vec").distinct()
     some = _matrix(queries.orderBy(F.xxhash64("q"), "q").limit(CALIBRATION).select("vec").toArrow()["vec"])
-    visits = _calibrated(tree, some, _truth(placed, some, k + 1).toArrow() if len(some) else None, target)
+    visits = _calibrated(tree, some, _truth(placed, some, k).toArrow() if len(some) else None, target)
 
     sizes = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many as the tree has leaves
     bins = _bins(sizes)

@@ -120,6 +120,22 @@ def test_neighbours_of_few_and_none(spark):
     assert ann.nearest_neighbours(frame.limit(0)).count() == 0
 
 
+def test_neighbours_with_many_ties_and_lengths(spark):
+    """Sign vectors tie by hundreds (one leaf, so that all are found); a shorter vector is continued by zeroes and takes nobody's place."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.choice([-1.0, 1.0], 12)]) for i in range(500)] + [(-1, [1.0, 2.0]), (900, [3.0] * 12)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = np.array([v + [0.0] * (12 - len(v)) for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    got = {}
+    for r in ann.nearest_neighbours(frame, sample=40).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 100, 200, 300, 400, 900):
+        d = np.sqrt(((whole - whole[ids == q][0]) ** 2).sum(1))
+        want = [j for j in np.lexsort((ids, d)) if ids[j] != q][:10]
+        assert [(x[1], x[2]) for x in sorted(got[q])] == [(ids[j], d[j]) for j in want]
+
+
 def test_preferences(spark):
     rows = [
         (1, True, 0, "user", "hi"), (1, True, 1, "assistant", "yes <|end|>"), (1, True, 2, "user", "go"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", "no"),
