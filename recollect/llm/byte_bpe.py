@@ -152,8 +152,9 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str, ids: str = "token_
 
 
 def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs with token_ids, n_tokens, ids_sha256 (of the little-endian ids) and decoded_sha256 (of the bytes that they decode to)."""
-    added = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    """docs with token_ids, n_tokens, ids_sha256 (of the little-endian ids), decoded_sha256 (of the bytes that they decode to)
+    and offsets_sha256 (of all starts, then all ends, as little-endian unsigned 32-bit integers)."""
+    added = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"]
     kept = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +165,9 @@ def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             back = [bpe.decode(x) for x in ids]
+            spans = [np.concatenate(bpe.offsets(x, b)).astype("<u4").tobytes() for x, b in zip(ids, back, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.ListArray.from_arrays(ends, values), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back)],
+                [*part.columns, pa.ListArray.from_arrays(ends, values), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back), sha(spans)],
                 names=[*kept, *added],
             )
 
@@ -175,6 +177,6 @@ def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256."""
     found = encoded_digests(docs.select("doc_id", "text"), ranks_path, pattern)
-    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256")

@@ -2,14 +2,17 @@
 
 Base spans are found by rule: e-mail and IPv4 addresses, payment cards (Luhn) and phone numbers. They are
 the seeds. Around every seed and every other token that has the looks of an identifier (see MIN_DIGITS)
-stand lexical patterns: the words before it and behind it, together with its shape. Patterns and instances
-(the strings themselves, as hashes) form a graph that Spark scores in rounds:
+stand lexical patterns: the words before it and behind it, together with its look (an @, or three dots and the
+order of magnitude of its digits; the exact shape isn't asked for, or nothing new in looks could be found).
+Candidates are tokens without white space, and groups of digits joined by single spaces, dots, hyphens and
+brackets. Patterns and instances (the strings themselves, as hashes) form a graph that Spark scores in rounds:
 
     confidence of a pattern for a kind = sum of its known instances' scores / (its instances + 1)
     score of an unknown instance       = 1 - product over its confident patterns of (1 - confidence)
 
 A pattern counts with MIN_KNOWN distinct known instances and MIN_PATTERN confidence; an instance that
-reaches MIN_INSTANCE is known in the next round. In the end unknown tokens whose string is known are spans of
+reaches MIN_INSTANCE is known in the next round. Scores only grow as more is known, and rounds go on until
+nothing new is. In the end unknown tokens whose string is known are spans of
 that kind too. They never overlap base spans, which all stay.
 
 Defined cases: null counts as the empty text and has no span. Positions count code points, ends are
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from recollect.shared import written
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS, MIN_KNOWN, MIN_PATTERN, MIN_INSTANCE, ROUNDS = 4, 2, 0.5, 0.6, 3
+MIN_DIGITS, MIN_KNOWN, MIN_PATTERN, MIN_INSTANCE = 4, 2, 0.5, 0.6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -39,7 +42,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _EDGE = ".,;:!?\"'`()[]{}<>|*#$%&="
-_CONTEXT = 48
+_GROUPS = re.compile(r"\+?[0-9(][0-9]*(?:[ .()-]{1,2}[0-9]+)+")
+_FIND, _SPACE, _WORD = re.compile("[0-9@]"), re.compile(r"\s"), re.compile(r"[^\W_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -83,15 +87,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _others(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with MIN_DIGITS digits or an @ that overlap no taken span (sorted by start, and so by end)."""
+    """Candidates with MIN_DIGITS digits or an @ that overlap no taken span (sorted by start, and so by end)."""
     starts, at = [s for s, _ in taken], 0
-    find = re.compile("[0-9@]").search
-    while m := find(text, at):
-        start = max(text.rfind(" ", at, m.start()), text.rfind("\n", at, m.start()), text.rfind("\t", at, m.start())) + 1
-        start = max(start, at)
-        space = re.compile(r"\s").search(text, m.start())
-        at = end = space.start() if space else len(text)
-        while start < end and text[start] in _EDGE:
+    while m := _FIND.search(text, at):
+        start = m.start()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        space = _SPACE.search(text, m.start())
+        end = space.start() if space else len(text)
+        groups = _GROUPS.match(text, start)
+        if groups and groups.end() > end:
+            end = groups.end()
+        at = max(end, m.end())
+        while start < end and text[start] in _EDGE and text[start] != "(":
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
@@ -107,23 +115,41 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _shape(token: str) -> str:
-    """Classes of characters, each run once: 12-AB is 9-a."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub("[0-9]", "9", token[:64])))
+def _look(token: str) -> str:
+    """What patterns ask of a token: an @, or three dots and how many digits (as a power of two)."""
+    return "@" if "@" in token else f"{'.' * (token.count('.') >= 3)}{sum('0' <= c <= '9' for c in token).bit_length()}"
+
+
+def _words_before(text: str, end: int, most: int) -> list[str]:
+    """The last words (runs of letters and digits) before a place, in order."""
+    out: list[str] = []
+    while len(out) < most:
+        while end and not text[end - 1].isalnum():
+            end -= 1
+        start = end
+        while start and text[start - 1].isalnum():
+            start -= 1
+        if start == end:
+            break
+        out.append(text[start:end].lower())
+        end = start
+    return out[::-1]
 
 
 def _mention(text: str, start: int, end: int) -> tuple[int, list[int]]:
     """The instance and its patterns."""
-    token, before, behind = text[start:end], text[max(0, start - _CONTEXT) : start].lower(), text[end : end + _CONTEXT].lower()
-    left, right, shape = before.split()[-2:], behind.split()[:1], _shape(token)
-    patterns = []
+    token, left, look = text[start:end], _words_before(text, start, 2), _look(text[start:end])
+    word = _WORD.search(text, end)
+    right, patterns = word.group().lower() if word else "", []
     if left:
-        glued = "" if before[-1:].isspace() else "glued"
-        patterns.append(_hash("L1", shape, glued, left[-1]))
+        glued = "" if text[start - 1].isspace() else "glued"
+        patterns.append(_hash("L1", look, glued, left[-1]))
         if len(left) > 1:
-            patterns.append(_hash("L2", shape, glued, *left))
+            patterns.append(_hash("L2", look, glued, *left))
         if right:
-            patterns.append(_hash("LR", shape, glued, left[-1], right[0]))
+            patterns.append(_hash("LR", look, glued, left[-1], right))
+    if right:
+        patterns.append(_hash("R1", look, "" if text[end].isspace() else "glued", right))
     return _hash(token.lower()), patterns
 
 
@@ -157,13 +183,13 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)] if rows else [pa.array([], f.type) for f in _FOUND], schema=_FOUND)
 
 
-def learned_instances(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def learned_instances(mentions: DataFrame) -> DataFrame:
     """From mentions (kind or null, instance, patterns): the unknown instances that became known, (instance, kind)."""
     edges = written(mentions.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "edges")
     seeds = written(mentions.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)), "seeds")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    known = seeds
-    for _ in range(rounds):
+    known, new, before = seeds, seeds.limit(0), (0, 0.0)
+    while True:
         support = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support"), F.count("*").alias("known"))
         confident = (
             support.where(F.col("known") >= MIN_KNOWN).join(sizes, "pattern")
@@ -175,8 +201,11 @@ def learned_instances(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         )
         best = scores.groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b")).select("instance", "b.kind", "b.score")
-        known = written(seeds.unionByName(best.where(F.col("score") >= MIN_INSTANCE)), "known")
-    return known.join(seeds.select("instance").distinct(), "instance", "left_anti").select("instance", "kind")
+        new = written(best.where(F.col("score") >= MIN_INSTANCE), "known")
+        now = new.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if now[0] <= before[0] and now[1] <= before[1] + 1e-6 * now[0]:
+            return new.select("instance", "kind")
+        known, before = seeds.unionByName(new), now
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

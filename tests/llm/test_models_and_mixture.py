@@ -58,6 +58,58 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def scores_by_force(mentions):
+    """The graph's fixed point with dictionaries: {instance: kind}."""
+    of, kinds = {}, {}
+    for kind, instance, patterns in mentions:
+        if kind:
+            kinds.setdefault((instance, kind), 1.0)
+        for p in patterns:
+            of.setdefault(p, set()).add(instance)
+    seeds, new = {i for i, _ in kinds}, {}
+    for _ in range(100):
+        known = dict(kinds) | {(i, k): s for i, (k, s) in new.items()}
+        miss = {}
+        for p, members in of.items():
+            for kind in pii.KINDS:
+                hit = [known[i, kind] for i in members if (i, kind) in known]
+                if len(hit) >= pii.MIN_KNOWN and sum(hit) / (len(members) + 1) >= pii.MIN_PATTERN:
+                    for i in members - seeds:
+                        miss[i, kind] = miss.get((i, kind), 1.0) * (1 - sum(hit) / (len(members) + 1))
+        now = {}
+        for (i, kind), m in miss.items():
+            now[i] = max(now.get(i, ("", 0.0)), (kind, 1 - m), key=lambda x: (x[1], x[0]))
+        now = {i: x for i, x in now.items() if x[1] >= pii.MIN_INSTANCE}
+        if now.keys() == new.keys() and all(abs(now[i][1] - new[i][1]) < 1e-9 for i in now):
+            break
+        new = now
+    return {i: k for i, (k, _) in new.items()}
+
+
+def test_unseen_identifiers_of_each_kind(spark):
+    """Phones with spaces and no plus, an address out of range, a card that fails its check, an e-mail without a dot."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    texts = []
+    for _ in range(12):
+        texts += [f"ring my mobile +{digits(2)} ({digits(3)}) {digits(3)}-{digits(4)} after six", f"the host address {rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7 answered"]
+        texts += [f"write to mailbox user{digits(3)}@mail{digits(2)}.example.org for help"]
+    unseen = [("phone", "ring my mobile {} after six", f"({digits(3)}) {digits(3)}-{digits(4)}"), ("ip", "the host address {} answered", "300.1.20.4"), ("email", "write to mailbox {} for help", "root@localhost")]
+    texts += [t.format(x) for _, t, x in unseen] + ["chapter 1234 of 5678 pages", "x" * 200 + " 9999"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    for i, (kind, template, x) in enumerate(unseen):
+        at = template.index("{}")
+        assert got[36 + i] == f"{kind}:{at}:{at + len(x)}"
+    assert got[39] == got[40] == ""
+    mentions = []
+    for text in texts:
+        spans = pii.base_spans(text)
+        mentions += [(k, *pii._mention(text, s, e)) for k, s, e in spans] + [(None, *pii._mention(text, s, e)) for s, e in pii._others(text, sorted((s, e) for _, s, e in spans))]
+    frame = spark.createDataFrame(mentions, "kind string, instance long, patterns array<long>")
+    assert {r.instance: r.kind for r in pii.learned_instances(frame).collect()} == scores_by_force(mentions)
+
+
 def test_quality_separates_held_out_documents(spark):
     rng = random.Random(2)
     good = lambda: ". ".join(" ".join(rng.choice(["river", "stone", "walks", "slowly", "the", "a", "green", "under"]) for _ in range(9)) for _ in range(6)) + "."

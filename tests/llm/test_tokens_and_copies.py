@@ -58,6 +58,15 @@ def test_encode_and_decode_frames(spark, library):
         ids = library.encode_ordinary(TEXTS[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
+        pieces, at, starts, ends = [library.decode_single_token_bytes(x) for x in ids], 0, [], []
+        points = [i for i, c in enumerate(TEXTS[r.doc_id] or "") for _ in c.encode()]  # the character of each byte
+        for x in pieces:
+            starts.append(points[at])
+            ends.append(points[at + len(x) - 1] + 1)
+            at += len(x)
+        assert r.offsets_sha256 == hashlib.sha256(np.array(starts + ends, "<u4").tobytes()).hexdigest()
+    clashing = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, token_ids string, n_tokens int")
+    assert byte_bpe.encoded_digests(clashing, RANKS, P.PATTERN).columns == ["doc_id", "text", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"]
     assert byte_bpe.round_trip(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 
