@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from recollect.shared import written
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """Rows (id, component) for every endpoint of an edge; component is the smallest id reached.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
     Beyond", 2014), which converge in a few rounds on stars and in O(log^2 n) on chains. Each step is a
     grouped minimum and an equi-join; a node with very many neighbours is split by adaptive skew joins.
+    Raises if the labels still change after `rounds` steps, far more than chains of any real length need.
     Self loops keep isolated nodes in the result; null endpoints are dropped.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
@@ -37,5 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, "u", "left").select(F.col("u").alias("id"), F.coalesce("component", "u").alias("component"))

@@ -30,24 +30,28 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs the stream to the end of its input and reads the sink: one folder for each batch, or the last whole result."""
+def _drained(df: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs the stream to the end of its input and reads the sink, a folder for each batch. In update mode the
+    sink holds what changed in each batch; of a key the row of the last batch counts."""
     spark, where = df.sparkSession, f"{shared_dir(df.sparkSession)}/recollect/{name}-{uuid.uuid4().hex[:12]}"
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        place = "all" if mode == "complete" else f"batch={batch_id}"
-        batch.write.mode("overwrite").parquet(f"{where}/out/{place}")
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch_no={batch_id}")
 
     query = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{where}/out/*")
+    if mode == "append":
+        return spark.read.schema(df.schema).parquet(f"{where}/out/*")
+    rows = spark.read.schema(df.schema.add("batch_no", "long")).option("basePath", f"{where}/out").parquet(f"{where}/out/*")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch_no").alias("last"))
+    return last.select(*keys, "last.*")
 
 
 @Q.add(lambda d: f"SELECT {d.hour('ts')} AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY {d.hour('ts')}, event_type")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each hour and type, kept up to date in state."""
     counts = stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    out = _drained(counts.select(F.col("w.start").alias("start"), "event_type", "n", "total"), "complete", "tumbling")
+    out = _drained(counts.select(F.col("w.start").alias("start"), "event_type", "n", "total"), "tumbling", "update", ("start", "event_type"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
@@ -55,7 +59,7 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message of one user, type and hour passes once."""
     keyed = stream(spark, sf_dir).select("user_id", "event_type", F.date_trunc("hour", "ts").alias("hour")).withWatermark("hour", "40 days")
-    out = _drained(keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "hour"]), "append", "dedupe")
+    out = _drained(keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "hour"]), "dedupe")
     return out.select("user_id", "event_type", F.col("hour").cast("timestamp_ntz").alias("hour"))
 
 
@@ -63,43 +67,83 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each key, whatever order rows come in."""
     latest = stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max("ts").alias("ts"), F.count("*").alias("versions"))
-    return _drained(latest, "complete", "latest").select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "versions")
+    return _drained(latest, "latest", "update", ("user_id", "event_type")).select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "versions")
 
 
 @Q.add(lambda d: f"""
     WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
     s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL '30' MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
-    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL '30' MINUTE <= (SELECT max(ts) - INTERVAL '1' HOUR FROM events)""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session windows that end after half an hour of quiet."""
-    counts = stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    out = _drained(counts.select("user_id", F.col("w.start").alias("start"), "n"), "complete", "sessions")
+    """Session windows that end after half an hour of quiet, given out once the watermark has passed their end, and then forgotten."""
+    counts = stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    out = _drained(counts.select("user_id", F.col("w.start").alias("start"), "n"), "sessions")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def debounced(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A job is due after QUIET_S seconds of quiet, and MOST_S seconds after its first change at the latest."""
+    """A job is due after QUIET_S seconds of quiet, and MOST_S seconds after its first change at the latest; a change at
+    that time or later begins the next job. A timer in event time gives out the job that nothing follows."""
     first, last, n = state.get if state.exists else (None, None, 0)
     done: list[tuple[int, float, float, int]] = []
-    times = sorted(t for f in frames for t in (f["at"].tolist()))
-    for t in times:
-        if n and t >= min(first + MOST_S, last + QUIET_S):
-            done.append((key[0], first, min(first + MOST_S, last + QUIET_S), n))
-            first, n = None, 0
-        first, last, n = (t if first is None else first), t, n + 1
+    if state.hasTimedOut:
+        done.append((key[0], first, min(first + MOST_S, last + QUIET_S), n))
+        n = 0
+    else:
+        for t in sorted(t for f in frames for t in f["at"].tolist()):
+            if n and t >= min(first + MOST_S, last + QUIET_S):
+                done.append((key[0], first, min(first + MOST_S, last + QUIET_S), n))
+                n = 0
+            first, last, n = (t if not n else first), t, n + 1
     if n:
         state.update((first, last, n))
-    yield pd.DataFrame(done, columns=["user_id", "first", "due", "n"])
+        state.setTimeoutTimestamp(max(int(min(first + MOST_S, last + QUIET_S) * 1000), state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    if done:
+        yield pd.DataFrame(done, columns=["user_id", "first", "due", "n"])
 
 
-@Q.add()
+#: The jobs of each user by walking the changes in order; `open` marks the last one of a user.
+_JOBS = f"""
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    j AS (SELECT user_id, i, t AS first, t AS last, 1::BIGINT AS n FROM e WHERE i = 1
+          UNION ALL SELECT e.user_id, e.i, CASE WHEN e.t >= least(first + {MOST_S}, last + {QUIET_S}) THEN e.t ELSE first END, e.t,
+                           CASE WHEN e.t >= least(first + {MOST_S}, last + {QUIET_S}) THEN 1 ELSE n + 1 END FROM j JOIN e ON e.user_id = j.user_id AND e.i = j.i + 1),
+    r AS (SELECT user_id, first, least(first + {MOST_S}, last + {QUIET_S}) AS due, n, lead(n) OVER (PARTITION BY user_id ORDER BY i) AS following FROM j)
+    SELECT user_id, round(first, 3) AS first, round(due, 3) AS due, n FROM r WHERE (following IS NULL OR following = 1)"""
+
+
+@Q.add(_JOBS + " AND due < (SELECT floor(max(epoch_us(ts)) / 1e3) / 1e3 - 3600 FROM events)")
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs that fell due, by keyed state; jobs still pending stay in the state."""
-    timed = stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") / 1e6).alias("at"))
+    """Jobs that fell due, by keyed state with timers; those that aren't due an hour before the newest change stay in the state."""
+    timed = stream(spark, sf_dir).withWatermark("ts", "1 hour").select("user_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
     jobs = timed.groupBy("user_id").applyInPandasWithState(
-        debounced, "user_id long, first double, due double, n long", "first double, last double, n long", "append", GroupStateTimeout.NoTimeout
+        debounced, "user_id long, first double, due double, n long", "first double, last double, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return _drained(jobs, "append", "debounce")
+    return _drained(jobs, "debounce").select("user_id", F.round("first", 3).alias("first"), F.round("due", 3).alias("due"), "n")
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The jobs of rows that come in the order of user and time: one job is held at a time, however busy a user is."""
+    user, first, last, n = None, 0.0, 0.0, 0
+    for rows in batches:
+        done = []
+        for u, t in zip(rows["user_id"].tolist(), rows["at"].tolist(), strict=True):
+            if n and (u != user or t >= min(first + MOST_S, last + QUIET_S)):
+                done.append((user, first, min(first + MOST_S, last + QUIET_S), n))
+                n = 0
+            user, first, last, n = u, (t if not n else first), t, n + 1
+        yield pd.DataFrame(done, columns=["user_id", "first", "due", "n"])
+    yield pd.DataFrame([(user, first, min(first + MOST_S, last + QUIET_S), n)] if n else [], columns=["user_id", "first", "due", "n"])
+
+
+@Q.add(_JOBS)
+def debounced_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form: all jobs, those that nothing has followed yet too."""
+    timed = table(spark, sf_dir, "events").where("user_id is not null").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    jobs = timed.repartition("user_id").sortWithinPartitions("user_id", "at").mapInPandas(_fold, "user_id long, first double, due double, n long")
+    return jobs.select("user_id", F.round("first", 3).alias("first"), F.round("due", 3).alias("due"), "n")
 
 
 QUERIES, ORACLE = Q.queries, Q.oracle
