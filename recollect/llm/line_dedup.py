@@ -34,12 +34,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.links import linked
+from recollect.llm.links import BROADCAST_KEYS, linked
 from recollect.shared import filtered_early, written
 
 EDITS, MIN_CHARS, SHORTEST = 3, 24, 1
 #: Characters, the most frequent ones, that are dealt to classes one by one; all others are of class 0.
 DEALT = 96
+#: Characters, the most frequent ones, whose counts are compared before lines of one group are paired.
+COUNTED = 28
 
 
 def _places(edits: int) -> list[tuple[int, int, int]]:
@@ -64,14 +66,18 @@ def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return each.select(F.expr(f"xxhash64(low, p.i, substring(line, {start}, m))").alias("key"), "id", F.expr("p.below = 0 and p.shift = 0").alias("own"))
 
 
-def class_sets(lines: DataFrame, edits: int) -> list[str]:
-    """The characters of classes 1, 2 ...: frequent ones are dealt so that classes weigh about the same."""
+def frequent(lines: DataFrame) -> list[tuple[str, int]]:
+    """The DEALT most frequent characters with their counts, the most frequent first."""
     count = lines.select(F.explode(F.split("line", "")).alias("c")).where("c <> ''").groupBy("c").count()
-    rows = count.orderBy(F.desc("count"), "c").limit(DEALT).collect()
+    return [(r["c"], r["count"]) for r in count.orderBy(F.desc("count"), "c").limit(DEALT).collect()]
+
+
+def class_sets(counts: list[tuple[str, int]], edits: int) -> list[str]:
+    """The characters of classes 1, 2 ...: frequent ones are dealt so that classes weigh about the same."""
     weights, sets = [0] * (2 * edits + 2), [""] * (2 * edits + 2)
-    for r in rows:
+    for c, n in counts:
         k = weights.index(min(weights))
-        weights[k], sets[k] = weights[k] + r["count"], sets[k] + r["c"]
+        weights[k], sets[k] = weights[k] + n, sets[k] + c
     return sets[1:]
 
 
@@ -134,9 +140,9 @@ def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     return each.withColumn("x", F.xxhash64("line")).withColumn("y", F.xxhash64(F.lit(1), "line"))
 
 
-def _bound(x: str, y: str, edits: int) -> Column:
-    """What lines within the edits meet: an edit changes the length by one at most, and the counts of two classes by one each."""
-    apart = " + ".join(f"abs({x}.n{i} - {y}.n{i})" for i in range(2 * edits + 2))
+def _bound(x: str, y: str, counts: list[str], edits: int) -> Column:
+    """What lines within the edits meet: an edit changes the length by one at most, and the counts of two characters by one each."""
+    apart = " + ".join(f"abs({x}.{c} - {y}.{c})" for c in counts) or "0"
     return F.expr(f"abs({x}.size - {y}.size) <= {edits} and {apart} <= {2 * edits}")
 
 
@@ -157,14 +163,16 @@ def alike_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
 
     def finer(ids: DataFrame, texts: DataFrame) -> DataFrame:
         open_lines = written(texts.join(ids, "id"), "open")
-        kept = kept_classes(class_sets(open_lines, edits))
-        stored[:] = [written(open_lines.select("id", "size", *[k.alias(f"k{i}") for i, k in enumerate(kept)]), "classes")]
+        characters = frequent(open_lines)
+        kept = kept_classes(class_sets(characters, edits))
+        counts = [(F.col("size") - F.length(F.replace("line", F.lit(c), F.lit("")))).alias(f"n{i}") for i, (c, _) in enumerate(characters[:COUNTED])]
+        stored[:] = [written(open_lines.select("id", "size", *[k.alias(f"k{i}") for i, k in enumerate(kept)], *counts), "classes")]
         two = [f"xxhash64({i}, {j}, k{i}, k{j})" for i, j in combinations(range(len(kept)), 2)]
         return stored[0].select(F.expr(f"explode(array({', '.join(two)}))").alias("key"), "id", F.lit(True).alias("own"))
 
     def bound(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, Callable[[str, str], Column]]:
-        counts = [F.length(f"k{i}").alias(f"n{i}") for i in range(2 * edits + 2)]
-        return stored[0].join(ids, "id").select("id", "size", *counts), lambda x, y: _bound(x, y, edits)
+        counts = [c for c in stored[0].columns if c.startswith("n")]
+        return stored[0].join(ids, "id").select("id", "size", *counts), lambda x, y: _bound(x, y, counts, edits)
 
     return linked(segment_keys(long, edits), fetch, lambda pairs, texts: verified(pairs, texts, edits), bound, finer)[1]
 
@@ -177,8 +185,8 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     component = written(alike_lines(distinct, edits), "components")
     classes = distinct.select("id", "x", "y", "times").join(component, "id", "left").where("times > 1 or component is not null")
     classes = written(classes.select("id", "x", "y", F.coalesce("component", "id").alias("class")), "classes")
-    with filtered_early(docs.sparkSession):
-        found = written(lines.select("x", "y", "d", "h", "n").join(classes.where("id >= 0"), ["x", "y"]).drop("x", "y"), "found")
+    few = classes.count() <= BROADCAST_KEYS
+    found = written(lines.select("x", "y", "d", "h", "n").join(F.broadcast(classes) if few else classes, ["x", "y"]).drop("x", "y"), "found")
     place = F.struct(F.col("d").isNull().alias("none"), "d", "h", "n")
     firsts = found.groupBy("id", "class").agg(F.min(place).alias("first"))
     stays = firsts.groupBy("class").agg(F.min("first").alias("stays"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import line_dedup
-from recollect.llm.line_dedup import alike_lines, class_sets, kept_classes, line_decisions, line_digests, segment_keys, within, without_repeated_lines
+from recollect.llm.line_dedup import alike_lines, class_sets, frequent, kept_classes, line_decisions, line_digests, segment_keys, within, without_repeated_lines
 from recollect.llm.near_dedup import THRESHOLD, bag_minhash, near_duplicate_classes, without_near_duplicates
 from recollect.llm.words import bag_overlap, mix, shingle_bags, word_hashes
 
@@ -173,7 +173,7 @@ def test_segments_and_classes_cover_close_lines(spark, edits):
     side = lambda c: frame.select("id", F.col(c).alias("line"), F.length(c).alias("size"))
     met = segment_keys(side("a"), edits).join(segment_keys(side("b"), edits).where("own"), ["id", "key"]).select("id").distinct().count()
     assert met == len(pairs)
-    sets = class_sets(side("a"), edits)
+    sets = class_sets(frequent(side("a")), edits)
     two = [F.xxhash64(F.lit(i), F.lit(j), x, y) for (i, x), (j, y) in combinations(enumerate(kept_classes(sets)), 2)]
     keys = lambda c: side(c).select("id", F.explode(F.array(*two)).alias("key"))
     assert keys("a").join(keys("b"), ["id", "key"]).select("id").distinct().count() == len(pairs)
