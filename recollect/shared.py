@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a table from written() that nothing will read again, so that a long job holds no more than it needs."""
+    spark = table.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 2)[-2] == "recollect":  # only what written() made
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """SQL settings for what is run within, by names with __ for the dots; the session has its own again afterwards."""
