@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.links import BROADCAST_KEYS, linked
-from recollect.shared import filtered_early, written
+from recollect.shared import filtered_early, forget, written
 
 EDITS, MIN_CHARS, SHORTEST = 3, 24, 1
 #: Characters, the most frequent ones, that are dealt to classes one by one; all others are of class 0.
@@ -185,6 +185,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     component = written(alike_lines(distinct, edits), "components")
     classes = distinct.select("id", "x", "y", "times").join(component, "id", "left").where("times > 1 or component is not null")
     classes = written(classes.select("id", "x", "y", F.coalesce("component", "id").alias("class")), "classes")
+    forget(distinct)  # the texts: from here on lines are numbers
     few = classes.count() <= BROADCAST_KEYS
     found = written(lines.select("x", "y", "d", "h", "n").join(F.broadcast(classes) if few else classes, ["x", "y"]).drop("x", "y"), "found")
     place = F.struct(F.col("d").isNull().alias("none"), "d", "h", "n")

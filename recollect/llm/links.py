@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.operators.graph import connected_components
-from recollect.shared import filtered_early, written
+from recollect.shared import filtered_early, forget, written
 
 #: Up to so many keys (8 MB of them) are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -107,4 +107,5 @@ def linked(groups: DataFrame, fetch: Fetch, verify: Verify, bound: Bound | None
         rest = written(rest.join(ids, "id"), "rest")
     across = written(_across(rest, may).join(tried, ["a", "b"], "left_anti"), "across")
     edges = written(edges.unionByName(verify(across, contents)).distinct(), "links")
+    forget(contents)
     return edges, connected_components(edges)
