@@ -72,9 +72,9 @@ Q.sql("slot_replacement", "orders", lambda d: """
         SELECT o_orderkey AS id, o_custkey AS subj, o_orderpriority AS slot, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS replaced_by FROM orders)
     WHERE replaced_by IS NOT NULL""")
 
-Q.sql("unique_alias_resolution", "customer", lambda d: """
-    WITH alias AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS target FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey, c_mktsegment)
-    SELECT c_custkey, target FROM customer JOIN alias USING (c_nationkey, c_mktsegment) WHERE n = 1 AND c_custkey <> target""")
+Q.sql("unique_alias_resolution", "customer supplier", lambda d: """
+    WITH alias AS (SELECT s_nationkey, floor(s_acctbal / 100) AS band, count(*) AS n, min(s_suppkey) AS target FROM supplier GROUP BY s_nationkey, floor(s_acctbal / 100))
+    SELECT c_custkey, target FROM customer JOIN alias ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = band WHERE n = 1""")
 
 Q.sql("latest_unreplaced", "orders", lambda d: """
     WITH items AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS replaces, o_custkey FROM orders)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.plans.dialect import Queries
+from recollect.shared import written
 from recollect.tables import table
 
 Q = Queries()
@@ -80,15 +81,52 @@ Q.sql("tfidf_cosine_topk", "documents benchmark", lambda d: f"""
     c AS (SELECT item_id, doc_id, round(dot / (qn.norm * dn.norm), 6) AS cosine FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id))
     SELECT item_id, doc_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS rank FROM c) WHERE rank <= 5""")
 
-Q.sql("near_duplicates_tfidf", "documents benchmark", lambda d: f"""
-    WITH {_base(d)},
-    asking AS (SELECT * FROM docs WHERE doc_id % 50 = 0),
-    rare AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS r FROM asking JOIN df USING (term)) WHERE r <= 8),
-    pairs AS (SELECT DISTINCT rare.doc_id AS a, docs.doc_id AS b FROM rare JOIN docs ON rare.term = docs.term AND rare.doc_id <> docs.doc_id),
-    norm AS (SELECT doc_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM docs JOIN idf USING (term) GROUP BY doc_id),
-    dot AS (SELECT a, b, sum(x.tf * y.tf * idf * idf) AS dot FROM pairs JOIN asking x ON x.doc_id = a JOIN docs y ON y.doc_id = b AND y.term = x.term JOIN idf ON idf.term = x.term GROUP BY a, b)
+NEAR = 0.8
+
+
+def near_duplicates(docs: DataFrame, at: float = NEAR) -> DataFrame:
+    """Pairs (doc_id, near_id, cosine) of texts whose tf-idf cosine, rounded to five digits, is at or above `at`.
+
+    Equal texts are one: the smallest doc_id stands for them and meets its copies with cosine 1, and only such
+    representatives meet each other. Candidates lose no pair: with terms in order of document frequency, what
+    follows the first common term of a pair bounds its cosine by the product of both remaining lengths, so a text
+    is posted only under terms from which on its own remaining length reaches `at`. Texts without terms (null,
+    empty) have no pairs. Texts that are unlike but near each other are all listed, as many as there are.
+    """
+    texts = docs.select("doc_id", "text")
+    classes = texts.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    heads = texts.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
+    index = postings(heads, "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
+    df = index.groupBy("term").agg(F.sum("copies").alias("df"))
+    n = docs.count()
+    w = index.join(df, "term").select("doc_id", "term", "df", (F.col("tf") * F.log((2.0 + F.lit(n)) / (1.0 + F.col("df")))).alias("w"))
+    length = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    on = Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    unit = w.join(length, "doc_id").select("doc_id", "term", "df", (F.col("w") / F.col("length")).alias("w"))
+    unit = written(unit.select("doc_id", "term", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(on)).alias("rest")), "weights")
+    least = at - 1e-4  # rounding of the cosine and of sums
+    posted = unit.where(F.col("rest") >= least).select("doc_id", "term", "rest")
+    a, b = posted.toDF("a", "term", "rest_a"), posted.toDF("b", "term", "rest_b")
+    pairs = written(a.join(b, "term").where((F.col("a") < F.col("b")) & (F.col("rest_a") * F.col("rest_b") >= least)).select("a", "b").distinct(), "pairs")
+    x, y = unit.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("x")), unit.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("y"))
+    cosine = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 5).alias("cosine")).where(F.col("cosine") >= at)
+    members = texts.select("doc_id", F.sha2("text", 256).alias("h")).join(classes.where("copies > 1"), "h").where("doc_id <> rep")
+    copies = members.join(length.select(F.col("doc_id").alias("rep")), "rep").select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("near_id"), F.lit(1.0).alias("cosine"))
+    return cosine.select(F.col("a").alias("doc_id"), F.col("b").alias("near_id"), "cosine").unionAll(copies)
+
+
+@Q.add(lambda d: f"""
+    WITH {_base(d)}, classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents),
+    w AS (SELECT docs.doc_id, term, tf * idf AS w FROM docs JOIN idf USING (term) JOIN classes ON docs.doc_id = rep AND classes.doc_id = rep),
+    norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+    dot AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)
     SELECT a AS doc_id, b AS near_id, round(dot / (m.norm * n.norm), 5) AS cosine FROM dot JOIN norm m ON m.doc_id = a JOIN norm n ON n.doc_id = b
-    WHERE round(dot / (m.norm * n.norm), 5) >= 0.8""")
+    WHERE round(dot / (m.norm * n.norm), 5) >= {NEAR}
+    UNION ALL SELECT rep, classes.doc_id, 1.0 FROM classes JOIN norm ON norm.doc_id = rep WHERE classes.doc_id <> rep""")
+def near_duplicates_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents; the check compares every pair."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
 
 Q.sql("weighted_coverage", "documents benchmark", lambda d: f"""
     WITH {_base(d)}, total AS (SELECT item_id, sum(idf) AS total FROM asked JOIN idf USING (term) GROUP BY item_id),

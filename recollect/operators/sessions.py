@@ -81,7 +81,7 @@ Q.sql("spreading_activation", "lineitem orders supplier", lambda d: """
     WITH m AS (SELECT o_custkey AS memory, l_suppkey AS entity, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey),
     seed AS (SELECT s_suppkey AS entity, 1.0 AS act FROM supplier WHERE s_acctbal > 9000),
     direct AS (SELECT memory, sum(act) AS g FROM m JOIN seed USING (entity) GROUP BY memory),
-    hop AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 48),
+    hop AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
     near AS (SELECT b.l_suppkey AS entity, max(0.4 * act) AS act FROM hop a JOIN seed ON seed.entity = a.l_suppkey JOIN hop b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY b.l_suppkey),
     spread AS (SELECT memory, sum(act) AS g FROM m JOIN near USING (entity) GROUP BY memory)
     SELECT memory, round(sum(g), 4) AS activation FROM (SELECT memory, g FROM direct UNION ALL SELECT memory, g FROM spread) GROUP BY memory""")

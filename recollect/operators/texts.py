@@ -59,10 +59,17 @@ Q.sql("one_edit_neighbours", "benchmark documents", lambda d: f"""
     p AS (SELECT DISTINCT cut.w AS a, cuts.w AS b FROM cut JOIN cuts ON cut.k = cuts.k AND cut.w <> cuts.w)
     SELECT a, b FROM p WHERE levenshtein(a, b) = 1""")
 
-Q.sql("fuzzy_entity_match", "customer supplier", lambda d: """
-    WITH e AS (SELECT c_name AS name, substring(c_name, 1, 1) AS f, substring(c_name, length(c_name) - 2, 3) AS tail FROM customer UNION ALL SELECT s_name, substring(s_name, 1, 1), substring(s_name, length(s_name) - 2, 3) FROM supplier)
-    SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS edits FROM e a JOIN e b ON a.f = b.f AND a.tail = b.tail AND a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2
-    WHERE levenshtein(a.name, b.name) <= 1""")
+@Q.add("""
+    WITH e AS (SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier)
+    SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS edits FROM e a JOIN e b ON substring(a.name, 1, 1) = substring(b.name, 1, 1) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 1""")
+def fuzzy_entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names with one first letter within one edit: such names share themselves or a form with one character left out."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).union(table(spark, sf_dir, "supplier").select("s_name")).where("name <> ''").distinct()
+    forms = F.expr("array_union(array(name), transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1))))")
+    keys = names.select("name", F.substring("name", 1, 1).alias("f"), F.explode(forms).alias("form"))
+    pairs = keys.withColumnRenamed("name", "a").join(keys.withColumnRenamed("name", "b"), ["f", "form"]).where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("edits", F.levenshtein("a", "b").cast("long")).where("edits <= 1")
+
 
 Q.sql("url_conversation_key", "pages", lambda d: f"""
     SELECT page_id, {d.url('url', 'HOST')} AS host, concat(lower({d.url('url', 'HOST')}), coalesce({d.url('url', 'PATH')}, '')) AS conversation FROM pages""")

@@ -87,11 +87,11 @@ Q.sql("pairwise_tfidf_similarity", "documents", lambda d: f"""
     s AS (SELECT x.unit AS a, y.unit AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y ON x.term = y.term AND x.unit < y.unit GROUP BY x.unit, y.unit)
     SELECT a, b, round(dot / (la.l * lb.l), 5) AS similarity FROM s JOIN l la ON la.unit = a JOIN l lb ON lb.unit = b WHERE dot / (la.l * lb.l) > 0.01""")
 
-_EDGES = "SELECT DISTINCT l_suppkey AS u, 1000000 + l_partkey AS v FROM lineitem WHERE l_quantity > 45"
+_EDGES = "SELECT DISTINCT l_suppkey AS u, 1000000 + l_partkey AS v FROM lineitem"
 
 
 def _bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    line = table(spark, sf_dir, "lineitem")
     return line.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).distinct()
 
 
@@ -151,33 +151,39 @@ def pagerank_entities(spark: SparkSession, sf_dir: str, rounds: int = 8) -> Data
     return ranks.crossJoin(ranks.agg(F.max("r").alias("m"))).select("node", F.round(F.col("r") / F.col("m"), 6).alias("rank"))  # m: one row
 
 
-_TOPIC_EDGES = "SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 49 AND o_orderstatus = 'P'"
-_COMPONENTS = f"""WITH RECURSIVE one AS ({_TOPIC_EDGES}), e AS (SELECT a AS u, b AS v FROM one UNION SELECT b, a FROM one),
+STRONG = 4
+_MET = "SELECT o_custkey AS a, 1000000 + l_suppkey AS b, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey"
+
+
+def _components_sql(at_least: int) -> str:
+    return f"""WITH RECURSIVE one AS (SELECT a, b FROM ({_MET}) WHERE n >= {at_least}), e AS (SELECT a AS u, b AS v FROM one UNION SELECT b, a FROM one),
     reach(node, root) AS (SELECT u, u FROM e UNION SELECT e.v, root FROM reach JOIN e ON e.u = node WHERE root <= e.v)
     SELECT node, min(root) AS component FROM reach GROUP BY node"""
 
 
-def _topic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, line = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), table(spark, sf_dir, "lineitem").where("l_quantity > 49")
-    return orders.join(line, orders.o_orderkey == line.l_orderkey).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+def _met(spark: SparkSession, sf_dir: str, at_least: int) -> DataFrame:
+    """Edges (a, b) between customers and suppliers that share at_least lines of orders or more."""
+    orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    both = orders.join(line, orders.o_orderkey == line.l_orderkey).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
+    return both.where(F.col("n") >= at_least).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
 
 
-@Q.add(f"SELECT node AS id, component FROM ({_COMPONENTS})", name="connected_components")
+@Q.add(f"SELECT node AS id, component FROM ({_components_sql(1)})", name="connected_components")
 def components_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(_topic_edges(spark, sf_dir))
+    return connected_components(_met(spark, sf_dir, 1))
 
 
-@Q.add(f"SELECT component, count(*) AS members, count_if(node < 1000000) AS units FROM ({_COMPONENTS}) GROUP BY component")
+@Q.add(f"SELECT component, count(*) AS members, count_if(node < 1000000) AS units FROM ({_components_sql(STRONG)}) GROUP BY component")
 def single_linkage_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics as components of the thresholded graph: single linkage, the distributed stand-in for average linkage."""
-    found = connected_components(_topic_edges(spark, sf_dir))
+    """Topics as components of the edges from weight STRONG on: single linkage, the distributed stand-in for average linkage."""
+    found = connected_components(_met(spark, sf_dir, STRONG))
     return found.groupBy("component").agg(F.count("*").alias("members"), F.count_if(F.col("id") < 1000000).alias("units"))
 
 
-@Q.add(f"SELECT node, CASE WHEN n < 3 THEN 0 ELSE component END AS topic FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM ({_COMPONENTS})) WHERE node < 1000000")
+@Q.add(f"SELECT node, CASE WHEN n < 3 THEN 0 ELSE component END AS topic FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM ({_components_sql(STRONG)})) WHERE node < 1000000")
 def assign_topic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest member as topic; groups below three are loose ends, topic 0."""
-    found = connected_components(_topic_edges(spark, sf_dir))
+    found = connected_components(_met(spark, sf_dir, STRONG))
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
     return found.join(sizes, "component").where("id < 1000000").select(F.col("id").alias("node"), F.when(F.col("n") < 3, 0).otherwise(F.col("component")).alias("topic"))
 

@@ -24,18 +24,30 @@ _PAIRS = """
     c AS (SELECT q, vec_id, round(dot / norm, 5) AS cosine FROM s)"""
 
 
-def _best(k: int, bits: bool):
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), float)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round((a @ b.T) / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)), 5)
+
+
+def _signs_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = np.where(a > 0, 1.0, 0.0), np.where(b > 0, 1.0, 0.0)
+    return a.sum(1)[:, None] + b.sum(1) - 2 * a @ b.T
+
+
+def _within(radius: int):
+    """Cosine of the rows whose signs differ in at most radius components; the others are out."""
+    return lambda a, b: np.where(_signs_apart(a, b) <= radius, _cosines(a, b), -np.inf)
+
+
+def _best(k: int, likeness):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, q = left["vec_id"].to_numpy(), right["q"].to_numpy()
         out_q, out_id, out_s = [], [], []
         if len(ids) and len(q):
-            a = np.array(right["e"].to_pylist(), float)
-            b = np.array(left["e"].to_pylist(), float)
-            if bits:
-                a, b = np.where(a > 0, 1.0, 0.0), np.where(b > 0, 1.0, 0.0)
-                score = -(a.sum(1)[:, None] + b.sum(1) - 2 * a @ b.T)
-            else:
-                score = np.round((a @ b.T) / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)), 5)
+            score = likeness(_matrix(right["e"]), _matrix(left["e"]))
             score[q[:, None] == ids] = -np.inf
             for i in range(len(q)):
                 best = np.lexsort((ids, -score[i]))[:k]
@@ -60,10 +72,10 @@ def _blocks(vectors: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFr
     )
 
 
-def block_neighbours(vectors: DataFrame, questions: DataFrame, k: int, bits: bool = False) -> DataFrame:
+def block_neighbours(vectors: DataFrame, questions: DataFrame, k: int, likeness=_cosines) -> DataFrame:
     """(q, vec_id, score, rank) of the k best of vectors (vec_id, e) for each of questions (q, e), own row excluded."""
     left, right = _blocks(vectors, questions)
-    met = left.groupBy("bv", "bq").cogroup(right.groupBy("bv", "bq")).applyInArrow(_best(k, bits), "q long, vec_id long, score double")
+    met = left.groupBy("bv", "bq").cogroup(right.groupBy("bv", "bq")).applyInArrow(_best(k, likeness), "q long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -88,21 +100,31 @@ _HAMMING = """
 @Q.add(f"WITH {_HAMMING} SELECT q, vec_id, hamming, r AS rank FROM r WHERE r <= 10")
 def signbit_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest by the signs of the components."""
-    return block_neighbours(*_sides(spark, sf_dir), 10, bits=True).select("q", "vec_id", (-F.col("score")).cast("int").alias("hamming"), "rank")
+    return block_neighbours(*_sides(spark, sf_dir), 10, lambda a, b: -_signs_apart(a, b)).select("q", "vec_id", (-F.col("score")).cast("int").alias("hamming"), "rank")
+
+
+CALIBRATION, TARGET = 64, 0.95
+
+
+def sign_radius(vectors: DataFrame, questions: DataFrame, k: int, sample: int = CALIBRATION, target: float = TARGET) -> int:
+    """How many signs may differ so that the share target of the k nearest by cosine is within, over a sample of the questions by brute force."""
+    asked = questions.orderBy("q").limit(sample)
+    near = block_neighbours(vectors, asked, k).select("q", "vec_id")
+    both = near.join(vectors, "vec_id").join(asked.withColumnRenamed("e", "x"), "q")
+    apart = both.select(F.expr("size(filter(zip_with(e, x, (p, r) -> (p > 0) <> (r > 0)), d -> d))").alias("apart"))
+    return apart.agg(F.expr(f"percentile_disc({target}) within group (order by apart)")).first()[0] or 0
 
 
-@Q.add(f"""WITH {_HAMMING}, c AS (SELECT q, vec_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[])
-           / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS cosine FROM r WHERE r <= 100)
-    SELECT q, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM c) WHERE rank <= 5""")
+@Q.add(f"""WITH {_HAMMING}, c AS (SELECT q, vec_id, hamming, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[])
+           / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS cosine FROM h),
+    asked AS (SELECT q FROM q ORDER BY q LIMIT {CALIBRATION}),
+    near AS (SELECT hamming, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS n FROM c JOIN asked USING (q)),
+    bound AS (SELECT quantile_disc(hamming, {TARGET}) AS radius FROM near WHERE n <= 5)
+    SELECT q, vec_id, cosine, rank FROM (SELECT q, vec_id, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM c, bound WHERE hamming <= radius) WHERE rank <= 5""")
 def knn_signbit_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred candidates by signs, the best five of them by cosine."""
+    """The five best by cosine among all rows within a calibrated number of differing signs; a block keeps only its best."""
     vectors, questions = _sides(spark, sf_dir)
-    near = block_neighbours(vectors, questions, 100, bits=True).select("q", "vec_id")
-    both = near.join(vectors, "vec_id").join(questions.withColumnRenamed("e", "x"), "q")
-    dot = lambda a, b: F.expr(f"aggregate(zip_with({a}, {b}, (p, r) -> cast(p as double) * cast(r as double)), cast(0 as double), (s, v) -> s + v)")
-    scored = both.select("q", "vec_id", F.round(dot("e", "x") / F.sqrt(dot("e", "e") * dot("x", "x")), 5).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id"))
-    return scored.withColumn("rank", rank).where("rank <= 5")
+    return block_neighbours(vectors, questions, 5, _within(sign_radius(vectors, questions, 5))).withColumnRenamed("score", "cosine")
 
 
 @Q.add(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM c)
@@ -124,8 +146,7 @@ def best_match_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
         q, ids = right["q"].to_numpy(), left["vec_id"].to_numpy()
         if not len(q) or not len(ids):
             return pa.table({"q": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("best", "n", "s", "ss")}})
-        a, b = np.array(right["e"].to_pylist(), float), np.array(left["e"].to_pylist(), float)
-        c = np.round((a @ b.T) / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)), 5)
+        c = _cosines(_matrix(right["e"]), _matrix(left["e"]))
         own = q[:, None] == ids
         return pa.table({"q": q, "best": np.where(own, -2, c).max(1), "n": (~own).sum(1).astype(float), "s": np.where(own, 0, c).sum(1), "ss": np.where(own, 0, c * c).sum(1)})
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.catalog import QUERIES
 from recollect.functions.text import redacted
+from recollect.operators.index import near_duplicates
 from recollect.operators.retrieve import statements
 from recollect.operators.texts import visible_text
 
@@ -41,3 +42,29 @@ def test_deduplication_is_idempotent(spark, sf_dir):
     once = QUERIES["dedupe_captures"](spark, sf_dir)
     assert once.count() == once.dropDuplicates(["text", "source"]).count()
     assert once.agg(F.sum("times")).first()[0] == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_sign_radius_finds_what_brute_force_finds(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = QUERIES["knn_exact"](spark, sf).where("rank <= 5").select("q", "vec_id")
+    found = QUERIES["knn_signbit_rerank"](spark, sf).select("q", "vec_id")
+    assert found.join(exact, ["q", "vec_id"]).count() >= 0.9 * exact.count()
+
+
+def test_near_duplicates_lose_no_pair_and_take_null_empty_and_copies(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    changed = " ".join(f"w{i}" if i % 12 else f"v{i}" for i in range(60))  # all of its rarest terms are its own
+    texts = [(1, body), (2, changed), (3, body), (4, None), (5, ""), (6, None), (7, "quite another text"), (8, "!!")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, rest int")  # a column that clashes with one inside
+    found = {(r.doc_id, r.near_id): r.cosine for r in near_duplicates(docs).collect()}
+    assert found[(1, 3)] == 1.0
+    assert set(found) - {(1, 2)} == {(1, 3)}
+    low = {(r.doc_id, r.near_id) for r in near_duplicates(docs, 0.3).collect()}
+    assert low == {(1, 2), (1, 3)}
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_names_an_edit_apart_meet_wherever_the_edit_is(spark, sf_dir):
+    found = QUERIES["fuzzy_entity_match"](spark, sf_dir).select("a", "b")
+    assert found.where("substring(a, -1) <> substring(b, -1)").count() > 0
+    assert found.where("substring(a, 1, length(a) - 1) <> substring(b, 1, length(b) - 1)").count() > 0
