@@ -8,6 +8,7 @@ a batch that is repeated overwrites what it wrote.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,21 +84,28 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def debounced(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A job is due after QUIET_S seconds of quiet, and MOST_S seconds after its first change at the latest; a change at
-    that time or later begins the next job. A timer in event time gives out the job that nothing follows."""
-    first, last, n = state.get if state.exists else (None, None, 0)
+    that time or later begins the next job. Rows come in any order within the watermark's delay, so changes are held
+    until it has passed them, and are then taken in order of time. A timer in event time wakes the state when it
+    passes the next change held or the end of the open job."""
+    first, last, n, held = state.get if state.exists else (None, None, 0, [])
+    held = sorted([*held, *[t for f in ([] if state.hasTimedOut else frames) for t in f["at"].tolist()]])
+    passed = state.getCurrentWatermarkMs() / 1000
     done: list[tuple[int, float, float, int]] = []
-    if state.hasTimedOut:
-        done.append((key[0], first, min(first + MOST_S, last + QUIET_S), n))
+    due = lambda: min(first + MOST_S, last + QUIET_S)
+    ready = bisect_left(held, passed)
+    for t in held[:ready]:
+        if n and t >= due():
+            done.append((key[0], first, due(), n))
+            n = 0
+        first, last, n = (t if not n else first), t, n + 1
+    held = held[ready:]
+    if n and due() < passed:
+        done.append((key[0], first, due(), n))
         n = 0
-    else:
-        for t in sorted(t for f in frames for t in f["at"].tolist()):
-            if n and t >= min(first + MOST_S, last + QUIET_S):
-                done.append((key[0], first, min(first + MOST_S, last + QUIET_S), n))
-                n = 0
-            first, last, n = (t if not n else first), t, n + 1
-    if n:
-        state.update((first, last, n))
-        state.setTimeoutTimestamp(max(int(min(first + MOST_S, last + QUIET_S) * 1000), state.getCurrentWatermarkMs() + 1))
+    if n or held:
+        state.update((first, last, n, held))
+        wakes = min([*held[:1], *([due()] if n else [])])
+        state.setTimeoutTimestamp(max(int(wakes * 1000), state.getCurrentWatermarkMs() + 1))
     elif state.exists:
         state.remove()
     if done:
@@ -117,9 +125,9 @@ _JOBS = f"""
 @Q.add(_JOBS + " AND due < (SELECT floor(max(epoch_us(ts)) / 1e3) / 1e3 - 3600 FROM events)")
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs that fell due, by keyed state with timers; those that aren't due an hour before the newest change stay in the state."""
-    timed = stream(spark, sf_dir).withWatermark("ts", "1 hour").select("user_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
+    timed = stream(spark, sf_dir).where("user_id is not null").withWatermark("ts", "1 hour").select("user_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
     jobs = timed.groupBy("user_id").applyInPandasWithState(
-        debounced, "user_id long, first double, due double, n long", "first double, last double, n long", "append", GroupStateTimeout.EventTimeTimeout
+        debounced, "user_id long, first double, due double, n long", "first double, last double, n long, held array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
     return _drained(jobs, "debounce").select("user_id", F.round("first", 3).alias("first"), F.round("due", 3).alias("due"), "n")
 

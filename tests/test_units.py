@@ -86,8 +86,10 @@ def test_components_match_union_find(spark):
 
 
 class State:
+    """A stand-in for the state of one group: a value, a timer and the watermark."""
+
     def __init__(self):
-        self.value = None
+        self.value, self.timer, self.watermark, self.hasTimedOut = None, None, 0, False
 
     exists = property(lambda self: self.value is not None)
     get = property(lambda self: self.value)
@@ -95,11 +97,63 @@ class State:
     def update(self, value):
         self.value = value
 
+    def remove(self):
+        self.value = None
 
-def test_debounce_state_is_the_same_in_pieces():
-    rng = random.Random(1)
-    times = sorted(rng.uniform(0, 40 * QUIET_S) for _ in range(300))
-    run = lambda parts: [r for s in [State()] for p in parts for f in debounced((1,), iter([pd.DataFrame({"at": p})]), s) for r in f.itertuples(index=False)]
-    whole, pieces = run([times]), run([times[i : i + 7] for i in range(0, 300, 7)])
-    assert whole == pieces
-    assert all(r.due <= r.first + MOST_S for r in whole)
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.watermark
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        assert at > self.watermark
+        self.timer = at
+
+
+def jobs_by_batches(batches, delay):
+    """The jobs given out for batches of times as a stream would: the watermark follows the greatest time seen, and timers fire behind it."""
+    state, seen, out = State(), 0.0, []
+
+    def called(rows, timed_out=False):
+        state.hasTimedOut, state.timer = timed_out, None
+        for frame in debounced((1,), iter([pd.DataFrame({"at": rows})]), state):
+            out.extend(frame.itertuples(index=False, name=None))
+
+    for rows in batches:
+        late = [t for t in rows if t * 1000 <= state.watermark]
+        assert not late, "the test's own rows are within the delay"
+        called(rows)
+        seen = max([seen, *rows])
+        state.watermark = max(0, int((seen - delay) * 1000))
+        while state.timer is not None and state.timer < state.watermark:
+            called([], True)
+    return out
+
+
+def jobs_in_order(times):
+    """All jobs of times by walking along them, with those that nothing has followed yet."""
+    jobs = []
+    for t in sorted(times):
+        if jobs and t < min(jobs[-1][0] + MOST_S, jobs[-1][1] + QUIET_S):
+            jobs[-1] = (jobs[-1][0], t, jobs[-1][2] + 1)
+        else:
+            jobs.append((t, t, 1))
+    return [(1, first, min(first + MOST_S, last + QUIET_S), n) for first, last, n in jobs]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_debounced_jobs_do_not_depend_on_batches_or_their_order(seed):
+    rng, delay = random.Random(seed), 3 * QUIET_S
+    times = sorted(rng.uniform(1, 40 * QUIET_S) for _ in range(rng.choice([30, 120, 300])))
+    end = max(times) - delay
+    want = [j for j in jobs_in_order(times) if j[2] * 1000 < int(end * 1000)]
+    assert want
+    # rows are late by less than the delay, whatever the batches
+    shuffled = sorted(times, key=lambda t: t + rng.uniform(0, delay * 0.99))
+    for size in (1, 7, 50, len(times)):
+        assert jobs_by_batches([shuffled[i : i + size] for i in range(0, len(times), size)], delay) == want
+    assert jobs_by_batches([times], delay) == want
+
+
+def test_debounced_change_before_an_earlier_one():
+    hour = 3600.0
+    batches = [[1 * hour, 5 * hour], [2 * hour], [10 * hour], [100 * hour]]
+    assert jobs_by_batches(batches, 50 * hour) == [(1, hour, 16 * hour, 4)] == jobs_by_batches([[x for b in batches for x in b]], 50 * hour)
