@@ -118,14 +118,14 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
-    """docs with token_ids (array of int) and, if wanted, token_start and token_end in place of columns so named."""
+    """docs with token_ids (array of int) and, if wanted, token_start and token_end in place of columns so named, in whatever case."""
     added = ["token_ids", *(["token_start", "token_end"] if offsets else [])]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
         for part in _batches(batches):
-            ids = bpe.encode(part.column(kept.index(text)).to_pylist())
+            ids = bpe.encode(part.column([c.lower() for c in kept].index(text.lower())).to_pylist())
             out = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))]
             if offsets:
                 spans = [bpe.offsets(x, bpe.decode(x)) for x in ids]
@@ -138,12 +138,12 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
 def decoded(tokens: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
     """tokens with decoded (binary): the bytes of each array of ids, null counting as none."""
-    kept = [c for c in tokens.columns if c != "decoded"]
+    kept = [c for c in tokens.columns if c.lower() != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
         for part in _batches(batches):
-            rows = part.column(kept.index(ids)).to_pylist()
+            rows = part.column([c.lower() for c in kept].index(ids.lower())).to_pylist()
             out = pa.array([bpe.decode(np.array(r or [], "<u4").tobytes()) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*kept, "decoded"])
 
@@ -153,15 +153,16 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str, ids: str = "token_
 
 def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with token_ids, n_tokens, ids_sha256 (of the little-endian ids), decoded_sha256 (of the bytes that they decode to)
-    and offsets_sha256 (of all starts, then all ends, as little-endian unsigned 32-bit integers)."""
+    and offsets_sha256 (of all starts, then all ends, as little-endian unsigned 32-bit integers),
+    in place of columns so named, in whatever case."""
     added = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
         sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
         for part in _batches(batches):
-            ids = bpe.encode(part.column(kept.index("text")).to_pylist())
+            ids = bpe.encode(part.column([c.lower() for c in kept].index("text")).to_pylist())
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             back = [bpe.decode(x) for x in ids]

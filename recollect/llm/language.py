@@ -234,17 +234,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield given()
 
 
-def lexicon_of(docs: DataFrame, size: int = LEXICON) -> tuple[list[str], dict[str, list[int]]]:
-    """(labels, entries of the commonest words): for each label how likely the word is in it against all, in 5 steps. Words of over 40 letters aren't counted."""
+def lexicon_of(docs: DataFrame, labels: list[str], size: int = LEXICON) -> dict[str, list[int]]:
+    """Entries of the commonest words: for each label how likely the word is in it against all, in 5 steps. Words of over 40 letters aren't counted."""
     rows = _labelled(docs)
-    labels = sorted(r.lang for r in rows.select("lang").distinct().collect())
     counts = rows.select("text", "lang").mapInArrow(_counted, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     both = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
     top = both.orderBy(F.desc("n"), "word").limit(size).collect()  # at most `size` words
     share = np.array([[r.by.get(x, 0) for x in labels] for r in top], float).reshape(len(top), len(labels))
     share /= np.maximum(share.sum(0), 1)
     share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-    return labels, {r.word: np.minimum(4, row * 5).astype(int).tolist() for r, row in zip(top, share, strict=True)}
+    return {r.word: np.minimum(4, row * 5).astype(int).tolist() for r, row in zip(top, share, strict=True)}
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +261,17 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field learned from the labelled texts of docs (doc_id, text, lang) that aren't held out."""
-    labels, lexicon = lexicon_of(docs)
+    rows = _labelled(docs)
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    labels = sorted(counts)
     if not labels:
         return Field([], {}, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
-    each, rows = max(1, sample // len(labels)), _labelled(docs)
+    lexicon, each = lexicon_of(docs, labels), max(1, sample // len(labels))
+    # of each language some three times as many by the hash as are wanted, and the first of these
+    part = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3.0 * each / n))])
+    likely = rows.select("doc_id", "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < part[F.col("lang")] * float(1 << 31))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).drop("r").distinct()
+    few = likely.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).drop("r").distinct()
     found = rows.join(F.broadcast(few), ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(_stretches, "doc_id long, lang string, words string")
     stretches = [(r.words.split(" "), labels.index(r.lang)) for r in found.orderBy("doc_id", "lang", "words").limit(sample * STRETCHES).collect()]
     rng = random.Random(3)

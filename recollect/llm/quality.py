@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
     rows = texts.mapInArrow(_featured, "doc_id long, label int, feature array<int>, value array<float>")
-    table = rows.orderBy("doc_id", F.xxhash64("feature")).limit(sample).toArrow()
+    table = rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id", F.xxhash64("feature")).limit(sample).toArrow()
     columns = [table[c].combine_chunks() for c in ("feature", "value")]
     ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[0]]))).tolist()
     feature, value = (c.flatten().to_numpy() for c in columns)
@@ -165,9 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the score (0 to 1, higher: label 1 likelier) in a column of that name."""
-    kept = [c for c in docs.columns if c != name]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
     frame = docs.select(*[docs[f"`{c}`"] for c in kept])
-    at_text = kept.index(text)
+    at_text = [c.lower() for c in kept].index(text.lower())
     small = Machine(machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,5 +188,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score the threshold or more."""
-    name = next(c for c in ("score", *[f"score_{i}" for i in range(1000)]) if c not in docs.columns)
+    name = next(c for c in ("score", *[f"score_{i}" for i in range(1000)]) if c not in {x.lower() for x in docs.columns})
     return scored(docs, fit(docs, labels), name=name).where(F.col(name) >= threshold).drop(name)

@@ -254,5 +254,5 @@ def test_language_without_labels(spark):
 def test_lexicon_counts_are_of_all_labelled_texts(spark):
     rows = [(i, f"casa casa {'hund' if i % 2 else 'perro'}", "de" if i % 2 else "es") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels, lexicon = language.lexicon_of(docs)
-    assert labels == ["de", "es"] and lexicon["hund"] == [4, 0] and lexicon["perro"] == [0, 4] and lexicon["casa"] == [2, 2]
+    lexicon = language.lexicon_of(docs, ["de", "es"])
+    assert lexicon["hund"] == [4, 0] and lexicon["perro"] == [0, 4] and lexicon["casa"] == [2, 2]

@@ -130,3 +130,17 @@ def test_trie_spills_and_keeps_all():
         want[key] = (max(owner, i), n + 1)
     assert trie.spilled
     assert {k: (o, n) for k, o, n in trie.items()} == want
+
+
+def test_added_columns_replace_those_of_any_case(spark):
+    import public_tokenizers
+
+    from recollect.llm import quality
+    from recollect.llm.byte_bpe import encoded_digests
+
+    docs = spark.createDataFrame([(1, "a text", "x", 2, 0.5), (2, None, "y", 3, 0.7)], "doc_id long, Text string, Token_Ids string, N_TOKENS int, Score double")
+    got = encoded_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert [c.lower() for c in got.columns].count("token_ids") == 1 and got.select("token_ids", "n_tokens").count() == 2
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    kept = quality.without_low_quality(docs, labels, threshold=0.0)
+    assert kept.columns == docs.columns and sorted(r.Score for r in kept.collect()) == [0.5, 0.7]
