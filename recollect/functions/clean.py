@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 #: Tags of blocks that a client puts around or between what people say.
 BLOCKS = ("system-reminder", "context", "tool_result", "thinking", "think")
-#: Titles that name no conversation.
-GENERIC_TITLES = ("new chat", "untitled", "home", "chat", "conversation", "new conversation")
+#: Placeholders that an editor or client shows where no title was given, in the four languages of the data.
+GENERIC_TITLES = (
+    "no subject", "no title", "draft", "blank page", "ohne titel", "kein betreff", "entwurf", "neuer dialog", "sin asunto", "borrador", "nuevo diálogo", "sans titre", "brouillon", "nouveau dialogue",
+)
+#: What opens a request to keep something, and verbs and modals that mark decisions and constraints, in the same languages.
+KEEP = ("make a note", "write this down", "store this", "merk dir", "notiere", "apunta", "anota", "retiens", "notez")
+DECIDING = ("resolved to", "opted for", "picked", "the plan is", "beschlossen", "entschieden", "wir nehmen", "acordado", "elegimos", "hemos decidido", "retenu", "nous prenons", "on part sur")
+BINDING = ("required", "forbidden", "mandatory", "no later than", "no more than", "shall not", "muss", "darf nicht", "höchstens", "spätestens", "debe", "prohibido", "como máximo", "doit", "interdit", "au plus tard")
 
 
 def without_blocks(text: Column, tags: tuple[str, ...] = BLOCKS) -> Column:
@@ -36,7 +42,7 @@ def hinted_time(text: Column) -> Column:
 
 def asked_to_remember(text: Column) -> Column:
     """What follows a request to remember, or null."""
-    return F.nullif(F.regexp_extract(text, r"(?is)^\s*(?:please\s+)?(?:remember|note|keep in mind|don't forget)(?:\s+that\b|\s*:)\s*(.*)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"(?is)^\s*(?:please,?\s+|bitte\s+|por favor,?\s+)?(?:" + "|".join(KEEP) + r")\s*(?::|,)\s*(.*)$", 1), F.lit(""))
 
 
 def code_blocks(text: Column, last: int = 2) -> Column:
@@ -92,8 +98,7 @@ def utc_seconds(stamp: Column) -> Column:
 
 def section(sentence: Column) -> Column:
     """question, decision, constraint or other: what part of a hand-off a sentence belongs to."""
-    low = F.lower(sentence)
-    return (
-        F.when(sentence.rlike(r"\?\s*$"), "question").when(low.rlike(r"\b(decided|agreed|settled on|we will|let's|going with|chose)\b"), "decision")
-        .when(low.rlike(r"\b(must|must not|never|always|only|cannot|can't|has to|need to|at most|at least)\b"), "constraint").otherwise("other")
-    )
+    # words parted by single spaces, so that a phrase is found as whole words by its text
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    has = lambda phrases: F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(low, p))
+    return F.when(sentence.rlike(r"\?\s*$"), "question").when(has(DECIDING), "decision").when(has(BINDING), "constraint").otherwise("other")

@@ -44,7 +44,7 @@ def message_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN md5(trim(text)) END AS asked_md5 FROM conversations")
 def remember_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What somebody asks to be remembered."""
-    said = F.concat(F.expr("element_at(array('Please remember that ', ' note: ', 'I remember '), cast(conv_id % 3 as int) + 1)"), F.trim("text"))
+    said = F.concat(F.expr("element_at(array('Please make a note: ', ' merk dir, ', 'I wrote this down '), cast(conv_id % 3 as int) + 1)"), F.trim("text"))
     return _turns(spark, sf_dir).select("conv_id", "turn", F.md5(clean.asked_to_remember(said)).alias("asked_md5"))
 
 
@@ -89,7 +89,7 @@ def steering_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages without the site's name behind them; generic ones are none."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    shown = F.when(F.expr("page_id % 9 = 0"), F.lit(" New  Chat - Example")).otherwise(F.concat(title, F.lit("  | Example Org")))
+    shown = F.when(F.expr("page_id % 9 = 0"), F.lit(" Ohne  Titel - Example")).otherwise(F.concat(title, F.lit("  | Example Org")))
     return table(spark, sf_dir, "pages").select("page_id", clean.clean_title(shown).alias("title"))
 
 
@@ -155,9 +155,10 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add("""
     WITH s AS (SELECT conv_id, turn, trim(unnest(regexp_extract_all(text, '[^.!?]+[.!?]*'))) AS s FROM conversations),
-    k AS (SELECT *, lower(s) AS l FROM s WHERE s <> '')
-    SELECT conv_id, CASE WHEN s LIKE '%?' THEN 'question' WHEN regexp_matches(l, '\\b(decided|agreed|settled on|we will|let''s|going with|chose)\\b') THEN 'decision'
-                         WHEN regexp_matches(l, '\\b(must|must not|never|always|only|cannot|can''t|has to|need to|at most|at least)\\b') THEN 'constraint' ELSE 'other' END AS section,
+    k AS (SELECT *, concat(' ', regexp_replace(lower(s), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS l FROM s WHERE s <> ''),
+    m AS (SELECT conv_id, turn, word, kind FROM (VALUES """ + ", ".join(f"('{p}', '{k}')" for k, ps in (("decision", clean.DECIDING), ("constraint", clean.BINDING)) for p in ps) + """) AS v(word, kind), conversations)
+    SELECT conv_id, CASE WHEN s LIKE '%?' THEN 'question' WHEN EXISTS (SELECT 1 FROM m WHERE m.conv_id = k.conv_id AND m.turn = k.turn AND kind = 'decision' AND contains(l, concat(' ', word, ' '))) THEN 'decision'
+                         WHEN EXISTS (SELECT 1 FROM m WHERE m.conv_id = k.conv_id AND m.turn = k.turn AND kind = 'constraint' AND contains(l, concat(' ', word, ' '))) THEN 'constraint' ELSE 'other' END AS section,
            count(*) AS n FROM k GROUP BY ALL""")
 def section_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of a conversation by the section of a hand-off that they belong to."""

@@ -72,18 +72,43 @@ def phrase_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add("""
-    SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'my password is [secret], ok' WHEN 1 THEN concat('pin: [pin] order ', o_orderkey) WHEN 2 THEN 'pay with [card] please'
-        WHEN 3 THEN 'number 4111 1111 1111 1112 stays' WHEN 4 THEN 'use [api key]' WHEN 5 THEN 'token [token]!' WHEN 6 THEN 'db at postgres://u:[secret]@host/x' WHEN 7 THEN 'mail [email] from [ip]'
-        WHEN 8 THEN 'iban [iban]' ELSE concat('order ', o_orderkey, ' shipped') END AS redacted FROM orders""")
+    SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'my password is [password], ok' WHEN 1 THEN concat('pin: [pin] order ', o_orderkey) WHEN 2 THEN 'pay with [card] please'
+        WHEN 3 THEN 'number 4111 1111 1111 1112 stays' WHEN 4 THEN 'use [stripe key]' WHEN 5 THEN 'token [github token]!' WHEN 6 THEN 'db at postgres://u:[password]@host/x' WHEN 7 THEN 'mail [email] from [ip]'
+        WHEN 8 THEN 'account [iban]' ELSE concat('order ', o_orderkey, ' shipped') END AS redacted FROM orders""")
 def notes_without_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with secrets of many shapes, redacted; a card number that fails its check is no card."""
     notes = [
         "concat('my password is hunter', o_orderkey, ', ok')", "concat('pin: ', 1000 + o_orderkey % 9000, ' order ', o_orderkey)", "'pay with 4111-1111-1111-1111 please'", "'number 4111 1111 1111 1112 stays'",
-        "concat('use sk-proj-', md5(cast(o_orderkey as string)))", "concat('token ghp_', md5(cast(o_orderkey as string)), '!')", "concat('db at postgres://u:pw', o_orderkey, '@host/x')",
-        "concat('mail a.b', o_orderkey, '@mail.example.org from 10.0.0.', o_orderkey % 250)", "'iban DE89 3704 0044 0532 0130 00'", "concat('order ', o_orderkey, ' shipped')",
+        "concat('use sk_live_', substring(md5(cast(o_orderkey as string)), 1, 24))", "concat('token ghp_', md5(cast(o_orderkey as string)), 'Zz09', '!')", "concat('db at postgres://u:pw', o_orderkey, '@host/x')",
+        "concat('mail a.b', o_orderkey, '@mail.example.org from 10.0.0.', o_orderkey % 250)", "'account DE89 3704 0044 0532 0130 00'", "concat('order ', o_orderkey, ' shipped')",
     ]
     note = F.expr(f"element_at(array({', '.join(notes)}), cast(o_orderkey % 10 as int) + 1)")
     return table(spark, sf_dir, "orders").select("o_orderkey", without_secrets(note).alias("redacted"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id, part, text) of all stored texts."""
+    docs = table(spark, sf_dir, "documents").selectExpr("'document' AS kind", "doc_id AS id", "0L AS part", "text")
+    pages = table(spark, sf_dir, "pages").selectExpr("'page' AS kind", "page_id AS id", "0L AS part", "html AS text")
+    return docs.unionByName(pages).unionByName(table(spark, sf_dir, "conversations").selectExpr("'turn' AS kind", "conv_id AS id", "turn AS part", "text"))
+
+
+@Q.add("""
+    WITH t AS (SELECT 'document' AS kind, doc_id AS id, 0::BIGINT AS part, text FROM documents UNION ALL SELECT 'page', page_id, 0, html FROM pages UNION ALL SELECT 'turn', conv_id, turn, text FROM conversations),
+    m AS (SELECT *, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+', '[email]', 'g'), '[0-9a-fA-F]{32,}', '[hex]', 'g') AS x FROM t),
+    d AS (SELECT *, string_split_regex(x, '[0-9]+(?:[.][0-9]+)+') AS between, regexp_extract_all(x, '[0-9]+(?:[.][0-9]+)+') AS runs FROM m),
+    i AS (SELECT kind, id, part, text, array_to_string(list_transform(generate_series(1, len(between)), lambda k: concat(between[k], CASE
+            WHEN len(string_split(runs[k], '.')) = 4 AND len(list_filter(string_split(runs[k], '.'), lambda o: length(o) > 3 OR o::HUGEINT > 255)) = 0 THEN '[ip]' ELSE coalesce(runs[k], '') END)), '') AS x FROM d),
+    e AS (SELECT *, string_split_regex(x, '[0-9](?:[ -]?[0-9])*') AS between, regexp_extract_all(x, '[0-9](?:[ -]?[0-9])*') AS runs FROM i),
+    c AS (SELECT kind, id, part, text, between, runs, list_transform(runs, lambda r: reverse(regexp_replace(r, '[ -]', '', 'g'))) AS back FROM e),
+    v AS (SELECT *, list_transform(back, lambda b: len(b) BETWEEN 13 AND 19 AND list_sum(list_transform(generate_series(1, len(b)), lambda p:
+            CASE WHEN p % 2 = 1 THEN b[p]::INT WHEN b[p]::INT > 4 THEN 2 * b[p]::INT - 9 ELSE 2 * b[p]::INT END)) % 10 = 0) AS card FROM c),
+    o AS (SELECT kind, id, part, text, array_to_string(list_transform(generate_series(1, len(between)), lambda k: concat(between[k], CASE WHEN card[k] THEN '[card]' ELSE coalesce(runs[k], '') END)), '') AS x FROM v)
+    SELECT kind, id, part, x <> text AS changed, md5(x) AS redacted_md5 FROM o""")
+def stored_texts_without_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, pages and turns through the redactor. The tables hold mail, IP and card numbers and hex keys; the SQL looks for these only, by itself."""
+    clean = without_secrets(F.col("text"))
+    return _stored(spark, sf_dir).select("kind", "id", "part", (clean != F.col("text")).alias("changed"), F.md5(clean).alias("redacted_md5"))
+
+
 QUERIES, ORACLE = Q.queries, Q.oracle
