@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.index", "operators.facts", "operators.log", "operators.limits", "operators.vectors", "operators.topics", "operators.texts", "operators.sessions", "operators.retrieve", "operators.cleaning", "operators.statements", "sources.transcripts", "sources.intake", "streaming.events")
+MODULES = ("operators.index", "operators.facts", "operators.log", "operators.limits", "operators.vectors", "operators.topics", "operators.texts", "operators.sessions", "operators.retrieve", "operators.cleaning", "operators.linkage", "operators.phrases", "operators.statements", "sources.transcripts", "sources.intake", "streaming.events")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
