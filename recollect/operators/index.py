@@ -1,12 +1,15 @@
 """Inverted index and ranked retrieval: postings, idf, BM25, tf-idf cosine, candidates and snippets.
 
 A question set is the benchmark table; texts are documents or the turns of conversations. Terms that most
-of a corpus shares make long postings: joins on terms carry (key, term, tf) only, scores are summed before
-anything else is joined, and candidate joins take the rarest terms of a question.
+of a corpus shares make long postings: joins on terms carry (key, term, tf) only and scores are summed before
+anything else is joined. The two top-k queries find candidates by terms that can matter (`best_sums`); the
+queries in SQL that give all scores join all terms of their questions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +51,46 @@ def _base(d) -> str:
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The k best documents of each benchmark passage by BM25 with idf ln((N - n + .5) / (n + .5) + 1)."""
     docs = table(spark, sf_dir, "documents")
-    index = postings(docs, "doc_id")
-    asked = postings(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term")
-    lengths = docs.select("doc_id", F.expr("size(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0))").alias("dl")).where("dl > 0")
+    asked = written(postings(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term"), "asked")
+    terms = asked.select("term").distinct().withColumn("known", F.lit(True))
+    said = docs.select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0)")).alias("term"))
+    # what nobody asks for counts towards the length only: one row a document
+    hits = written(said.join(terms, "term", "left").groupBy("doc_id", F.when(F.col("known"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")), "hits")
+    lengths = written(hits.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "lengths")
     stats = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.avg("dl").alias("a")))  # one row
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    asked_for = hits.where("term is not null")
+    df = asked_for.groupBy("term").agg(F.count("*").alias("df"))
     weighted = (
-        hits.join(df, "term").join(lengths, "doc_id").crossJoin(stats)
+        asked_for.join(df, "term").join(lengths, "doc_id").crossJoin(stats)
         .select("doc_id", "term", (F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (K1 + 1)
                                    / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("a")))).alias("w"))
     )
-    scores = asked.join(weighted, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best_sums(asked.withColumn("q", F.lit(1.0)), weighted, k).select("item_id", "doc_id", F.col("sum").alias("score"), "rank")
+
+
+def best_sums(asked: DataFrame, weighted: DataFrame, k: int, rarest: int = 8, seen: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
+    """(item_id, doc_id, sum, rank): the k documents of each item with the greatest sum of q * w over its terms, rounded to six places, ties to the smaller doc_id.
+
+    asked (item_id, term, q >= 0), weighted (doc_id, term, w >= 0). Exact without joining all terms with all documents: the
+    sums over an item's rarest terms alone bound its k-th best sum from below. Its commonest terms that together can't
+    reach that bound, each at most at its greatest weight, find no document by themselves: only documents with one of the
+    other terms are candidates, and only these are summed over all terms. `seen` is told of the tables in between.
+    """
+    weighted = written(weighted, "weighted")
+    bounds = written(weighted.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most")), "bounds")
+    terms = written(asked.join(bounds, "term").withColumn("most", F.col("q") * F.col("most")), "asked")
+    by_item = Window.partitionBy("item_id")  # the terms of one question
+    rare = terms.withColumn("r", F.row_number().over(by_item.orderBy("df", "term"))).where(F.col("r") <= rarest)
+    part = rare.join(weighted, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("sum"))
+    kth = part.withColumn("r", F.row_number().over(by_item.orderBy(F.desc("sum"), "doc_id"))).where(F.col("r") == k).select("item_id", F.col("sum").alias("least"))
+    common = F.sum("most").over(by_item.orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    finding = terms.withColumn("reach", common).join(kth, "item_id", "left").where(F.col("least").isNull() | (F.col("reach") >= F.col("least") - 1e-5))
+    candidates = written(finding.select("item_id", "term").join(weighted.select("term", "doc_id"), "term").select("item_id", "doc_id").distinct(), "candidates")
+    if seen is not None:
+        seen("candidates", candidates)
+    full = candidates.join(terms.select("item_id", "term", "q"), "item_id").join(weighted, ["doc_id", "term"])
+    sums = full.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("q") * F.col("w")), 6).alias("sum"))
+    return sums.withColumn("rank", F.row_number().over(by_item.orderBy(F.desc("sum"), "doc_id"))).where(F.col("rank") <= k)
 
 
 Q.sql("term_frequencies", "documents", lambda d: _index(d, "documents", "doc_id"))
@@ -73,13 +102,26 @@ Q.sql("candidates_rare_terms", "documents benchmark", lambda d: f"""
         SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS r FROM asked JOIN df USING (term)) WHERE r <= 8)
     SELECT item_id, doc_id, count(*) AS n_terms FROM rare JOIN docs USING (term) GROUP BY item_id, doc_id""")
 
-Q.sql("tfidf_cosine_topk", "documents benchmark", lambda d: f"""
+@Q.add(lambda d: f"""
     WITH {_base(d)},
     qn AS (SELECT item_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM asked JOIN idf USING (term) GROUP BY item_id),
     dn AS (SELECT doc_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM docs JOIN idf USING (term) GROUP BY doc_id),
     s AS (SELECT item_id, doc_id, sum(asked.tf * docs.tf * idf * idf) AS dot FROM asked JOIN docs USING (term) JOIN idf USING (term) GROUP BY item_id, doc_id),
     c AS (SELECT item_id, doc_id, round(dot / (qn.norm * dn.norm), 6) AS cosine FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id))
     SELECT item_id, doc_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS rank FROM c) WHERE rank <= 5""")
+def tfidf_cosine_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The k most alike documents of each benchmark passage by the cosine of tf * idf with idf ln((2 + N) / (1 + n))."""
+    docs = table(spark, sf_dir, "documents")
+    index = written(postings(docs, "doc_id"), "index")
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    idf = written(index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", F.log((F.col("n") + 2.0) / (F.col("df") + 1.0)).alias("idf")), "idf")
+    heavy = index.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = heavy.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = postings(table(spark, sf_dir, "benchmark"), "item_id").join(idf, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("q"))
+    asked = written(asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("item_id")))), "asked")
+    weighted = heavy.join(asked.select("term").distinct(), "term", "left_semi").join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return best_sums(asked, weighted, k).select("item_id", "doc_id", F.col("sum").alias("cosine"), "rank")
+
 
 NEAR = 0.8
 

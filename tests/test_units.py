@@ -157,3 +157,24 @@ def test_debounced_change_before_an_earlier_one():
     hour = 3600.0
     batches = [[1 * hour, 5 * hour], [2 * hour], [10 * hour], [100 * hour]]
     assert jobs_by_batches(batches, 50 * hour) == [(1, hour, 16 * hour, 4)] == jobs_by_batches([[x for b in batches for x in b]], 50 * hour)
+
+
+def test_best_sums_equal_all_sums_with_fewer_candidates(spark):
+    from recollect.operators.index import best_sums
+
+    rng = random.Random(9)
+    weighted = [(d, f"t{t}", round(rng.random() * (0.1 if t < 3 else 3.0), 3)) for d in range(300) for t in range(40) if rng.random() < (0.95 if t < 3 else 0.03)]
+    asked = [(i, f"t{t}", 1.0 + t % 2) for i in range(6) for t in {0, 1, 2, *(rng.randrange(40) for _ in range(5))}] + [(99, "t0", 1.0)]
+    counts = []
+    got = best_sums(spark.createDataFrame(asked, "item_id long, term string, q double"), spark.createDataFrame(weighted, "doc_id long, term string, w double"), 5, 3, lambda n, df: counts.append(df.count()))
+    sums = {}
+    for i, t, q in asked:
+        for d, u, w in weighted:
+            if t == u:
+                sums[i, d] = sums.get((i, d), 0.0) + q * w
+    want = {}
+    for i in {i for i, _ in sums}:
+        ranked = sorted((-round(s, 6), d) for (j, d), s in sums.items() if j == i)[:5]
+        want |= {(i, r + 1): (d, -s) for r, (s, d) in enumerate(ranked)}
+    assert {(r.item_id, r.rank): (r.doc_id, r.sum) for r in got.collect()} == want
+    assert counts[0] < 0.7 * len(sums)
