@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Where written() notes its folders for whoever is to delete them.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex[:12]}"
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,6 +56,25 @@ def forget(table: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def noting(folders: list[str]) -> Iterator[None]:
+    """Within this, the folders that written() makes are added to the list."""
+    before = _NOTED.set(folders)
+    try:
+        yield
+    finally:
+        _NOTED.reset(before)
+
+
+def clear(spark: SparkSession, folders: list[str], still: DataFrame) -> None:
+    """Deletes the folders but those that `still` reads, and takes them off the list."""
+    read = "\n".join(still.inputFiles())
+    for folder in [f for f in folders if f.rsplit("/", 1)[-1] not in read]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folders.remove(folder)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """SQL settings for what is run within, by names with __ for the dots; the session has its own again afterwards."""
