@@ -64,7 +64,7 @@ def _words(text: str | None) -> list[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, documents that have it) of a task's documents; a null word counts the documents."""
+    """(word, documents that have it) of a task's documents."""
     counts: Counter = Counter()
 
     def given() -> pa.RecordBatch:
@@ -73,7 +73,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        counts[None] += batch.num_rows
         for text in batch.column(0):
             counts.update(set(_words(text.as_py())))
             if len(counts) > HELD:
@@ -84,23 +83,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def topic_words(texts: DataFrame, topics: int = TOPICS, common: float = COMMON) -> list[str]:
     """The words of texts (text) that stand for topics, at most so many."""
-    counts = written(texts.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
-    few = counts.where(F.col("word").isNotNull() & (F.col("n") <= common * total))
+    counts = texts.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    few = counts.where(F.col("n") <= common * texts.count())
     return [r.word for r in few.orderBy(F.desc("n"), "word").limit(topics).collect()]
 
 
-def _celled(docs: DataFrame, topic: str | None, rows: bool = False) -> DataFrame:
-    """doc_id, mix_source, mix_lang, mix_topic, mix_tokens; with `rows` also row, the document's columns."""
-    name = {c.lower(): c for c in docs.columns}
-    column = lambda c: docs[f"`{name[c]}`"]
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(_column(docs, "text").cast("string"), F.lit("")).alias("text")
+
+
+def _column(docs: DataFrame, name: str) -> Column:
+    return docs["`" + next(c for c in docs.columns if c.lower() == name) + "`"]
+
+
+def _celled(docs: DataFrame, topic: str | None, chosen: list[str] | None = None, rows: bool = False) -> DataFrame:
+    """doc_id, mix_source, mix_lang, mix_topic, mix_tokens; with `rows` also row, the document's columns. Topic words may be given."""
+    column = lambda c: _column(docs, c)
     dims = [F.coalesce(column(d).cast("string"), F.lit("none")).alias(f"mix_{d}") for d in DIMENSIONS[:2]]
     row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if rows else []
-    text, doc_id = F.coalesce(column("text").cast("string"), F.lit("")).alias("text"), column("doc_id").alias("doc_id")
+    text, doc_id = _text(docs), column("doc_id").alias("doc_id")
     if topic is not None:
         length = F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
         return docs.select(*row, doc_id, *dims, F.coalesce(F.expr(topic).cast("string"), F.lit("none")).alias("mix_topic"), length.alias("mix_tokens"))
-    chosen = topic_words(docs.select(text))
+    chosen = topic_words(docs.select(text)) if chosen is None else chosen
     place = {w: i for i, w in enumerate(sorted(chosen))}
     names = sorted(chosen)
 
@@ -214,11 +219,11 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def _drawn(celled: DataFrame, **raking) -> DataFrame:
-    """A written table of _celled() with mix_probability and mix_drawn."""
+def _drawn(celled: DataFrame, rows: DataFrame | None = None, **raking) -> DataFrame:
+    """celled (or `rows`, the same with more columns) with mix_probability and mix_drawn."""
     cells = written(celled.groupBy(*_KEYS).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     rates = raked(cells, **raking).select(*_KEYS, F.col("probability").alias("mix_probability"))
-    return celled.join(rates, _KEYS).withColumn("mix_drawn", draw(F.col("doc_id")) < F.col("mix_probability"))
+    return (celled if rows is None else rows).join(rates, _KEYS).withColumn("mix_drawn", draw(F.col("doc_id")) < F.col("mix_probability"))
 
 
 def mixture(docs: DataFrame, topic: str | None = None, **raking) -> DataFrame:
@@ -228,8 +233,9 @@ def mixture(docs: DataFrame, topic: str | None = None, **raking) -> DataFrame:
 
 
 def mixed(docs: DataFrame, topic: str | None = None, **raking) -> DataFrame:
-    """The documents drawn, with the columns of docs."""
-    return _drawn(written(_celled(docs, topic, rows=True), "celled"), **raking).where("mix_drawn").select("row.*")
+    """The documents drawn, with the columns of docs. Cells are found twice, so that no text is written once more."""
+    chosen = topic_words(docs.select(_text(docs))) if topic is None else None
+    return _drawn(_celled(docs, topic, chosen), _celled(docs, topic, chosen, rows=True), **raking).where("mix_drawn").select("row.*")
 
 
 def oracle() -> str:
