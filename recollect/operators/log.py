@@ -58,9 +58,10 @@ Q.sql("apply_topic_merges", "part", lambda d: """
     WITH merged AS (SELECT p_brand, min(p_brand) OVER (PARTITION BY substring(p_brand, 1, 7)) AS topic FROM (SELECT DISTINCT p_brand FROM part))
     SELECT topic, count(*) AS parts, count(DISTINCT part.p_brand) AS brands FROM part JOIN merged ON part.p_brand = merged.p_brand GROUP BY topic""")
 
-Q.sql("import_delta", "documents", lambda d: """
-    WITH have AS (SELECT DISTINCT text FROM documents WHERE source <> 'src0')
-    SELECT min(doc_id) AS doc_id, count(*) AS times FROM documents i WHERE source = 'src0' AND NOT EXISTS (SELECT 1 FROM have WHERE have.text = i.text) GROUP BY text""")
+# texts are compared and grouped by their SHA-256, so that no text is shuffled
+Q.sql("import_delta", "documents", lambda d: f"""
+    WITH named AS (SELECT doc_id, source, {d.sha256('text')} AS h FROM documents), have AS (SELECT DISTINCT h FROM named WHERE source <> 'src0')
+    SELECT min(doc_id) AS doc_id, count(*) AS times FROM named i WHERE source = 'src0' AND NOT EXISTS (SELECT 1 FROM have WHERE have.h = i.h) GROUP BY h""")
 
 Q.sql("restore_violations", "lineitem orders part supplier", lambda d: """
     SELECT 'order' AS kind, l_orderkey AS id, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) GROUP BY l_orderkey
@@ -70,15 +71,15 @@ Q.sql("restore_violations", "lineitem orders part supplier", lambda d: """
 Q.sql("unread_queue", "documents labels", lambda d: """
     SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""")
 
-Q.sql("reinforce_exact", "documents", lambda d: """
-    SELECT min(doc_id) AS doc_id, count(*) AS times, count(DISTINCT source) AS sources, round(least(1.0, 0.5 + 0.05 * count(*)), 6) AS importance FROM documents GROUP BY text HAVING count(*) > 1""")
+Q.sql("reinforce_exact", "documents", lambda d: f"""
+    SELECT min(doc_id) AS doc_id, count(*) AS times, count(DISTINCT source) AS sources, round(least(1.0, 0.5 + 0.05 * count(*)), 6) AS importance FROM documents GROUP BY {d.sha256('text')} HAVING count(*) > 1""")
 
 Q.sql("reinforce_by_signature", "documents", lambda d: f"""
     WITH s AS (SELECT doc_id, md5({d.join(d.distinct_sorted(d.tokens('text')), ' ')}) AS signature FROM documents)
     SELECT signature, min(doc_id) AS doc_id, count(*) AS times FROM s GROUP BY signature HAVING count(*) > 1""")
 
-Q.sql("noisy_or_confidence", "documents", lambda d: """
-    SELECT min(doc_id) AS doc_id, round(1 - exp(sum(ln(1 - (0.3 + 0.4 * (doc_id % 10) / 10.0) / 2))), 6) AS confidence, count(*) AS times FROM documents GROUP BY text HAVING count(*) > 1""")
+Q.sql("noisy_or_confidence", "documents", lambda d: f"""
+    SELECT min(doc_id) AS doc_id, round(1 - exp(sum(ln(1 - (0.3 + 0.4 * (doc_id % 10) / 10.0) / 2))), 6) AS confidence, count(*) AS times FROM documents GROUP BY {d.sha256('text')} HAVING count(*) > 1""")
 
 Q.sql("keep_latest_n", "events", lambda d: "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 12")
 

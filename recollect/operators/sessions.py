@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from recollect.plans.dialect import Queries
+from recollect.tables import table
 
 Q = Queries()
 
@@ -106,8 +110,14 @@ Q.sql("mrr_hit_at_k", "orders customer", lambda d: """
     best AS (SELECT o_custkey, min(rank) AS rank FROM ranked WHERE o_orderstatus = 'P' GROUP BY o_custkey)
     SELECT c_mktsegment, count(*) AS asked, count_if(rank <= 3) AS hits, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM customer LEFT JOIN best ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 
-Q.sql("export_json_rows", "nation region", lambda d: """
-    SELECT n_nationkey AS id, concat('{"kind":"entity","key":', cast(n_nationkey AS varchar(10)), ',"label":"', replace(n_name, '"', '\\\\"'), '","region":"', r_name, '"}') AS line FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@Q.add("""
+    SELECT n_nationkey AS id, concat('{"kind":"entity","key":', n_nationkey, ',"label":', to_json(concat(n_name, chr(10), '"', chr(92))), ',"region":', to_json(r_name), '}') AS line FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def export_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON object a line; the label has a line break, a quote and a backslash added, which have to be escaped."""
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    label = F.concat("n_name", F.lit('\n"\\'))
+    return both.select(F.col("n_nationkey").alias("id"), F.to_json(F.struct(F.lit("entity").alias("kind"), F.col("n_nationkey").alias("key"), label.alias("label"), F.col("r_name").alias("region"))).alias("line"))
+
 
 Q.sql("export_cypher_lines", "customer nation", lambda d: f"""
     SELECT c_custkey AS id, concat('MATCH (a {{id: ', cast(c_custkey AS varchar(20)), '}}), (b {{id: ', cast(n_nationkey AS varchar(20)), '}}) CREATE (a)-[:', upper({d.replace("'lives in'", ' ', '_')}), ']->(b);') AS line FROM customer JOIN nation ON c_nationkey = n_nationkey""")

@@ -59,8 +59,15 @@ Q.sql("topic_top_terms", "documents", lambda d: f"""
     s AS (SELECT source, term, round(n * ln(1 + k / cast(df AS double)), 6) AS score FROM t JOIN df USING (term) CROSS JOIN k)
     SELECT source, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 5""")
 
-Q.sql("topic_signature", "documents", lambda d: f"""
-    SELECT source, lang, md5({d.joined('cast(doc_id AS varchar(20))', ' ')}) AS signature, count(*) AS members FROM documents GROUP BY source, lang""")
+@Q.add("""
+    SELECT source, lang, md5(concat_ws(':', count(*), sum(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::HUGEINT), sum(('0x' || substr(md5(doc_id::VARCHAR), 16, 15))::HUGEINT))) AS signature, count(*) AS members
+    FROM documents GROUP BY source, lang""")
+def topic_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name for the members of each group that doesn't depend on their order: their number and two sums of 60-bit hashes, added up within each task first."""
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    found = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("members"), part(1).alias("a"), part(16).alias("b"))
+    return found.select("source", "lang", F.md5(F.concat_ws(":", F.col("members").cast("string"), "a", "b")).alias("signature"), "members")
+
 
 Q.sql("top_entities_per_conversation", "conversations", lambda d: f"""
     WITH w AS (SELECT conv_id, word, count(*) AS n FROM (SELECT conv_id, {d.each}({d.finds('text', '[A-Z][a-z]{4,}')}) AS word FROM conversations) GROUP BY conv_id, word)
