@@ -71,11 +71,10 @@ def version_parts(version: Column) -> Column:
 
 def rolled_year(said: Column, at: Column, past: Column) -> Column:
     """A month and day (MM-dd) said without a year: the last such day up to `at` in the past tense, otherwise the next one from it."""
-    this = F.try_to_date(F.concat(F.year(at), F.lit("-"), said), "yyyy-MM-dd")
-    before = F.try_to_date(F.concat(F.year(at) - 1, F.lit("-"), said), "yyyy-MM-dd")
-    after = F.try_to_date(F.concat(F.year(at) + 1, F.lit("-"), said), "yyyy-MM-dd")
-    day = F.to_date(at)
-    return F.when(past, F.when(this <= day, this).otherwise(before)).otherwise(F.when(this >= day, this).otherwise(after))
+    # eight years either way: 29 February can be as far, around a century that is no leap year
+    years = F.sequence(F.year(at) - 8, F.year(at) + 8)
+    days, day = F.transform(years, lambda y: F.try_to_date(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), said), "yyyy-MM-dd")), F.to_date(at)
+    return F.when(past, F.array_max(F.filter(days, lambda d: d <= day))).otherwise(F.array_min(F.filter(days, lambda d: d >= day)))
 
 
 def asked_window(at: Column, unit: Column) -> Column:

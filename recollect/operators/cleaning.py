@@ -114,7 +114,7 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add("""
     WITH e AS (SELECT event_id, ts::DATE AS day, strftime(ts::DATE + (event_id % 300)::INT, '%m-%d') AS said, event_id % 2 = 0 AS past FROM events),
-    c AS (SELECT event_id, day, past, unnest([try_strptime(concat(year(day) + y, '-', said), '%Y-%m-%d')::DATE for y in [-1, 0, 1]]) AS on_day FROM e)
+    c AS (SELECT event_id, day, past, unnest([try_strptime(concat(year(day) + y, '-', said), '%Y-%m-%d')::DATE for y in generate_series(-8, 8)]) AS on_day FROM e)
     SELECT event_id, CASE WHEN past THEN max(on_day) FILTER (on_day <= day) ELSE min(on_day) FILTER (on_day >= day) END::VARCHAR AS on_day FROM c GROUP BY event_id, past""")
 def undated_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day and month without a year, by tense: the last one or the next one."""

@@ -42,3 +42,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         raise RuntimeError(f"components still change after {rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, "u", "left").select(F.col("u").alias("id"), F.coalesce("component", "u").alias("component"))
+
+
+def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85, settled: float = 1e-7) -> DataFrame:
+    """(node, r) of weighted PageRank over edges (u, v, w), r summing to one over all endpoints.
+
+    What nodes without outgoing weight have is dealt to all nodes evenly. Ends after `rounds` rounds, or earlier when
+    no round changes the ranks by more than `settled` altogether. A round is one join on the node and one sum by node,
+    and writes its ranks; rows that repeat an edge add up.
+    """
+    one = edges.where("u is not null and v is not null and w > 0").groupBy("u", "v").agg(F.sum("w").alias("w"))
+    total = one.groupBy("u").agg(F.sum("w").alias("total"))
+    share = written(one.join(total, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")), "shares")
+    ends = share.select(F.col("u").alias("node"), F.lit(True).alias("out")).union(share.select("v", F.lit(False))).groupBy("node").agg(F.max("out").alias("out"))
+    nodes = written(ends, "nodes")
+    n = nodes.count()
+    ranks = written(nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("r")), "ranks")
+    for _ in range(rounds if n else 0):
+        pushed = share.join(ranks.where("out").select(F.col("node").alias("u"), "r"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
+        lost = ranks.where("not out").agg(F.sum("r")).first()[0] or 0.0
+        base = (1 - damping) / n + damping * lost / n
+        new = ranks.withColumnRenamed("r", "was").join(pushed, "node", "left").withColumn("r", F.lit(base) + damping * F.coalesce("s", F.lit(0.0)))
+        new = written(new.select("node", "out", "r", "was"), "ranks")
+        moved = new.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0]
+        ranks = new.drop("was")
+        if moved <= settled:
+            break
+    return ranks.select("node", "r")

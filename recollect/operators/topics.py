@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.operators.graph import connected_components
+from recollect.operators.graph import connected_components, pagerank
 from recollect.plans.dialect import Queries
 from recollect.shared import written
 from recollect.tables import table
@@ -140,21 +140,11 @@ def _pagerank_sql(rounds: int) -> str:
     SELECT node, round(r / (SELECT max(r) FROM r{rounds}), 6) AS rank FROM r{rounds}"""
 
 
-@Q.add(_pagerank_sql(8))
-def pagerank_entities(spark: SparkSession, sf_dir: str, rounds: int = 8) -> DataFrame:
+@Q.add(_pagerank_sql(30))
+def pagerank_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted PageRank with damping 0.85 on the undirected part and supplier graph, scaled by its maximum."""
     one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).agg(F.count("*").alias("w"))
-    both = one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    total = both.groupBy("u").agg(F.sum("w").alias("total"))
-    share = written(both.join(total, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")), "shares")
-    nodes = share.select(F.col("u").alias("node")).distinct()
-    n = nodes.count()
-    ranks = nodes.withColumn("r", F.lit(1.0 / n))
-    for i in range(rounds):
-        pushed = share.join(ranks, F.col("u") == F.col("node")).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
-        ranks = pushed.select("node", (F.lit(0.15 / n) + 0.85 * F.col("s")).alias("r"))  # every node has an edge, so each is pushed to
-        if i % 4 == 3:
-            ranks = written(ranks, "ranks")
+    ranks = written(pagerank(one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), settled=1e-9), "ranks")
     return ranks.crossJoin(ranks.agg(F.max("r").alias("m"))).select("node", F.round(F.col("r") / F.col("m"), 6).alias("rank"))  # m: one row
 
 

@@ -115,3 +115,23 @@ def test_topics_of_the_tables_equal_sequential(spark, sf_dir):
     owners = {f"{r.source}/{r.lang}": [r.lang] for r in docs}
     got = {r.unit: r.cluster for r in linkage.average_linkage_topics(spark, sf_dir).collect()}
     assert got == sequential_linkage(similar, owners, 0.05)
+
+
+def test_pagerank_with_nodes_that_lead_nowhere(spark):
+    from recollect.operators.graph import pagerank
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(20), rng.randrange(30), rng.randint(1, 4)) for _ in range(70)] + [(40, 41, 2), (1, 2, 0), (None, 3, 1)]
+    real = [e for e in edges if e[0] is not None and e[2] > 0]
+    nodes = sorted({x for u, v, _ in real for x in (u, v)})
+    r = {x: 1 / len(nodes) for x in nodes}
+    total = {u: sum(w for x, _, w in real if x == u) for u in nodes}
+    for _ in range(30):
+        lost = sum(r[x] for x in nodes if not total[x])
+        new = {x: (0.15 + 0.85 * lost) / len(nodes) for x in nodes}
+        for u, v, w in real:
+            new[v] += 0.85 * r[u] * w / total[u]
+        r = new
+    got = {x.node: x.r for x in pagerank(spark.createDataFrame(edges, "u long, v long, w long"), settled=0.0).collect()}
+    assert got.keys() == r.keys() and max(abs(got[x] - r[x]) for x in r) < 1e-12 and abs(sum(got.values()) - 1) < 1e-9
+    assert pagerank(spark.createDataFrame([], "u long, v long, w long")).count() == 0

@@ -78,6 +78,8 @@ def test_cleaning(spark):
     assert one(spark, [["a"], ["a", "b"], ["a", "b", "c"], []], clean.listed(F.col("x")), "x array<string>") == ["a", "a and b", "a, b and c", ""]
     rolled = clean.rolled_year(F.col("x"), F.lit(MONDAY), F.col("p"))
     assert one(spark, [("03-01", True), ("03-01", False), ("02-29", False), ("13-01", True)], rolled, "x string, p boolean") == [dt.date(2023, 3, 1), dt.date(2024, 3, 1), dt.date(2024, 2, 29), None]
+    leap = clean.rolled_year(F.lit("02-29"), F.col("x").cast("timestamp"), F.col("p"))
+    assert one(spark, [("2023-03-01", True), ("2025-01-01", False), ("1903-05-05", True), ("1896-03-01", False)], leap, "x string, p boolean") == [dt.date(2020, 2, 29), dt.date(2028, 2, 29), dt.date(1896, 2, 29), dt.date(1904, 2, 29)]
     assert one(spark, ["2024-01-01T00:00:00Z", "2024-01-01T01:00:00+01:00", "2024-01-01 00:00:00", None], clean.utc_seconds(F.col("x"))) == [1704067200.0, 1704067200.0, None, None]
     assert one(spark, [-5.0, 1.6e9, 1.7e9 + 90_000, None], clean.plausible_time(F.col("x"), F.lit(1.7e9)), "x double") == [1.7e9, 1.6e9, 1.7e9, 1.7e9]
     assert one(spark, ["Shall we go?", "We opted for it.", "It is forbidden.", "Rain, bindingrequired."], clean.section(F.col("x"))) == ["question", "decision", "constraint", "other"]
