@@ -318,3 +318,20 @@ def test_pipeline_run_equals_its_stages(spark, sf_dir, stages):
 
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert sorted(zip(got["doc_id"], got["ids_sha256"], strict=True)) == sorted(zip(stages["byte BPE"][1]["doc_id"], stages["byte BPE"][1]["ids_sha256"], strict=True))
+
+
+def test_quality_query_equals_explicit_pairs(spark, sf_dir):
+    """Every text's score from all pairs of its features, one by one, instead of the sum of squares."""
+    from recollect.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
+    machine = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = queries.op2_quality(spark, sf_dir).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    row, feature, value = quality.features(docs["text"].tolist())
+    for i, doc_id in enumerate(docs["doc_id"]):
+        f, x = feature[row == i], value[row == i].astype(float)
+        pairs = machine.factors[f] @ machine.factors[f].T * np.outer(x, x)
+        raw = machine.bias + machine.linear[f] @ x + pairs[np.triu_indices(len(f), 1)].sum()
+        assert abs(1 / (1 + np.exp(-raw)) - got.loc[doc_id, "score"]) < 1e-4
+        assert got.loc[doc_id, "predicted"] == (got.loc[doc_id, "score"] >= 0.3) and got.loc[doc_id, "held_out"] == quality.held_out_id(doc_id)
