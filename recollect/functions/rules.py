@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NAME = r"([A-Z][\w'-]*(?: [A-Z][\w'-]*)*)"
-_THING = r"([\w'-]+(?: [\w'-]+){0,5}?)"
+_NAME = r"(\p{Lu}[\p{L}\p{N}_'’-]*(?: (?:de |da |do |del |la |von |van )?\p{Lu}[\p{L}\p{N}_'’-]*)*)"
+_THING = r"([\p{L}\p{N}_'’-]+(?: [\p{L}\p{N}_'’-]+){0,5}?)"
 _END = r"(?: (?:any ?more|now|today|these days|at the moment))?\s*[.!]*\s*$"
 #: (pattern, subject: a group number or a word, relation, object group, mode). The first of one (relation, mode) wins.
 RULES: tuple[tuple[str, int | str, str, int, str], ...] = (
@@ -21,8 +21,8 @@ RULES: tuple[tuple[str, int | str, str, int, str], ...] = (
     (rf"^my ([a-z]+)'s name is {_NAME}{_END}", 1, "named", 2, "is"),
     (rf"^i(?: am|'m) (?:now )?(?:living|based) in {_NAME}{_END}", "me", "lives_in", 1, "is"),
     (rf"^i (?:now )?live in {_NAME}{_END}", "me", "lives_in", 1, "is"),
-    (rf"^i(?: have)? moved (?:from {_NAME} )?to {_NAME}{_END}", "me", "lives_in", 2, "is"),
-    (rf"^i(?: have)? moved from {_NAME} to {_NAME}{_END}", "me", "lives_in", 1, "was"),
+    (rf"^i(?: have|['’]ve)? moved (?:from {_NAME} )?to {_NAME}{_END}", "me", "lives_in", 2, "is"),
+    (rf"^i(?: have|['’]ve)? moved from {_NAME} to {_NAME}{_END}", "me", "lives_in", 1, "was"),
     (rf"^i(?: no longer| don't| do not) live in {_NAME}{_END}", "me", "lives_in", 1, "was"),
     (rf"^i (?:now )?work (?:at|for) {_NAME}{_END}", "me", "works_at", 1, "is"),
     (rf"^i (?:quit|left|stopped working (?:at|for)) {_NAME}{_END}", "me", "works_at", 1, "was"),

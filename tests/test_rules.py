@@ -27,6 +27,9 @@ STATED = {
     "My car is a Volvo": [("me", "has", "Volvo", "is")],
     "Mia Wong lives in Lima": [("Mia Wong", "lives_in", "Lima", "is")],
     "Bob is a doctor.": [("Bob", "is_a", "doctor", "is")],
+    "Élise lives in São Paulo": [("Élise", "lives_in", "São Paulo", "is")],
+    "I've moved to Rio de Janeiro": [("me", "lives_in", "Rio de Janeiro", "is")],
+    "I really love crème brûlée": [("me", "likes", "crème brûlée", "is")],
     "Do you think I live in Oslo?": [],
     "It rained.": [],
     "": [],
