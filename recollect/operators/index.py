@@ -2,8 +2,8 @@
 
 A question set is the benchmark table; texts are documents or the turns of conversations. Terms that most
 of a corpus shares make long postings: joins on terms carry (key, term, tf) only and scores are summed before
-anything else is joined. The two top-k queries find candidates by terms that can matter (`best_sums`); the
-queries in SQL that give all scores join all terms of their questions.
+anything else is joined. The top-k queries find candidates by terms that can matter (`best_sums`), the coverage query by a prefix
+of each question's terms; `conversation_search` joins all terms of its questions.
 """
 
 from __future__ import annotations
@@ -50,8 +50,12 @@ def _base(d) -> str:
 """)
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The k best documents of each benchmark passage by BM25 with idf ln((N - n + .5) / (n + .5) + 1)."""
-    docs = table(spark, sf_dir, "documents")
-    asked = written(postings(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term"), "asked")
+    return bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k)
+
+
+def bm25(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, score, rank): the k best of docs (doc_id, text) for each of questions (item_id, text)."""
+    asked = written(postings(questions, "item_id").select("item_id", "term"), "asked")
     terms = asked.select("term").distinct().withColumn("known", F.lit(True))
     said = docs.select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0)")).alias("term"))
     # what nobody asks for counts towards the length only: one row a document
@@ -68,8 +72,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return best_sums(asked.withColumn("q", F.lit(1.0)), weighted, k).select("item_id", "doc_id", F.col("sum").alias("score"), "rank")
 
 
-def best_sums(asked: DataFrame, weighted: DataFrame, k: int, rarest: int = 8, seen: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
-    """(item_id, doc_id, sum, rank): the k documents of each item with the greatest sum of q * w over its terms, rounded to six places, ties to the smaller doc_id.
+def best_sums(asked: DataFrame, weighted: DataFrame, k: int, rarest: int = 8, seen: Callable[[str, DataFrame], None] | None = None, newest: bool = False) -> DataFrame:
+    """(item_id, doc_id, sum, rank): the k documents of each item with the greatest sum of q * w over its terms, rounded to six places, ties to the smaller doc_id
+    (to the larger, if newest).
 
     asked (item_id, term, q >= 0), weighted (doc_id, term, w >= 0). Exact without joining all terms with all documents: the
     sums over an item's rarest terms alone bound its k-th best sum from below. Its commonest terms that together can't
@@ -90,7 +95,7 @@ def best_sums(asked: DataFrame, weighted: DataFrame, k: int, rarest: int = 8, se
         seen("candidates", candidates)
     full = candidates.join(terms.select("item_id", "term", "q"), "item_id").join(weighted, ["doc_id", "term"])
     sums = full.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("q") * F.col("w")), 6).alias("sum"))
-    return sums.withColumn("rank", F.row_number().over(by_item.orderBy(F.desc("sum"), "doc_id"))).where(F.col("rank") <= k)
+    return sums.withColumn("rank", F.row_number().over(by_item.orderBy(F.desc("sum"), F.desc("doc_id") if newest else F.asc("doc_id")))).where(F.col("rank") <= k)
 
 
 Q.sql("term_frequencies", "documents", lambda d: _index(d, "documents", "doc_id"))
@@ -170,10 +175,38 @@ def near_duplicates_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-Q.sql("weighted_coverage", "documents benchmark", lambda d: f"""
+COVERED = 0.5
+
+
+@Q.add(lambda d: f"""
     WITH {_base(d)}, total AS (SELECT item_id, sum(idf) AS total FROM asked JOIN idf USING (term) GROUP BY item_id),
     hit AS (SELECT item_id, doc_id, sum(idf) AS hit FROM asked JOIN docs USING (term) JOIN idf USING (term) GROUP BY item_id, doc_id)
-    SELECT item_id, doc_id, round(hit / total, 6) AS coverage FROM hit JOIN total USING (item_id) WHERE hit / total >= 0.5""")
+    SELECT item_id, doc_id, round(hit / total, 6) AS coverage FROM hit JOIN total USING (item_id) WHERE round(hit / total, 6) >= {COVERED}""")
+def weighted_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a question's words and more, words weighed by idf.
+
+    A question's commonest words that together weigh less than that find no document by themselves: only documents with
+    one of its other words are candidates."""
+    docs, asked, idf = _weighed(spark, sf_dir)
+    by_item = Window.partitionBy("item_id")  # the terms of one question
+    known = asked.join(idf, "term").withColumn("total", F.sum("idf").over(by_item))
+    common = F.sum("idf").over(by_item.orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    known = written(known.withColumn("reach", common / F.col("total")), "known")
+    held = written(docs.join(known.select("term").distinct(), "term", "left_semi").select("doc_id", "term"), "held")
+    finding = known.where(F.col("reach") >= COVERED - 1e-5).select("item_id", "term")
+    candidates = written(finding.join(held, "term").select("item_id", "doc_id").distinct(), "candidates")
+    hit = candidates.join(known, "item_id").join(held, ["doc_id", "term"]).groupBy("item_id", "doc_id").agg(F.round(F.sum("idf") / F.first("total"), 6).alias("coverage"))
+    return hit.where(F.col("coverage") >= COVERED)
+
+
+def _weighed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of documents, of the benchmark's passages, and (term, df, idf) of the documents' terms."""
+    texts = table(spark, sf_dir, "documents")
+    docs = written(postings(texts, "doc_id"), "index")
+    n = texts.agg(F.count("*").alias("n"))  # one row
+    idf = docs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "df", F.log((F.col("n") + 2.0) / (F.col("df") + 1.0)).alias("idf"))
+    return docs, written(postings(table(spark, sf_dir, "benchmark"), "item_id"), "asked"), written(idf, "idf")
+
 
 Q.sql("conversation_search", "conversations benchmark", lambda d: f"""
     WITH asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {d.each}({d.tokens('text')}) AS term FROM benchmark)),
@@ -188,11 +221,18 @@ Q.sql("match_snippet", "documents", lambda d: f"""
     p AS (SELECT doc_id, text, word, {d.instr('lower(text)', 'word')} AS p FROM t WHERE word <> '')
     SELECT doc_id, word, p AS position, {d.replace("substring(text, cast(greatest(1, p - 40) as int), 100)", "\\s+", " ")} AS snippet FROM p WHERE p > 0""")
 
-Q.sql("term_presence_search", "documents benchmark", lambda d: f"""
+@Q.add(lambda d: f"""
     WITH asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {d.each}({d.tokens('text')}) AS term FROM benchmark)),
     docs AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, {d.each}({d.tokens('text')}) AS term FROM documents)),
     s AS (SELECT item_id, doc_id, count(*) AS hits FROM asked JOIN docs USING (term) GROUP BY item_id, doc_id)
     SELECT item_id, doc_id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 40""")
+def term_presence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty documents with the most of a question's words, the newest first among equals."""
+    asked = written(postings(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term"), "asked")
+    held = postings(table(spark, sf_dir, "documents"), "doc_id").join(asked.select("term").distinct(), "term", "left_semi")
+    best = best_sums(asked.withColumn("q", F.lit(1.0)), held.select("doc_id", "term", F.lit(1.0).alias("w")), 40, newest=True)
+    return best.select("item_id", "doc_id", F.col("sum").cast("long").alias("hits"), "rank")
+
 
 Q.sql("term_or_filter", "documents customer", lambda d: f"""
     WITH terms AS (SELECT DISTINCT lower(c_mktsegment) AS term FROM customer UNION SELECT 'token' UNION SELECT 'license' UNION SELECT 'version'),
@@ -207,13 +247,22 @@ Q.sql("title_overlap_boost", "conversations benchmark", lambda d: f"""
     hit AS (SELECT item_id, conv_id, count(*) AS hits FROM asked JOIN t USING (term) GROUP BY item_id, conv_id)
     SELECT item_id, conv_id, round(0.6 * hits / n, 6) AS boost FROM hit JOIN size USING (conv_id)""")
 
-Q.sql("prf_expand_terms", "documents benchmark", lambda d: f"""
+@Q.add(lambda d: f"""
     WITH {_base(d)},
     s AS (SELECT item_id, doc_id, sum(idf * docs.tf) AS score FROM asked JOIN docs USING (term) JOIN idf USING (term) GROUP BY item_id, doc_id),
     top AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 3),
     w AS (SELECT top.item_id, docs.term, round(sum(docs.tf * idf) * 0.35, 6) AS weight FROM top JOIN docs USING (doc_id) JOIN idf ON idf.term = docs.term
           LEFT JOIN asked ON asked.item_id = top.item_id AND asked.term = docs.term WHERE asked.tf IS NULL GROUP BY top.item_id, docs.term)
     SELECT item_id, term, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, term) AS rank FROM w) WHERE rank <= 6""")
+def prf_expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six words that a question's three best documents have and it hasn't, weighed by tf * idf."""
+    docs, asked, idf = _weighed(spark, sf_dir)
+    held = docs.join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "term", F.col("tf").cast("double").alias("w"))
+    top = best_sums(asked.join(idf, "term").select("item_id", "term", F.col("idf").alias("q")), held, 3).select("item_id", "doc_id")
+    other = top.join(docs, "doc_id").join(asked.select("item_id", "term"), ["item_id", "term"], "left_anti").join(idf, "term")
+    weights = other.groupBy("item_id", "term").agg(F.round(F.sum(F.col("tf") * F.col("idf")) * 0.35, 6).alias("weight"))
+    return weights.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= 6)
+
 
 Q.sql("expand_query_terms", "documents benchmark", lambda d: f"""
     WITH words AS (SELECT term, count(*) AS df FROM ({_index(d, 'documents', 'doc_id')}) WHERE length(term) >= 5 GROUP BY term),
