@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.index", "operators.facts", "operators.log", "operators.limits", "operators.vectors", "operators.topics", "operators.texts", "operators.sessions", "operators.retrieve", "operators.recall", "operators.cleaning", "operators.linkage", "operators.packs", "operators.phrases", "operators.learner", "operators.statements", "sources.transcripts", "sources.intake", "streaming.events", "streaming.stateful")
+MODULES = ("operators.index", "operators.facts", "operators.log", "operators.limits", "operators.vectors", "operators.topics", "operators.texts", "operators.sessions", "operators.retrieve", "operators.recall", "operators.cleaning", "operators.linkage", "operators.packs", "operators.merging", "operators.phrases", "operators.learner", "operators.statements", "sources.transcripts", "sources.intake", "streaming.events", "streaming.stateful")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
