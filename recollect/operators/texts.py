@@ -63,12 +63,26 @@ Q.sql("one_edit_neighbours", "benchmark documents", lambda d: f"""
     WITH e AS (SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier)
     SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS edits FROM e a JOIN e b ON substring(a.name, 1, 1) = substring(b.name, 1, 1) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 1""")
 def fuzzy_entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of names with one first letter within one edit: such names share themselves or a form with one character left out."""
+    """Pairs of names with one first letter within one edit."""
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).union(table(spark, sf_dir, "supplier").select("s_name")).where("name <> ''").distinct()
-    forms = F.expr("array_union(array(name), transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1))))")
-    keys = names.select("name", F.substring("name", 1, 1).alias("f"), F.explode(forms).alias("form"))
-    pairs = keys.withColumnRenamed("name", "a").join(keys.withColumnRenamed("name", "b"), ["f", "form"]).where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("edits", F.levenshtein("a", "b").cast("long")).where("edits <= 1")
+    return one_edit_pairs(names)
+
+
+def one_edit_pairs(names: DataFrame) -> DataFrame:
+    """(a, b, edits) of distinct, non-empty names (name) that begin alike and are one edit apart, a < b.
+
+    Names of one length differ in one place, so they are equal without that place; of two lengths, the longer one is the shorter one
+    once a character is left out. A key (place and rest, or rest) is then shared by pairs of the result only: none is compared in vain
+    or found twice, and what is joined are names' forms, as many as they have characters. The forms are many times the names that the
+    planner sees, so both joins are told to sort rather than to broadcast.
+    """
+    without = "concat(substring(name, 1, i - 1), substring(name, i + 1))"
+    forms = names.select("name", F.explode(F.expr(f"transform(sequence(1, length(name)), i -> struct(i, {without} as rest))")).alias("x")).select("name", "x.i", "x.rest")
+    at = forms.where("i > 1")  # the first characters are the same
+    same = at.withColumnRenamed("name", "a").hint("merge").join(at.withColumnRenamed("name", "b"), ["i", "rest"]).where("a < b").select("a", "b")
+    short = forms.select("name", "rest").distinct().join(names.select(F.col("name").alias("rest")).hint("merge"), "rest").where("substring(name, 1, 1) = substring(rest, 1, 1)")
+    other = short.select(F.least("name", "rest").alias("a"), F.greatest("name", "rest").alias("b"))
+    return same.unionAll(other).withColumn("edits", F.lit(1).cast("long"))
 
 
 Q.sql("url_conversation_key", "pages", lambda d: f"""
