@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
+import duckdb
+import pytest
+
+from recollect.operators.index import ORACLE, QUERIES
 from recollect.operators.texts import one_edit_pairs
+from tests.compare import same_rows
 
 
 def _one_edit(a: str, b: str) -> bool:
@@ -22,3 +28,27 @@ def test_one_edit_pairs_once_each_and_without_broadcast(spark):
     found = [tuple(r) for r in pairs.collect()]
     assert len(found) == len(set(found))
     assert set(found) == {(a, b, 1) for a in names for b in names if a < b and a[0] == b[0] and _one_edit(a, b)}
+
+
+def _folder(spark, path) -> str:
+    """Questions that share common words with every document and turn."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(12)]
+    text = lambda n: " ".join(rng.choice(common) if rng.random() < 0.7 else f"w{rng.randrange(400)}" for _ in range(n))
+    spark.createDataFrame([(i, text(30)) for i in range(300)] + [(5000, None), (5001, "")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, text(15)) for i in range(20)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i // 4, i % 4, text(30)) for i in range(300)], "conv_id long, turn long, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "tfidf_cosine_topk", "term_presence_search", "weighted_coverage", "conversation_search"])
+def test_no_pair_of_question_and_text_is_shuffled(spark, tmp_path, name):
+    """Sums are made where a text's words are; only each task's best go on, by question."""
+    path = _folder(spark, tmp_path)
+    found = QUERIES[name](spark, path)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not [d for d in dealt if "item_id" in d and ("doc_id" in d or "conv_id" in d)]
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{path}/{t}.parquet/*.parquet')")
+    assert same_rows(found.toPandas(), con.execute(ORACLE[name]).df())
