@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
 import duckdb
 import pytest
 
+from recollect.operators import sessions, topics
 from recollect.operators.index import ORACLE, QUERIES
 from recollect.operators.texts import one_edit_pairs
+from recollect.shared import noting
 from tests.compare import same_rows
 
 
@@ -52,3 +55,26 @@ def test_no_pair_of_question_and_text_is_shuffled(spark, tmp_path, name):
     for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{path}/{t}.parquet/*.parquet')")
     assert same_rows(found.toPandas(), con.execute(ORACLE[name]).df())
+
+
+def test_textrank_of_one_long_conversation_forms_no_pairs(spark, tmp_path):
+    """Six hundred sentences that all share a word: 360,000 pairs, of which no table is written or joined."""
+    rng = random.Random(8)
+    turns = [(1, t, " ".join(f"w{rng.randrange(300)} the longer sentence of w{rng.randrange(300)} {t}." for _ in range(3))) for t in range(200)]
+    turns += [(2, 0, "nothing shared whatsoever here. 1234567890 0987654321 5555!"), (2, 1, None), (3, 0, "the same words in a sentence. the same words in a sentence. same words other sentence!")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    folders: list[str] = []
+    with noting(folders):
+        found = sessions.QUERIES["textrank_sentences"](spark, str(tmp_path))
+        assert max(spark.read.parquet(f).count() for f in folders) < 10_000
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert same_rows(found.toPandas(), con.execute(sessions.ORACLE["textrank_sentences"]).df())
+
+
+def test_signature_names_every_member(spark, tmp_path):
+    """Digest of the members' ids in order, as the SQL always had it."""
+    rows = [(i, "a", "x") for i in (10, 9, 100)] + [(i, "b", "x") for i in (1, 2)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.source: (r.signature, r.members) for r in topics.QUERIES["topic_signature"](spark, str(tmp_path)).collect()}
+    assert found == {"a": (hashlib.md5(b"10 100 9").hexdigest(), 3), "b": (hashlib.md5(b"1 2").hexdigest(), 2)}
