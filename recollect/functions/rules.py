@@ -50,8 +50,17 @@ def _pattern(rule: str) -> str:
     return rule
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is named in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def triples(sentence: Column) -> Column:
     """array<struct<subj, rel, obj, mode>> of what a sentence states; a question states nothing."""
+    return once(sentence, _triples)
+
+
+def _triples(sentence: Column) -> Column:
     found = []
     for rule, subject, relation, place, mode in RULES:
         pattern = _pattern(rule)
@@ -130,8 +139,8 @@ def iban(number: Column) -> Column:
 
 def each_run(text: Column, pattern: str, stands: Callable[[Column], Column]) -> Column:
     """text with every match of the pattern (which has no groups) replaced by what stands for it, place by place."""
-    between, runs = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(between, F.transform(runs, stands), lambda b, r: F.concat(b, F.coalesce(r, F.lit("")))), "")
+    between, runs = lambda t: F.split(t, pattern, -1), lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    return once(text, lambda t: F.array_join(F.zip_with(between(t), F.transform(runs(t), stands), lambda b, r: F.concat(b, F.coalesce(r, F.lit("")))), ""))
 
 
 def without_secrets(text: Column) -> Column:
