@@ -1,12 +1,16 @@
 """A linear reader learned over a table: hashed features, rounds of summed gradients, averaged weights, and a margin.
 
 A round is one pass: every text's score from the weights as they are, its error times its features summed by feature,
-first within each task, then over all. The weights (FEATURES numbers) are one written row that the next round joins to
-its texts, so nothing but that row grows with the features and nothing grows with the texts.
+first within each task, then over all. The weights (FEATURES numbers) go to every task and their sums come back, so nothing that
+is sent grows with the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +29,8 @@ FEATURES = HASHED + len(_SHARES) + 2
 def features(text: Column) -> Column:
     """array<struct<f int, v double>>: distinct words hashed to HASHED places (together of length 1), shares of signs in per cent, length, and 1."""
     words = F.array_distinct(tokens(text))
-    hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(HASHED)).cast("int").alias("f"), (1 / F.sqrt(F.size(words))).alias("v")))
+    one = lambda ws: F.transform(ws, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(HASHED)).cast("int").alias("f"), (1 / F.sqrt(F.size(ws))).alias("v")))
+    hashed = F.element_at(F.transform(F.array(words), one), 1)  # a lambda would take the words from the text again for each of them
     n = F.greatest(F.length(text), F.lit(1))
     shares = [F.struct(F.lit(HASHED + i).alias("f"), (100.0 * (F.length(text) - F.length(F.translate(text, s, ""))) / n).alias("v")) for i, s in enumerate(_SHARES)]
     rest = [F.struct(F.lit(FEATURES - 2).alias("f"), (F.log1p(n.cast("double")) / 10).alias("v")), F.struct(F.lit(FEATURES - 1).alias("f"), F.lit(1.0).alias("v"))]
@@ -38,21 +43,36 @@ def scored(examples: DataFrame, weights: DataFrame) -> DataFrame:
     return examples.crossJoin(F.broadcast(weights.select("w"))).withColumn("score", dot).drop("w")
 
 
+def _pushes(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's error times feature, summed by feature: FEATURES numbers whatever it has read."""
+        sums = np.zeros(len(weights))
+        for b in batches:
+            x, y = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            flat, sizes = x.flatten(), np.diff(x.offsets.to_numpy())
+            f, v = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            of = np.repeat(np.arange(len(y)), sizes)
+            error = y - 1 / (1 + np.exp(-np.bincount(of, v * weights[f], len(y))))
+            sums += np.bincount(f, v * error[of], len(weights))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["f", "g"])
+
+    return run
+
+
 def train(examples: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
     """One row w: weights learned from examples (x, y 0 or 1), the mean of those of the later half of the rounds."""
     spark = examples.sparkSession
-    row = spark.range(1).select(F.array_repeat(F.lit(0.0), FEATURES).alias("w"), F.array_repeat(F.lit(1e-6), FEATURES).alias("g2"), F.array_repeat(F.lit(0.0), FEATURES).alias("total"))
-    row, n = written(row, "weights"), max(1, examples.count())
+    given = examples.where("x is not null and y is not null").select("x", F.col("y").cast("double").alias("y"))
+    w, g2, total, n = np.zeros(FEATURES), np.full(FEATURES, 1e-6), np.zeros(FEATURES), max(1, examples.count())
     for i in range(rounds):
-        error = F.col("y") - 1 / (1 + F.exp(-F.col("score")))
-        pushes = scored(examples, row).select(F.explode(F.transform("x", lambda f: F.struct(f["f"].alias("f"), (f["v"] * error / n).alias("g")))).alias("p"))
-        sums = pushes.groupBy("p.f").agg(F.sum("p.g").alias("g"))
-        dense = sums.agg(F.map_from_entries(F.collect_list(F.struct("f", "g"))).alias("g"))  # FEATURES entries at most
-        both = row.crossJoin(dense).withColumn("g", F.transform(F.sequence(F.lit(0), F.lit(FEATURES - 1)), lambda f: F.coalesce(F.try_element_at("g", f), F.lit(0.0))))
-        both = both.withColumn("g2", F.zip_with("g2", "g", lambda a, g: a + g * g))
-        both = both.withColumn("w", F.zip_with("w", F.zip_with("g", "g2", lambda g, a: F.lit(rate) * g / F.sqrt(a)), lambda w, step: w + step))
-        row = written(both.select("w", "g2", F.zip_with("total", "w", lambda t, w: t + (w if i >= rounds // 2 else F.lit(0.0))).alias("total")), "weights")
-    return written(row.select(F.transform("total", lambda t: t / (rounds - rounds // 2)).alias("w")), "weights")
+        g = np.zeros(FEATURES)
+        for r in given.mapInArrow(_pushes(w), "f int, g double").groupBy("f").agg(F.sum("g").alias("g")).collect():  # FEATURES rows at most
+            g[r.f] = r.g / n
+        g2 += g * g
+        w = w + rate * g / np.sqrt(g2)
+        total += w if i >= rounds // 2 else 0.0
+    return written(spark.createDataFrame([((total / (rounds - rounds // 2)).tolist(),)], "w array<double>"), "weights")
 
 
 def margin(negatives: DataFrame, made_up: float = MADE_UP) -> float:

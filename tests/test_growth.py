@@ -8,9 +8,12 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from recollect.functions.rules import triples, without_secrets
 from recollect.operators import sessions, topics
 from recollect.operators.index import ORACLE, QUERIES
+from recollect.operators.learner import features
 from recollect.operators.texts import one_edit_pairs
 from recollect.shared import noting
 from tests.compare import same_rows
@@ -78,3 +81,11 @@ def test_signature_names_every_member(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.source: (r.signature, r.members) for r in topics.QUERIES["topic_signature"](spark, str(tmp_path)).collect()}
     assert found == {"a": (hashlib.md5(b"10 100 9").hexdigest(), 3), "b": (hashlib.md5(b"1 2").hexdigest(), 2)}
+
+
+def test_what_rules_read_is_worked_out_once(spark):
+    """Neither a rule nor a word of a text takes the text apart again."""
+    text = spark.createDataFrame([("Ab 1 cd.",)], "t string").select(F.upper("t").alias("t"))
+    for made, sign in ((triples(F.upper("t")), "upper("), (without_secrets(F.reverse("t")), "reverse(t"), (features(F.reverse("t")), "array_distinct(")):
+        plan = text.select(made.alias("x"))._jdf.queryExecution().analyzed().toString().split("Project")[1]
+        assert plan.count(sign) == 1, sign
