@@ -15,7 +15,8 @@ from recollect.operators import sessions, topics
 from recollect.operators.index import ORACLE, QUERIES
 from recollect.operators.learner import features
 from recollect.operators.texts import one_edit_pairs
-from recollect.shared import noting
+from recollect.shared import noting, settings
+from recollect.sources.intake import files
 from tests.compare import same_rows
 
 
@@ -89,3 +90,12 @@ def test_what_rules_read_is_worked_out_once(spark):
     for made, sign in ((triples(F.upper("t")), "upper("), (without_secrets(F.reverse("t")), "reverse(t"), (features(F.reverse("t")), "array_distinct(")):
         plan = text.select(made.alias("x"))._jdf.queryExecution().analyzed().toString().split("Project")[1]
         assert plan.count(sign) == 1, sign
+
+
+def test_large_files_are_listed_unread(spark, tmp_path):
+    """A file above the reader's own limit, which raises if it is opened for its content."""
+    (tmp_path / "small.parquet").write_bytes(b"abc")
+    (tmp_path / "large.parquet").write_bytes(b"x" * 5000)
+    with settings(spark, spark__sql__sources__binaryFile__maxLength="1000"):
+        found = {r.name: (r.bytes, r.sha1) for r in files(spark, f"file://{tmp_path}", "*.parquet", 100).collect()}
+    assert found == {"small.parquet": (3, hashlib.sha1(b"abc").hexdigest()), "large.parquet": (5000, None)}
