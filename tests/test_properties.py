@@ -1,5 +1,9 @@
 """Properties that hold on any input."""
 
+import math
+import random
+from collections import Counter
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,6 +68,26 @@ def test_near_duplicates_lose_no_pair_and_take_null_empty_and_copies(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_the_same_in_any_number_of_blocks(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(30)]
+    for t in texts[:20]:  # families that differ in a few words
+        texts += [" ".join(w if rng.random() > 0.1 else rng.choice(words) for w in t.split()) for _ in range(3)]
+    counts = [Counter(t.split()) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    weights = [{w: k * math.log((2 + len(texts)) / (1 + df[w])) for w, k in c.items()} for c in counts]
+    length = [math.sqrt(sum(x * x for x in w.values())) for w in weights]
+    for at in (0.8, 0.4):
+        cosine = {(i, j): round(sum(x * weights[j].get(w, 0.0) for w, x in weights[i].items()) / (length[i] * length[j]), 5) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+        want = {p: c for p, c in cosine.items() if c >= at}
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for block in (5_000_000, 400):
+            got = {(r.doc_id, r.near_id): r.cosine for r in near_duplicates(docs, at, block).collect()}
+            assert len(want) > 20 and got.keys() == want.keys()
+            assert all(abs(got[p] - want[p]) < 1.1e-5 for p in want)
+
+
 def test_names_an_edit_apart_meet_wherever_the_edit_is(spark, sf_dir):
     found = QUERIES["fuzzy_entity_match"](spark, sf_dir).select("a", "b")
     assert found.where("substring(a, -1) <> substring(b, -1)").count() > 0
