@@ -74,6 +74,7 @@ def test_near_duplicates_are_the_same_in_any_number_of_blocks(spark):
     texts = [" ".join(rng.choices(words, k=30)) for _ in range(30)]
     for t in texts[:20]:  # families that differ in a few words
         texts += [" ".join(w if rng.random() > 0.1 else rng.choice(words) for w in t.split()) for _ in range(3)]
+    texts = list(dict.fromkeys(texts))
     counts = [Counter(t.split()) for t in texts]
     df = Counter(w for c in counts for w in c)
     weights = [{w: k * math.log((2 + len(texts)) / (1 + df[w])) for w, k in c.items()} for c in counts]
