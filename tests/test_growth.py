@@ -15,7 +15,9 @@ from recollect.operators import sessions, topics
 from recollect.operators.index import ORACLE, QUERIES
 from recollect.operators.learner import features
 from recollect.operators.texts import one_edit_pairs
-from recollect.shared import noting, settings
+from recollect.operators.packs import ASKING, related_memories
+from recollect.operators.recall import PARTS, Memory, _fused, distinct_memories
+from recollect.shared import noting, settings, written
 from recollect.sources.intake import files
 from tests.compare import same_rows
 
@@ -99,3 +101,22 @@ def test_large_files_are_listed_unread(spark, tmp_path):
     with settings(spark, spark__sql__sources__binaryFile__maxLength="1000"):
         found = {r.name: (r.bytes, r.sha1) for r in files(spark, f"file://{tmp_path}", "*.parquet", 100).collect()}
     assert found == {"small.parquet": (3, hashlib.sha1(b"abc").hexdigest()), "large.parquet": (5000, None)}
+
+
+def test_recall_meets_no_words_of_its_pool_by_question(spark, tmp_path):
+    path = _folder(spark, tmp_path)
+    memory = Memory(distinct_memories(spark.read.parquet(f"{path}/documents.parquet")))
+    words = written(memory.asked(spark.read.parquet(f"{path}/benchmark.parquet")), "asked")
+    pool = written(memory.rarest(words), "pool")
+    parts = pool.select("item_id", "doc_id", *[F.lit(None).cast("double").alias(c) for c in PARTS])
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = _fused(memory, pool, words, words.withColumn("own", F.lit(1)), parts, None)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and not [d for d in dealt if "item_id" in d and "term" in d]
+
+
+def test_related_memories_are_asked_for_by_the_query_set_and_found_among_all(spark):
+    rows = [(c, 0, "user", f"tomato plants {c}") for c in (49, 50, 51, 100)]
+    found = related_memories(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), ASKING).collect()
+    assert {r.conv_id for r in found} == {50, 100}
+    assert {"tomato plants 49", "tomato plants 51"} <= {r.text for r in found if r.conv_id == 50}
