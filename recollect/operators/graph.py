@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.shared import written
+from recollect.shared import bucketed, settings, written
+
+#: PageRank: edges are dealt to at most so many cells, of so many edges as long as there are fewer.
+CELLS, EDGES_EACH = 48, 75_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
@@ -44,28 +47,50 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return nodes.join(roots, "u", "left").select(F.col("u").alias("id"), F.coalesce("component", "u").alias("component"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85, settled: float = 1e-7) -> DataFrame:
-    """(node, r) of weighted PageRank over edges (u, v, w), r summing to one over all endpoints.
+def _cells(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that Spark's hash deals to n different partitions."""
+    slots = spark.range(64 * n + 64).select(F.col("id").cast("int").alias("cell"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("slot"))
+    found = [r.cell for r in slots.groupBy("slot").agg(F.min("cell").alias("cell")).collect()]
+    if len(found) < n:
+        raise RuntimeError(f"{len(found)} of {n} cells found")
+    return found
+
+
+def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85, settled: float = 1e-7, both_ways: bool = False, cells: int = CELLS) -> DataFrame:
+    """(node, r) of weighted PageRank over edges (u, v, w), r summing to one over all endpoints; both_ways: every edge leads back as well.
 
     What nodes without outgoing weight have is dealt to all nodes evenly. Ends after `rounds` rounds, or earlier when
-    no round changes the ranks by more than `settled` altogether. A round is one join on the node and one sum by node,
-    and writes its ranks; rows that repeat an edge add up.
+    no round changes the ranks by more than `settled` altogether. Rows that repeat an edge add up.
+
+    Edges are dealt once to cells, by that end which has more different nodes (so fewer edges each), and stay there as a
+    bucketed table. A round sends each rank to the cells that have edges of its node, sums there what each node is
+    given, and adds the cells' sums up: shuffled are at most two rows for each node and cell that meet, no edges.
     """
-    one = edges.where("u is not null and v is not null and w > 0").groupBy("u", "v").agg(F.sum("w").alias("w"))
-    total = one.groupBy("u").agg(F.sum("w").alias("total"))
-    share = written(one.join(total, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")), "shares")
-    ends = share.select(F.col("u").alias("node"), F.lit(True).alias("out")).union(share.select("v", F.lit(False))).groupBy("node").agg(F.max("out").alias("out"))
-    nodes = written(ends, "nodes")
-    n = nodes.count()
-    ranks = written(nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("r")), "ranks")
-    for _ in range(rounds if n else 0):
-        pushed = share.join(ranks.where("out").select(F.col("node").alias("u"), "r"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
-        lost = ranks.where("not out").agg(F.sum("r")).first()[0] or 0.0
-        base = (1 - damping) / n + damping * lost / n
-        new = ranks.withColumnRenamed("r", "was").join(pushed, "node", "left").withColumn("r", F.lit(base) + damping * F.coalesce("s", F.lit(0.0)))
-        new = written(new.select("node", "out", "r", "was"), "ranks")
-        moved = new.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0]
-        ranks = new.drop("was")
-        if moved <= settled:
-            break
-    return ranks.select("node", "r")
+    spark = edges.sparkSession
+    one = edges.where("u is not null and v is not null and w > 0").select("u", "v", F.col("w").cast("double").alias("w"))
+    known = one.agg(F.count("*").alias("n"), F.approx_count_distinct("u").alias("u"), F.approx_count_distinct("v").alias("v")).first()
+    n = max(1, min(cells, -(-known.n // EDGES_EACH)))
+    by, keys = "u" if known.u >= known.v else "v", F.array(*[F.lit(c) for c in _cells(spark, n)])
+    ways = [F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))][: 2 if both_ways else 1]
+    kept = {"spark__sql__shuffle__partitions": str(n), "spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__autoBroadcastJoinThreshold": "-1"}
+    with settings(spark, **kept), bucketed(spark, n) as put:
+        placed = one.withColumn("cell", F.get(keys, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))).repartition(n, "cell")
+        placed = put(placed.select("cell", F.explode(F.array(*ways)).alias("e"), "w").select("cell", "e.u", "e.v", "w"), "cell", "placed")
+        out = placed.groupBy("cell", F.col("u").alias("node")).agg(F.sum("w").alias("total"))
+        ends = out.unionByName(placed.select(F.col("v").alias("node")).distinct(), allowMissingColumns=True)
+        nodes = ends.groupBy("node").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.collect_list("cell").alias("places"))  # as many as there are cells
+        nodes = put(nodes, "node", "nodes")
+        count = nodes.count()
+        ranks = put(nodes.withColumn("r", F.lit(1.0 / max(1, count))), "node", "ranks")
+        lost = ranks.where("total = 0").agg(F.sum("r")).first()[0] or 0.0
+        for _ in range(rounds if count else 0):
+            sent = ranks.select(F.explode("places").alias("cell"), F.col("node").alias("u"), (F.col("r") / F.col("total")).alias("x"))
+            pushed = placed.join(sent.hint("shuffle_hash"), ["cell", "u"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("s"))
+            base = (1 - damping) / count + damping * lost / count
+            new = ranks.withColumnRenamed("r", "was").join(pushed, "node", "left").withColumn("r", F.lit(base) + damping * F.coalesce("s", F.lit(0.0)))
+            ranks = put(new.select("node", "total", "places", "r", "was"), "node", "ranks")
+            moved, lost = ranks.agg(F.sum(F.abs(F.col("r") - F.col("was"))), F.coalesce(F.sum(F.when(F.col("total") == 0, F.col("r"))), F.lit(0.0))).first()
+            ranks = ranks.drop("was")
+            if moved <= settled:
+                break
+        return written(ranks.select("node", "r"), "ranks")

@@ -135,3 +135,16 @@ def test_pagerank_with_nodes_that_lead_nowhere(spark):
     got = {x.node: x.r for x in pagerank(spark.createDataFrame(edges, "u long, v long, w long"), settled=0.0).collect()}
     assert got.keys() == r.keys() and max(abs(got[x] - r[x]) for x in r) < 1e-12 and abs(sum(got.values()) - 1) < 1e-9
     assert pagerank(spark.createDataFrame([], "u long, v long, w long")).count() == 0
+
+
+def test_pagerank_both_ways_in_many_cells_and_without_shuffled_edges(spark, monkeypatch):
+    from recollect.operators import graph
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(9), 100 + rng.randrange(40), 1 + rng.randrange(3)) for _ in range(300)]
+    back = edges + [(v, u, w) for u, v, w in edges]
+    plain = {x.node: x.r for x in graph.pagerank(spark.createDataFrame(back, "u long, v long, w long"), settled=0.0, cells=1).collect()}
+    monkeypatch.setattr(graph, "EDGES_EACH", 50)
+    got = {x.node: x.r for x in graph.pagerank(spark.createDataFrame(edges, "u long, v long, w long"), settled=0.0, both_ways=True).collect()}
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-12 for k in got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("recollect_")]
