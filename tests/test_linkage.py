@@ -148,3 +148,14 @@ def test_pagerank_both_ways_in_many_cells_and_without_shuffled_edges(spark, monk
     got = {x.node: x.r for x in graph.pagerank(spark.createDataFrame(edges, "u long, v long, w long"), settled=0.0, both_ways=True).collect()}
     assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-12 for k in got)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("recollect_")]
+
+
+def test_chains_move_only_what_has_not_arrived(spark):
+    from recollect.shared import noting
+
+    folders = []
+    with noting(folders):
+        got = {r.id: (r.root, r.depth) for r in chains(spark.createDataFrame([(i, i - 1 if i % 64 else None) for i in range(640)], "id long, parent long")).collect()}
+    assert got == {i: (i - i % 64, i % 64) for i in range(640)}
+    rows = [spark.read.parquet(f).count() for f in folders]
+    assert rows[0] == 640 and rows[1:] == sorted(rows[1:], reverse=True) and max(rows[1:]) < 640 and len(rows) == 7
