@@ -142,6 +142,8 @@ def near_names(names: DataFrame, known: DataFrame) -> DataFrame:
 
     If 2 * matched >= RATIO * both lengths, then at most e = (1 - RATIO) * (2 n + APART) characters are left over, and each spoils
     two pairs of neighbouring letters of a name at most. So of any 2 e + 1 of its pairs, here the rarest, one is in the other name too.
+    Pairs are looked up together with the first letter and the length, and are rare or not among known names of such a letter and
+    length; Levenshtein's distance, at most what is left over of both names, keeps most of the rest from Python.
     """
     plain = lambda c: (F.length(c) >= SHORTEST) & ~F.col(c).rlike("[0-9]")
     left, right = names.select("name").where(plain("name")).distinct(), known.select("known").where(plain("known")).distinct()
@@ -151,15 +153,16 @@ def near_names(names: DataFrame, known: DataFrame) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))
         # equal pairs of one name are told apart by their number
         numbered = F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
-        return df.select(c, F.explode(numbered).alias("gram"))
+        return df.select(c, F.substring(c, 1, 1).alias("first"), n.alias("size"), F.explode(numbered).alias("gram"))
 
-    of = grams(right, "known")
-    df = written(of.groupBy("gram").agg(F.count("*").alias("df")), "grams")
+    place = ["first", "size", "gram"]
+    of = grams(right, "known").withColumn("size", F.explode(F.sequence(F.col("size") - APART, F.col("size") + APART)))
+    df = written(of.groupBy(place).agg(F.count("*").alias("df")), "grams")
     rare = Window.partitionBy("name").orderBy(F.coalesce("df", F.lit(0)), "gram")
     spoilt = 2 * F.floor((1 - RATIO) * (2 * F.length("name") + APART) + 1e-9)
-    keys = grams(left, "name").join(df, "gram", "left").withColumn("r", F.row_number().over(rare)).where((F.col("r") <= spoilt + 1) & F.col("df").isNotNull())
-    near = (F.abs(F.length("name") - F.length("known")) <= APART) & (F.substring("name", 1, 1) == F.substring("known", 1, 1)) & (F.col("name") != F.col("known"))
-    pairs = keys.select("name", "gram").join(of, "gram").where(near).select("name", "known").distinct()
+    keys = grams(left, "name").join(df, place, "left").withColumn("r", F.row_number().over(rare)).where((F.col("r") <= spoilt + 1) & F.col("df").isNotNull())
+    left_over = (1 - RATIO) * (F.length("name") + F.length("known")) + 1e-9
+    pairs = keys.select("name", *place).join(of, place).where("name <> known").select("name", "known").distinct().where(F.levenshtein("name", "known") <= left_over)
     return pairs.mapInArrow(_ratios, "name string, known string, ratio double")
 
 

@@ -72,3 +72,12 @@ def test_near_names_equal_all_pairs(spark):
     want = {(a, b) for a in names for b in base if a != b and fits(a) and fits(b) and a[0] == b[0] and abs(len(a) - len(b)) <= 2 and SequenceMatcher(None, a, b).ratio() >= 0.88}
     assert got == want and len(want) > 50
     assert near_names(spark.createDataFrame([(None,)], "name string"), spark.createDataFrame([("word",)], "known string").where(F.lit(False))).count() == 0
+
+
+def test_names_meet_by_first_letter_and_length_and_few_reach_python(spark):
+    names, known = [f"{a}matters{b}" for a in "abc" for b in ("", "xyzw", "xyzwuv")], ["amattersxyzv", "amatters", "bmattersxyqwuv"]
+    found = near_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(n,) for n in known], "known string"))
+    assert {(r.name, r.known) for r in found.collect()} == {("amattersxyzw", "amattersxyzv"), ("amattersxyzwuv", "amattersxyzv"), ("bmattersxyzwuv", "bmattersxyqwuv")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all(c in joins[0] for c in ("first", "size", "gram")) and "levenshtein" in plan
