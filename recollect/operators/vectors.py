@@ -16,7 +16,7 @@ from recollect.plans.dialect import Queries
 from recollect.tables import table
 
 Q = Queries()
-EVERY, VECTORS_EACH, QUESTIONS_EACH = 50, 8192, 512
+EVERY, VECTORS_EACH, QUESTIONS_EACH = 50, 4096, 512
 _PAIRS = """
     q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
     s AS (SELECT q, vec_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS dot, sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
@@ -25,11 +25,14 @@ _PAIRS = """
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
+    """The rows of a column of equally long lists, by way of one flat buffer instead of a Python number for each entry."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round((a @ b.T) / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)), 5)
+    out = a @ b.T
+    out /= np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1))
+    return np.round(out, 5, out=out)
 
 
 def _signs_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
