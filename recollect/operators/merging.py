@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.operators.linkage import chains
 from recollect.plans.dialect import Queries
-from recollect.shared import written
+from recollect.shared import spread, written
 from recollect.tables import table
 
 Q = Queries()
@@ -54,8 +54,10 @@ _SURVIVORS = """a(id, entity) AS (SELECT s_suppkey, s_suppkey FROM supplier WHER
 def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which supplier follows which within an order, after suppliers were merged: chains of merges closed, both ends moved."""
     then = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_returnflag", "l_quantity"))
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), then.alias("dst"), F.col("l_returnflag").alias("rel"), F.lit(1).alias("mentions"), F.col("l_quantity").alias("weight"))
-    return moved_edges(edges, survivors(_merges(spark, sf_dir))).withColumn("weight", F.col("weight").cast("double"))
+    lines = table(spark, sf_dir, "lineitem")
+    edges = lines.select(F.col("l_suppkey").alias("src"), then.alias("dst"), F.col("l_returnflag").alias("rel"), F.lit(1).alias("mentions"), F.col("l_quantity").alias("weight"))
+    with spread(spark, lines.count()):
+        return written(moved_edges(edges, survivors(_merges(spark, sf_dir))).withColumn("weight", F.col("weight").cast("double")), "moved")
 
 
 @Q.add(f"""

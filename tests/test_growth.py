@@ -120,3 +120,25 @@ def test_related_memories_are_asked_for_by_the_query_set_and_found_among_all(spa
     found = related_memories(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), ASKING).collect()
     assert {r.conv_id for r in found} == {50, 100}
     assert {"tomato plants 49", "tomato plants 51"} <= {r.text for r in found if r.conv_id == 50}
+
+
+def test_shuffles_have_a_partition_for_so_many_rows(spark, monkeypatch):
+    from recollect import shared
+
+    monkeypatch.setattr(shared, "ROWS_EACH", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with shared.spread(spark, 100 * int(before) + 1):
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == int(before) + 1
+    with shared.spread(spark, 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_vectors_become_a_matrix_without_python_numbers(monkeypatch):
+    import pyarrow as pa
+
+    from recollect.operators import vectors
+
+    column = pa.chunked_array([pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32())).slice(1), pa.array([[5.0, 6.0]], pa.list_(pa.float32()))])
+    got = vectors._matrix(column)
+    assert got.dtype == float and got.tolist() == [[3.0, 4.0], [5.0, 6.0]] and vectors.VECTORS_EACH <= 4096
