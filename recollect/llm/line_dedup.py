@@ -29,6 +29,7 @@ the same lines. A null doc_id comes last. Lines end at \\n only. Other columns a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -40,15 +41,15 @@ from recollect.shared import filtered_early, forget, written
 EDITS, MIN_CHARS, SHORTEST = 3, 24, 1
 #: Characters, the most frequent ones, that are dealt to classes one by one; all others are of class 0.
 DEALT = 96
-#: Characters, the most frequent ones, whose counts are compared before lines of one group are paired.
-COUNTED = 28
+#: Characters, the most frequent ones, whose counts are compared before lines of one group are paired: 16 to a number.
+COUNTED = 32
 
 
-def _places(edits: int) -> list[tuple[int, int, int]]:
-    """(segment, shift, 1 if the range below is asked): segments from 0 at the start and from -1 at the end."""
+def _places(edits: int) -> list[tuple[int, int]]:
+    """(segment, shift): segments from 0 at the start and from -1 at the end."""
     left = (edits + 2) // 2
     sides = [(i, i) for i in range(left)] + [(-1 - j, j) for j in range(edits + 1 - left)]
-    return [(i, shift, below) for below in (0, 1) for i, most in sides for shift in range(-most, most + 1)]
+    return [(i, shift) for i, most in sides for shift in range(-most, most + 1)]
 
 
 def _range(size: str) -> str:
@@ -58,12 +59,16 @@ def _range(size: str) -> str:
 
 def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """From lines (id, line, size): (key, id, own); own keys are those of the line's own segments, the others are asked for only."""
-    places = ", ".join(f"named_struct('i', {i}, 'shift', {s}, 'below', {b})" for i, s, b in _places(edits))
-    each = lines.withColumn("low", F.expr(_range("size"))).withColumn("p", F.explode(F.expr(f"array({places})")))
-    each = each.where(f"p.below = 0 or (size - {edits} < low and low > {MIN_CHARS})")
-    each = each.withColumn("low", F.expr(f"if(p.below = 1, {_range('(low - 1)')}, low)")).withColumn("m", F.expr(f"cast(low div {edits + 1} as int)"))
-    start = "cast(p.i * m + p.shift + if(p.i < 0, size, 0) + 1 as int)"
-    return each.select(F.expr(f"xxhash64(low, p.i, substring(line, {start}, m))").alias("key"), "id", F.expr("p.below = 0 and p.shift = 0").alias("own"))
+    places = lambda *below: "array(" + ", ".join(f"named_struct('i', {i}, 'shift', {s}, 'below', {b})" for b in below for i, s in _places(edits)) + ")"
+    each = lines.select("id", "line", "size", F.expr(_range("size")).alias("own_low"))
+    each = each.withColumn("low_below", F.expr(f"if(size - {edits} < own_low and own_low > {MIN_CHARS}, {_range('(own_low - 1)')}, null)"))
+    # of a line with one byte to a character, parts are cut from its bytes: their hash is the same, and nothing before them is read
+    each = each.withColumn("bytes", F.expr("if(octet_length(line) = size, cast(line as binary), null)"))
+    each = each.withColumn("p", F.explode(F.expr(f"if(low_below is null, {places(0)}, {places(0, 1)})")))
+    each = each.withColumn("low", F.expr("if(p.below = 1, low_below, own_low)")).withColumn("m", F.expr(f"cast(low div {edits + 1} as int)"))
+    each = each.withColumn("start", F.expr("cast(p.i * m + p.shift + if(p.i < 0, size, 0) + 1 as int)"))
+    key = "if(bytes is null, xxhash64(low, p.i, substring(line, start, m)), xxhash64(low, p.i, substring(bytes, start, m)))"
+    return each.select(F.expr(key).alias("key"), "id", F.expr("p.below = 0 and p.shift = 0").alias("own"))
 
 
 def frequent(lines: DataFrame) -> list[tuple[str, int]]:
@@ -140,9 +145,18 @@ def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     return each.withColumn("x", F.xxhash64("line")).withColumn("y", F.xxhash64(F.lit(1), "line"))
 
 
-def _bound(x: str, y: str, counts: list[str], edits: int) -> Column:
+def count_bits(characters: list[str]) -> list[Column]:
+    """Numbers of 16 characters' counts in a line, each in four bits of which one changes when a count changes by one."""
+    count = lambda c: F.col("size") - F.length(F.replace("line", F.lit(c), F.lit("")))
+    left = lambda x, n: F.call_function("shiftleft", x.cast("long"), n)
+    four = lambda n: F.shiftright(left(F.lit(15), n % 8), 4).bitwiseAND(F.lit(15))  # noqa: E731 - 0, 1, 3, 7, 15, 14, 12, 8
+    either = lambda x, y: x.bitwiseOR(y)
+    return [reduce(either, [left(four(count(c)), F.lit(4 * j)) for j, c in enumerate(characters[i : i + 16])]) for i in range(0, len(characters), 16)]
+
+
+def _bound(x: str, y: str, bits: list[str], edits: int) -> Column:
     """What lines within the edits meet: an edit changes the length by one at most, and the counts of two characters by one each."""
-    apart = " + ".join(f"abs({x}.{c} - {y}.{c})" for c in counts) or "0"
+    apart = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in bits) or "0"
     return F.expr(f"abs({x}.size - {y}.size) <= {edits} and {apart} <= {2 * edits}")
 
 
@@ -165,7 +179,7 @@ def alike_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
         open_lines = written(texts.join(ids, "id"), "open")
         characters = frequent(open_lines)
         kept = kept_classes(class_sets(characters, edits))
-        counts = [(F.col("size") - F.length(F.replace("line", F.lit(c), F.lit("")))).alias(f"n{i}") for i, (c, _) in enumerate(characters[:COUNTED])]
+        counts = [n.alias(f"n{i}") for i, n in enumerate(count_bits([c for c, _ in characters[:COUNTED]]))]
         stored[:] = [written(open_lines.select("id", "size", *[k.alias(f"k{i}") for i, k in enumerate(kept)], *counts), "classes")]
         two = [f"xxhash64({i}, {j}, k{i}, k{j})" for i, j in combinations(range(len(kept)), 2)]
         return stored[0].select(F.expr(f"explode(array({', '.join(two)}))").alias("key"), "id", F.lit(True).alias("own"))
@@ -203,13 +217,12 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     gone = gone.groupBy("d", "h").agg(F.sort_array(F.collect_list("n")).alias("gone"), F.count_if("near").alias("n_near"))
     gone = gone.withColumnsRenamed({"d": "gone_d", "h": "gone_h"})
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"))
-    joined = rows.join(gone, F.expr("h = gone_h and d <=> gone_d"), "left")
-    # a mark for each line up to the last that goes, so that lines are looked up by position
+    joined = rows.join(gone.hint("shuffle_hash"), F.expr("h = gone_h and d <=> gone_d"), "left")  # so texts aren't sorted
+    # a mark for each line up to the last that goes, so that lines are looked up by position; named by _let, as a column would be made again for each line
     marks = "split(array_join(transform(gone, (x, i) -> concat(repeat('0', x - coalesce(get(gone, i - 1), -1) - 1), '1')), ''), '')"
-    joined = joined.withColumn("marks", F.expr(marks))
-    kept = F.expr("array_join(filter(split(row.text, '\n', -1), (x, i) -> not coalesce(get(marks, i) = '1', false)), '\n')")
+    kept = F.expr(_let("marks", marks, "array_join(filter(split(row.text, '\n', -1), (x, i) -> not coalesce(get(marks, i) = '1', false)), '\n')"))
     return joined.select(
-        "row", "d", F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
+        "row", "d", F.expr("coalesce(octet_length(row.text) - octet_length(replace(row.text, '\n', '')) + 1, 0)").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("kept_text"),
     )
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import line_dedup
-from recollect.llm.line_dedup import alike_lines, class_sets, frequent, kept_classes, line_decisions, line_digests, segment_keys, within, without_repeated_lines
+from recollect.llm.line_dedup import alike_lines, class_sets, count_bits, frequent, kept_classes, line_decisions, line_digests, segment_keys, within, without_repeated_lines
 from recollect.llm.near_dedup import THRESHOLD, bag_minhash, near_duplicate_classes, without_near_duplicates
 from recollect.llm.words import bag_overlap, mix, shingle_bags, word_hashes
 
@@ -224,3 +224,32 @@ def test_line_dedup_of_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, text), (2, text[:100])], "doc_id long, text string")
     got = {r.doc_id: r for r in line_digests(docs, 0).collect()}
     assert (got[1].n_lines, got[1].n_dropped, got[2].n_dropped) == (14001, 7000, 1)
+
+
+def test_marks_of_dropped_lines_are_made_once_a_document(spark):
+    docs = spark.createDataFrame([(1, "a\na\nb"), (2, "b\nc")], "doc_id long, text string")
+    digests = line_digests(docs)
+    plan = digests._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("repeat(") < plan.index("filter(split(")  # not within the function of each line
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in digests.collect()} == {1: (3, 1), 2: (2, 1)}
+
+
+def test_count_bits_differ_by_the_counts(spark):
+    rng, letters = random.Random(7), "abcdefghijklmnopqrstuvé"
+    lines = ["".join(rng.choice(letters[: rng.randint(1, 23)]) for _ in range(rng.randint(1, 60))) for _ in range(300)] + ["a" * n for n in range(18)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("size", F.length("line"))
+    numbers = count_bits(list(letters))
+    assert len(numbers) == 2
+    got = {r["id"]: [r["n0"], r["n1"]] for r in frame.select("id", *[n.alias(f"n{i}") for i, n in enumerate(numbers)]).collect()}
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            apart = [abs(x.count(c) - y.count(c)) % 8 for c in letters]
+            assert sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(got[i], got[j], strict=True)) == sum(min(n, 8 - n) for n in apart)
+
+
+def test_segments_of_bytes_meet_those_of_characters(spark):
+    plain = "an ordinary line of text with nothing but ascii letters in it, and a few more"
+    lines = [plain, plain[:-2] + "\u00e9" + plain[-1:], "\u00e9" + plain[1:]]
+    keys = segment_keys(spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("size", F.length("line")))
+    met = keys.where("own").alias("a").join(keys.alias("b"), "key").where("a.id < b.id").select("a.id", "b.id").distinct().count()
+    assert met == 3
