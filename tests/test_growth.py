@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -142,3 +144,30 @@ def test_vectors_become_a_matrix_without_python_numbers(monkeypatch):
     column = pa.chunked_array([pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32())).slice(1), pa.array([[5.0, 6.0]], pa.list_(pa.float32()))])
     got = vectors._matrix(column)
     assert got.dtype == float and got.tolist() == [[3.0, 4.0], [5.0, 6.0]] and vectors.VECTORS_EACH <= 4096
+
+
+def _textrank(sentences: list[str], rounds: int = 25) -> list[float]:
+    """Sentence by sentence: cosines of tf * idf, what each passes on by its share of all its likenesses."""
+    vectors = [Counter(re.findall(r"\w+", s.lower())) for s in sentences]
+    df, n = Counter(t for v in vectors for t in v), len(sentences)
+    vectors = [{t: k * (math.log((1 + n) / (1 + df[t])) + 1) for t, k in v.items()} for v in vectors]
+    size = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    w = [[sum(x * b.get(t, 0.0) for t, x in a.items()) / (size[i] * size[j]) if i != j and size[i] and size[j] else 0.0 for j, b in enumerate(vectors)] for i, a in enumerate(vectors)]
+    r = [1.0] * n
+    for _ in range(rounds):
+        r = [0.15 + 0.85 * sum(w[j][i] / sum(w[j]) * r[j] for j in range(n) if sum(w[j])) for i in range(n)]
+    return r
+
+
+@pytest.mark.parametrize("long", [10**6, 0])
+def test_textrank_weighs_by_tf_idf_for_25_rounds_and_keeps_every_sentence(spark, long):
+    """In one task or by joins, against every pair; a sentence that shares no word, or has none, keeps its row."""
+    rng = random.Random(6)
+    said = {1: ["red red fox runs", "a fox runs home", "home is a red house", "the house is far far away", "nothing shared", "…………"], 2: ["alone here"], 3: ["—"]}
+    said[4] = sorted({" ".join(rng.choice("a b c d e f g h i j k".split()) for _ in range(rng.randint(1, 9))) for _ in range(30)})
+    rows = [(10 * c + 1000 * i, c, s) for c, ss in said.items() for i, s in enumerate(ss)]
+    found = {(r.conv_id, r.s): r["rank"] for r in sessions.textrank(spark.createDataFrame(rows, "id long, conv_id long, s string"), long=long).collect()}
+    assert len(found) == len(rows)
+    for c, ss in said.items():
+        assert [found[c, s] for s in ss] == pytest.approx([round(r, 5) for r in _textrank(ss)], abs=1.1e-5)
+    assert found[1, "nothing shared"] == found[1, "…………"] == 0.15
