@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import tokens as words_of
 from recollect.plans.dialect import Queries
-from recollect.shared import written
+from recollect.shared import filtered_early, written
 from recollect.tables import table
 
 Q = Queries()
@@ -136,9 +136,38 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["name", "known", "ratio"])
 
 
+def alike_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, known, ratio) of all pairs of different names (name) and known ones (known) whose matching characters are RATIO of both or more,
+    whatever their letters and lengths.
+
+    If 2 * matched >= RATIO * both lengths, at most d = (1 - RATIO) * both lengths characters are left over, an even number if both lengths together are even.
+    Of d + 1 segments of the name, counted from 0, one is in the known name whole, with i characters left over before it if it is the i-th (take the first one that
+    isn't outrun by what is left over up to its end), so it is moved by -i, 2 - i, ... or i. Names are dealt by their segments, known
+    names by what can stand in such a place; Levenshtein's distance, at most d, and letters that the other hasn't keep most of the rest from Python.
+    """
+    left, right = names.select("name", F.length("name").alias("n")).where("name <> ''").distinct(), known.select("known", F.length("known").alias("m")).where("known <> ''").distinct()
+    most = F.floor((1 - RATIO) * (F.col("n") + F.col("m")) + 1e-9)
+    lengths = left.select("n").distinct().crossJoin(right.select("m").distinct()).withColumn("d", (most - (most + F.col("n") + F.col("m")) % 2).cast("int"))
+    lengths = written(lengths.where((F.col("d") > 0) & (F.abs(F.col("n") - F.col("m")) <= F.col("d"))), "lengths")
+    cut = lambda i: F.floor(F.col("n") * i / (F.col("d") + 1)).cast("int")
+    place, segment = ["n", "d", "i", "gram"], F.explode(F.sequence(F.lit(0), "d")).alias("i")
+    of = left.join(lengths.select("n", "d").distinct(), "n").select("name", "n", "d", segment)
+    of = of.select("name", "n", "d", "i", F.substring("name", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))).alias("gram"))
+    at = right.join(lengths, "m").select("known", "m", "n", "d", segment).select("*", F.explode(F.sequence(-F.col("i"), F.col("i"), F.lit(2))).alias("by"))
+    # what is left over of the name before the segment, of the known name before it, and of both behind it
+    can = (F.col("i") - F.col("by") <= F.col("d") + F.col("n") - F.col("m")) & (F.col("i") + F.col("by") <= F.col("d") + F.col("m") - F.col("n")) & (F.abs(F.col("m") - F.col("n") - F.col("by")) <= F.col("d") - F.col("i"))
+    start, end = cut(F.col("i")) + F.col("by"), cut(F.col("i") + 1) + F.col("by")
+    at = at.where(can & (start >= 0) & (end <= F.col("m"))).select("known", "m", "n", "d", "i", F.substring("known", start + 1, end - start).alias("gram"))
+    lost = lambda a, b: 2 * F.length(F.call_function("translate", F.col(a), F.col(b), F.lit("")))
+    near = (F.levenshtein("name", "known") <= F.col("d")) & (lost("name", "known") <= F.col("d") + F.col("n") - F.col("m")) & (lost("known", "name") <= F.col("d") + F.col("m") - F.col("n"))
+    with filtered_early(left.sparkSession):
+        pairs = written(of.join(written(at, "segments"), place).where((F.col("name") != F.col("known")) & near).select("name", "known").distinct(), "pairs")
+    return pairs.mapInArrow(_ratios, "name string, known string, ratio double")
+
+
 def near_names(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, known, ratio) of all pairs of different names (name) and known ones (known) of equal first letter, SHORTEST characters and
-    more, at most APART apart in length and without digits, whose matching characters are RATIO of both or more.
+    """(name, known, ratio) by the rule for keys of things, a part of `alike_names`: all pairs of different names (name) and known ones (known) of equal first letter,
+    SHORTEST characters and more, at most APART apart in length and without digits, whose matching characters are RATIO of both or more.
 
     If 2 * matched >= RATIO * both lengths, then at most e = (1 - RATIO) * (2 n + APART) characters are left over, and each spoils
     two pairs of neighbouring letters of a name at most. So of any 2 e + 1 of its pairs, here the rarest, one is in the other name too.
@@ -228,10 +257,11 @@ def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add()
 def nearest_known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each word of the documents that the benchmark hasn't, the known word spelt most alike (ratio 0.88 and more; ties: the smaller word)."""
+    """For each word of the documents that the benchmark hasn't, the known word spelt most alike (ratio 0.88 and more, whatever its first letter and length;
+    ties: the smaller word)."""
     known = table(spark, sf_dir, "benchmark").select(F.explode(words_of(F.col("text"))).alias("known")).distinct()
     said = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("name")).distinct()
-    found = near_names(said.join(known, said.name == known.known, "left_anti"), known)
+    found = alike_names(said.join(known, said.name == known.known, "left_anti"), known)
     return found.groupBy("name").agg(F.min_by("known", F.struct(-F.col("ratio"), "known")).alias("known"), F.round(F.max("ratio"), 6).alias("ratio"))
 
 

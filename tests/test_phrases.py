@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from recollect.operators.phrases import mentions, near_names, noun_phrases, tagged, token_rows
+from recollect.operators.phrases import QUERIES, alike_names, mentions, near_names, noun_phrases, tagged, token_rows
 
 SENTENCES = {
     "The old boat isn't in Lisbon, I think 3 mighty ships!": (
@@ -81,3 +81,29 @@ def test_names_meet_by_first_letter_and_length_and_few_reach_python(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert joins and all(c in joins[0] for c in ("first", "size", "gram")) and "levenshtein" in plan
+
+
+def test_alike_names_equal_all_pairs_of_any_letters_and_lengths(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcé1😀") for _ in range(n))
+    base = {word(rng.choice([1, 3, 4, 5, 8, 9, 12, 13, 17, 25, 40, 60])) for _ in range(90)}
+
+    def noisy(w):
+        for _ in range(rng.randint(1, 2 + len(w) // 6)):
+            i = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + word(1) + w[i:], w[:i] + word(1) + w[i + 1 :]]) or "a"
+        return w
+
+    names = {noisy(w) for w in base for _ in range(6)} | set(sorted(base)[:10]) | {""}
+    found = alike_names(spark.createDataFrame([(n,) for n in [*names, None]], "name string"), spark.createDataFrame([(n,) for n in [*base, None]], "known string")).collect()
+    want = {(a, b, SequenceMatcher(None, a, b).ratio()) for a in names for b in base if a != b and SequenceMatcher(None, a, b).ratio() >= 0.88}
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert {len(a) - len(b) for a, b, _ in want} >= {-3, 3} and any(a[0] != b[0] for a, b, _ in want) and any(len(b) == 4 for _, b, _ in want)
+
+
+def test_nearest_known_names_are_of_any_first_letter_and_length(spark, tmp_path):
+    known = ["bcdefghijklm", "word", "abcdefghijklmnopqrstuvwx", "model12345"]
+    spark.createDataFrame([(1, " ".join(known))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "abcdefghijklm words abcdefghijklmnopqrstuvwxyz12 model1234 other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.name: r.known for r in QUERIES["nearest_known_names"](spark, str(tmp_path)).collect()}
+    assert found == {"abcdefghijklm": "bcdefghijklm", "words": "word", "abcdefghijklmnopqrstuvwxyz12": "abcdefghijklmnopqrstuvwx", "model1234": "model12345"}
