@@ -9,12 +9,13 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions.rules import triples, without_secrets
 from recollect.operators import sessions, topics
-from recollect.operators.index import ORACLE, QUERIES
+from recollect.operators.index import ORACLE, QUERIES, near_duplicates
 from recollect.operators.learner import features
 from recollect.operators.texts import one_edit_pairs
 from recollect.operators.packs import ASKING, related_memories
@@ -171,3 +172,17 @@ def test_textrank_weighs_by_tf_idf_for_25_rounds_and_keeps_every_sentence(spark,
     for c, ss in said.items():
         assert [found[c, s] for s in ss] == pytest.approx([round(r, 5) for r in _textrank(ss)], abs=1.1e-5)
     assert found[1, "nothing shared"] == found[1, "…………"] == 0.15
+
+
+def test_blocks_of_vectors_are_kept_once_however_many_meet(spark, tmp_path):
+    """Every text is in one block's row, a block in a file of its own; the pairs are those of a single block."""
+    docs = spark.read.parquet(f"{_folder(spark, tmp_path)}/documents.parquet")
+    found = {}
+    for block in (10**9, 700):
+        folders: list[str] = []
+        with noting(folders):
+            found[block] = {tuple(r) for r in near_duplicates(docs, 0.4, block).collect()}
+        packed = spark.read.parquet(next(f for f in folders if "/blocks-" in f))
+        ids = np.concatenate([np.frombuffer(r.doc_id, np.int64) for r in packed.collect()])
+        assert sorted(ids) == list(range(300)) and len(packed.inputFiles()) == packed.count()
+    assert found[10**9] == found[700] != set() and packed.count() > 3
