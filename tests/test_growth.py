@@ -186,3 +186,4 @@ def test_blocks_of_vectors_are_kept_once_however_many_meet(spark, tmp_path):
         ids = np.concatenate([np.frombuffer(r.doc_id, np.int64) for r in packed.collect()])
         assert sorted(ids) == list(range(300)) and len(packed.inputFiles()) == packed.count()
     assert found[10**9] == found[700] != set() and packed.count() > 3
+    assert near_duplicates(spark.createDataFrame([(i, f"u{i} v{i}") for i in range(9)], "doc_id long, text string"), 0.4, 1).count() == 0
