@@ -20,7 +20,7 @@ from recollect.operators.learner import features
 from recollect.operators.texts import one_edit_pairs
 from recollect.operators.packs import ASKING, related_memories
 from recollect.operators.recall import PARTS, Memory, _fused, distinct_memories
-from recollect.shared import noting, settings, written
+from recollect.shared import lean, noting, settings, written
 from recollect.sources.intake import files
 from tests.compare import same_rows
 
@@ -187,3 +187,16 @@ def test_blocks_of_vectors_are_kept_once_however_many_meet(spark, tmp_path):
         assert sorted(ids) == list(range(300)) and len(packed.inputFiles()) == packed.count()
     assert found[10**9] == found[700] != set() and packed.count() > 3
     assert near_duplicates(spark.createDataFrame([(i, f"u{i} v{i}") for i in range(9)], "doc_id long, text string"), 0.4, 1).count() == 0
+
+
+def test_words_of_a_memory_are_counted_where_it_is(spark, tmp_path):
+    """Postings and their idf are shuffled once, by word; what was shuffled for a table is gone when the table is there."""
+    docs = spark.createDataFrame([(1, "a b A c"), (2, "b"), (3, ""), (4, None), (5, "— x x")], "doc_id long, text string")
+    folders: list[str] = []
+    with noting(folders):
+        memory = Memory(docs)
+    assert sorted(tuple(r) for r in memory.index.select("doc_id", "term", "tf", "df").collect()) == [(1, "a", 2, 1), (1, "b", 1, 2), (1, "c", 1, 1), (2, "b", 1, 2), (5, "x", 2, 1)]
+    assert {r.term: r.idf for r in memory.index.collect()} == pytest.approx({t: math.log(7 / (1 + n)) for t, n in (("a", 1), ("b", 2), ("c", 1), ("x", 1))})
+    assert memory.lengths.count() == 3 and len(folders) == 3
+    with lean(spark):
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
