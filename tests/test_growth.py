@@ -200,3 +200,15 @@ def test_words_of_a_memory_are_counted_where_it_is(spark, tmp_path):
     assert memory.lengths.count() == 3 and len(folders) == 3
     with lean(spark):
         assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_recall_sums_no_pair_outside_its_pool(spark, tmp_path):
+    """A memory's words meet those of a question only where the memory is in the question's pool."""
+    path = _folder(spark, tmp_path)
+    memory = Memory(distinct_memories(spark.read.parquet(f"{path}/documents.parquet")))
+    words = written(memory.asked(spark.read.parquet(f"{path}/benchmark.parquet")), "asked")
+    pool = written(memory.rarest(words), "pool")
+    parts = pool.select("item_id", "doc_id", *[F.lit(None).cast("double").alias(c) for c in PARTS])
+    plan = _fused(memory, pool, words, words.withColumn("own", F.lit(1)), parts, None)._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join Inner" in line and "array_contains" in line]
+    assert met and all("term" in line for line in met)
